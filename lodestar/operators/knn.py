@@ -27,7 +27,11 @@ ZERO_BAND = -(1 << 20)
 def knn(points: DataFrame, q: Location, k: int, exclude: str = EXCLUDE_COORDS, uid=None) -> DataFrame:
     """The k nearest points by a full scan: ``(uid, x, y, dist)``, nearest first, ties by uid."""
     near = points.filter(usable()).withColumn("dist", distance_to(q))
-    near = without_query(near, q, exclude, uid).select("uid", "x", "y", "dist")
+    return nearest_rows(without_query(near, q, exclude, uid).select("uid", "x", "y", "dist"), k)
+
+
+def nearest_rows(near: DataFrame, k: int) -> DataFrame:
+    """The k rows with the smallest ``dist``, ties by uid."""
     if k <= DIRECT_ROWS:
         return by_distance(near).limit(max(k, 0))
     return _cut(near, _bands(near), k)

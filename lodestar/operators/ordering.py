@@ -82,7 +82,7 @@ def unique_points(points: DataFrame) -> DataFrame:
 
 def one_per_distance(found: DataFrame, order: str = "uid") -> DataFrame:
     """One row per distance: the first in input order."""
-    first = F.min(F.struct(order, "uid", "x", "y")).alias("first")
+    first = F.min(F.struct(F.col(order).alias("_order"), "uid", "x", "y")).alias("first")
     return found.groupBy("dist").agg(first).select("first.uid", "first.x", "first.y", "dist")
 
 
