@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import written
+from lodestar.session import small_frame, written
 
 # Up to this many rows per task may go straight to the one task that merges them.
 DIRECT_ROWS = 16
@@ -45,7 +45,7 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     for row in placed.groupBy(part).count().orderBy("_part").collect():
         offsets.append((row["_part"], before))
         before += row["count"]
-    offsets = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    offsets = small_frame(df.sparkSession, offsets, "_part long, _before long")
     within = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (
         placed.select(*columns, part, within.alias("_within"))

@@ -13,6 +13,7 @@ from lodestar.constants import ALPHA, RANDOM_PIVOT_DRAWS, RANDOM_PIVOT_POOL
 from lodestar.functions.geometry import Location, distance, distance_to, usable
 from lodestar.functions.keys import pivot_id
 from lodestar.operators.ordering import first_rows
+from lodestar.session import small_frame
 
 
 class Pivot(NamedTuple):
@@ -77,7 +78,7 @@ def random_pivots(
     size = head.count()
     chooser = random.Random(seed)
     drawn = [(i, chooser.randrange(size)) for i in range(draws)] if size else []
-    drawn = points.sparkSession.createDataFrame(drawn, "ord int, _position int")
+    drawn = small_frame(points.sparkSession, drawn, "ord int, _position int")
     numbered = head.withColumn("_position", F.row_number().over(Window.orderBy(*order)) - 1)
     return drawn.join(numbered, "_position").select(
         F.concat(F.lit(pivot_id("")), F.col("ord")).alias("pivot_id"), "ord", "uid", "x", "y"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.geometry import Location, distance_to, plain_distance, same_place
 from lodestar.operators.ordering import by_distance, one_per_distance
 from lodestar.operators.pivots import Pivot
+from lodestar.session import written
 
 # Pruning bounds are widened by this share, so rounding can only let a point through to the exact test.
 SLACK = 1e-9
@@ -105,8 +106,8 @@ def flagged(indexed: DataFrame, pivots: list[Pivot], q: Location, r: float, quer
 
 
 def candidate_fetch(candidates: DataFrame, points: DataFrame) -> DataFrame:
-    """Point rows of candidate identifiers."""
-    return points.join(candidates.select("uid"), "uid", "left_semi")
+    """Point rows of candidate identifiers. The identifiers are written first, so the join knows their size."""
+    return points.join(written(candidates.select("uid"), "candidates"), "uid", "left_semi")
 
 
 def match_count(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.constants import ALPHA
-from lodestar.functions.geometry import Location, distance, plain_derive_range, plain_quadrant, quadrant_of, usable
+from lodestar.functions.geometry import Location, derive_range, distance, plain_derive_range, plain_quadrant, quadrant_of, usable
 from lodestar.functions.keys import pivot_id
 from lodestar.operators import knn as nearest_neighbours
 from lodestar.operators import search
@@ -95,6 +95,13 @@ class LandmarkIndex:
         """Radius of the disc expected to hold k points at the density of q's quadrant."""
         return plain_derive_range(k, self.quadrants[self.quadrant_name(q)]["density"])
 
+    def initial_ranges(self, k: int) -> DataFrame:
+        """``(uid, r)``: the starting radius around each stored point; null where the density is zero."""
+        density = F.lit(None).cast("double")
+        for name, summary in self.quadrants.items():
+            density = F.when(F.col("quadrant") == name, F.lit(summary["density"])).otherwise(density)
+        return self.points.select("uid", derive_range(k, density).alias("r"))
+
     def quadrant_name(self, q: Location) -> str:
         return plain_quadrant(q, self.extent.centre)
 

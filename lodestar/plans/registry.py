@@ -477,17 +477,12 @@ def hull_centroid(given: Inputs) -> DataFrame:
     return _rounded(hull.hull_measures(given.edges), "area", "cx", "cy")
 
 
-def _extent_frame(given: Inputs) -> DataFrame:
-    centre = hull.hull_measures(given.edges).select("cx", "cy")
-    return hull.envelope(given.points).select("*", F.lit(1).alias("_")).join(centre.withColumn("_", F.lit(1)), "_")
-
-
 @query
 def quadrant_area(given: Inputs) -> DataFrame:
-    corners = (F.col(name) for name in ("min_x", "max_x", "min_y", "max_y", "cx", "cy"))
-    areas = quadrants.quadrant_areas(*corners)
+    bounds = (F.col(name) for name in ("min_x", "max_x", "min_y", "max_y"))
+    areas = quadrants.quadrant_areas(*bounds, *given.centre)
     rows = F.array(*(F.struct(F.lit(name).alias("name"), area.alias("area")) for name, area in areas.items()))
-    return _rounded(_extent_frame(given).select(F.inline(rows)), "area")
+    return _rounded(hull.envelope(given.points).select(F.inline(rows)), "area")
 
 
 @query
@@ -605,9 +600,7 @@ def derive_range(given: Inputs) -> DataFrame:
 @query
 def initial_range(given: Inputs) -> DataFrame:
     """Starting radius around every point, from the density of its quadrant."""
-    densities = given.index.quadrants_frame().select(F.col("name").alias("quadrant"), "density")
-    found = given.index.points.select("uid", "quadrant").join(densities, "quadrant")
-    return _rounded(found.select("uid", geometry.derive_range(NEIGHBOURS, "density").alias("r")), "r")
+    return _rounded(given.index.initial_ranges(NEIGHBOURS), "r")
 
 
 @query(name="knn")

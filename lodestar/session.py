@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Lists of at most this many short rows are broadcast; longer ones are joined like any table.
+BROADCAST_ROWS = 1_000_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -37,3 +41,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A list as a join side. Spark cannot see how long it is, so the hint is given here, by its length."""
+    frame = spark.createDataFrame(rows, schema)
+    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import written
+
 
 def ensure_table(spark: SparkSession, name: str, schema: str) -> None:
     """Create the table if it is missing."""
@@ -20,11 +22,12 @@ def recreate_table(spark: SparkSession, name: str, schema: str) -> None:
 def upserted(base: DataFrame, updates: DataFrame, key: str = "uid", version: str = "ts") -> DataFrame:
     """``base`` (one row per key) with the newest update of each key applied, and new keys added.
 
-    Updates are reduced to one row per key first. They are then joined from the side of the base, so as long
-    as they are small enough to broadcast, which Spark decides by their measured size, the base never moves.
+    Updates are reduced to one row per key and written first, so Spark knows their size when it plans the
+    joins. They are joined from the side of the base: while they are small enough to broadcast, it never moves.
     """
     others = [c for c in base.columns if c != key]
     newest = updates.groupBy(key).agg(F.max(F.struct(version, *[c for c in others if c != version])).alias("_new"))
+    newest = written(newest, "updates")
     newer = F.col("_new").isNotNull() & (F.col(f"_new.{version}") >= F.col(version))
     kept = base.join(newest, key, "left").select(
         key, *(F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in others)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.constants import DELIMITED_X, DELIMITED_Y, TSV_X, TSV_Y
 from lodestar.functions.codec import point_wkt
 from lodestar.functions.keys import point_uid
-from lodestar.operators.ordering import ROW_BITS
+from lodestar.session import small_frame
 
 TSV_SUFFIX = ".tsv"
 
@@ -30,14 +30,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     for split in sorted(splits, key=lambda s: (s["_file"], s["_start"])):
         offsets.append((split["_file"], split["_start"], before - split["_first"]))
         before += split["n"]
-    offsets = spark.createDataFrame(offsets, "_file string, _start long, _shift long")
+    offsets = small_frame(spark, offsets, "_file string, _start long, _shift long")
     return lines.join(offsets, ["_file", "_start"]).select("value", (F.col("_at") + F.col("_shift")).alias("line"))
 
 
 def _positions(lines: DataFrame, separator: str, x_pos: int, y_pos: int) -> DataFrame:
     """x and y by field position. A short line or a field that is no number stops the job."""
     fields = F.split(F.col("value"), separator)
-    return lines.withColumns({"x": F.element_at(fields, x_pos + 1).cast("double"), "y": F.element_at(fields, y_pos + 1).cast("double")})
+    return lines.withColumns({"x": fields[x_pos].cast("double"), "y": fields[y_pos].cast("double")})
 
 
 def quarantine_lines(lines: DataFrame, separator: str, x_pos: int, y_pos: int) -> tuple[DataFrame, DataFrame]:
