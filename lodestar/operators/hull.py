@@ -3,12 +3,11 @@
 The hull is kept as a table of directed edges ``(ax, ay, bx, by)``, counter-clockwise. Area and centroid are
 then plain sums over the edges, and no step ever needs the whole ring in order.
 
-Three passes give the edges:
+Two scans of the points and some work on the few outer ones give the edges:
 
-1. one aggregate finds the extreme points in eight directions;
-2. a filter over literals drops every point well inside that octagon, and the rest, made distinct, falls into
-   one of four pockets outside the quadrilateral of axis extremes;
-3. a pocket with more than ``pocket_limit`` points is split at its farthest point, round by round, with
+1. one aggregate finds farthest points in eight directions;
+2. a filter over literals drops every point well inside that octagon; the rest is made distinct and written;
+3. what is left falls into four pockets beyond the quadrilateral of axis extremes. A pocket with more than ``pocket_limit`` points is split at its farthest point, round by round, with
    ordinary aggregates and joins. Pockets that fit are finished independently of each other.
 
 No task, and not the driver either, ever holds more than ``pocket_limit`` points.
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.geometry import Location, cross, distance, usable
-from lodestar.session import written
+from lodestar.session import local_frame, written
 
 POCKET_LIMIT = 100_000
 EDGE = ["ax", "ay", "bx", "by"]
@@ -41,11 +40,13 @@ SECTORS = 360
 class Extremes:
     """Extreme points of the data, and what the same scan counts.
 
-    ``ring`` lists the eight extremes counter-clockwise from the east; every second one is an axis extreme.
+    ``ring`` lists a farthest point in each of eight directions, counter-clockwise from the east. ``first`` is
+    the first point ``(uid, x, y)`` by uid, found along the way where uids are integers.
     """
 
     n: int
-    ring: tuple[Location, ...]
+    ring: tuple[Location, ...] = ()
+    first: tuple | None = None
 
     @property
     def min_x(self) -> float:
@@ -63,42 +64,33 @@ class Extremes:
     def max_y(self) -> float:
         return self.ring[2].y
 
-    def axis_edges(self) -> list[tuple[Location, Location]]:
-        """The sides of the quadrilateral of axis extremes, without empty ones."""
-        corners = self.ring[::2]
-        pairs = zip(corners, corners[1:] + corners[:1])
-        return [(a, b) for a, b in pairs if a != b]
-
 
 def extremes(points: DataFrame) -> Extremes:
-    """One scan: how many usable points there are, and the extreme ones in eight directions.
+    """One scan: how many usable points there are, and a farthest one in each of eight directions.
 
-    Axis extremes are compared exactly, with ties going to the outer end, so each is a vertex of the hull.
+    Only numbers are aggregated, never structs, so this is a hash aggregate in generated code. The x and y of
+    one direction come from the same row, since both follow the same comparisons.
     """
     x, y = F.col("x"), F.col("y")
-    by_x, by_y = F.struct(x, y), F.struct(y, x)
-    by_sum, by_diff = F.struct(x + y, x, y), F.struct(x - y, x, y)
-    row = (
-        points.filter(usable())
-        .agg(
-            F.count("*").alias("n"),
-            F.max(by_x).alias("e"),
-            F.max(by_sum).alias("ne"),
-            F.max(by_y).alias("n_"),
-            F.min(by_diff).alias("nw"),
-            F.min(by_x).alias("w"),
-            F.min(by_sum).alias("sw"),
-            F.min(by_y).alias("s"),
-            F.max(by_diff).alias("se"),
-        )
-        .first()
-    )
-    if not row["n"]:
-        return Extremes(0, ())
-    return Extremes(
-        row["n"],
-        tuple(Location(row[name]["x"], row[name]["y"]) for name in ("e", "ne", "n_", "nw", "w", "sw", "s", "se")),
-    )
+    directions = [
+        (F.max_by, x),
+        (F.max_by, x + y),
+        (F.max_by, y),
+        (F.min_by, x - y),
+        (F.min_by, x),
+        (F.min_by, x + y),
+        (F.min_by, y),
+        (F.max_by, x - y),
+    ]
+    sums = [F.count("*")] + [pick(axis, measure) for pick, measure in directions for axis in (x, y)]
+    numbered = dict(points.dtypes).get("uid") in ("int", "bigint")
+    if numbered:
+        sums += [F.min("uid"), F.min_by(x, "uid"), F.min_by(y, "uid")]
+    n, *found = points.filter(usable()).agg(*(value.alias(f"v{i}") for i, value in enumerate(sums))).first()
+    if not n:
+        return Extremes(0)
+    ring = tuple(Location(found[i], found[i + 1]) for i in range(0, 16, 2))
+    return Extremes(n, ring, tuple(found[16:]) if numbered else None)
 
 
 def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit: int = POCKET_LIMIT) -> DataFrame:
@@ -109,15 +101,18 @@ def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit:
     """
     spark = points.sparkSession
     found = found or extremes(points)
-    sides = found.axis_edges() if found.n else []
+    if not found.n:
+        return local_frame(spark, [], EDGE_SCHEMA)
+    outer = written(_outer_points(points, found), "hull-outer")
+    corners = _corners(outer)
+    sides = [(a, b) for a, b in zip(corners, corners[1:] + corners[:1]) if a != b]
     if not sides:
-        lone = [(*found.ring[0], *found.ring[0])] if found.n else []
-        return spark.createDataFrame(lone, EDGE_SCHEMA)
+        return local_frame(spark, [(*corners[0], *corners[0])], EDGE_SCHEMA)
 
-    pockets = written(_pockets(points, found, sides), "hull-pockets")
+    pockets = _pockets(outer, sides)
     sizes = {tuple(row[:4]): row["count"] for row in pockets.groupBy(*EDGE).count().collect()}
     bare = [(*a, *b) for a, b in sides if (*a, *b) not in sizes]
-    edges = spark.createDataFrame(bare, EDGE_SCHEMA)
+    edges = local_frame(spark, bare, EDGE_SCHEMA)
     largest = max(sizes.values(), default=0)
     while largest > pocket_limit:
         pockets, closed = _split(pockets)
@@ -128,27 +123,31 @@ def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit:
     return written(edges, "hull-edges")
 
 
-def _pockets(points: DataFrame, found: Extremes, sides) -> DataFrame:
-    """Distinct points outside the axis quadrilateral, each with the side it lies beyond."""
-    x, y = F.col("x"), F.col("y")
-    span = max((found.max_x - found.min_x) * (found.max_y - found.min_y), 0.0)
-    band = F.lit(BAND * span)
+def _outer_points(points: DataFrame, found: Extremes) -> DataFrame:
+    """Distinct points on or beyond the octagon of extremes: a filter over literals, and a partial distinct."""
+    band = F.lit(BAND * (found.max_x - found.min_x) * (found.max_y - found.min_y))
     ring = [p for i, p in enumerate(found.ring) if p != found.ring[i - 1]]
-    near = F.lit(False)
+    outer = F.lit(len(ring) < 3)
     for a, b in zip(ring, ring[1:] + ring[:1]):
-        near = near | (cross(*a, *b, x, y) <= band)
+        outer = outer | (cross(*a, *b, "x", "y") <= band)
+    return points.filter(usable()).filter(outer).select("x", "y").distinct()
+
+
+def _corners(outer: DataFrame) -> list[Location]:
+    """Axis extremes east, north, west and south. Ties go to the outer end, so each is a vertex of the hull."""
+    by_x, by_y = F.struct("x", "y"), F.struct("y", "x")
+    row = outer.agg(F.max(by_x).alias("e"), F.max(by_y).alias("n"), F.min(by_x).alias("w"), F.min(by_y).alias("s"))
+    row = row.first()
+    return [Location(row[name]["x"], row[name]["y"]) for name in ("e", "n", "w", "s")]
+
+
+def _pockets(outer: DataFrame, sides: list[tuple[Location, Location]]) -> DataFrame:
+    """Points outside the quadrilateral of axis extremes, each with the side it lies beyond."""
     side = F.lit(None)
     for a, b in reversed(sides):
         edge = F.struct(*(F.lit(v).alias(name) for v, name in zip((*a, *b), EDGE)))
-        side = F.when(cross(*a, *b, x, y) < 0, edge).otherwise(side)
-    return (
-        points.filter(usable())
-        .filter(near)
-        .select("x", "y", side.alias("side"))
-        .filter(F.col("side").isNotNull())
-        .select("side.*", "x", "y")
-        .distinct()
-    )
+        side = F.when(cross(*a, *b, "x", "y") < 0, edge).otherwise(side)
+    return outer.select(side.alias("side"), "x", "y").filter(F.col("side").isNotNull()).select("side.*", "x", "y")
 
 
 def _split(pockets: DataFrame) -> tuple[DataFrame, DataFrame]:

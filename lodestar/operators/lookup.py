@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import small_frame
+from lodestar.session import join_side
 
 # Longer key lists become a join instead of a literal list in the plan.
 LITERAL_KEYS = 1000
@@ -71,7 +71,7 @@ def batch_lookup(table: DataFrame, keys: list | DataFrame, key: str = "row") ->
         return table.join(keys.select(key), key, "left_semi")
     if len(keys) <= LITERAL_KEYS:
         return table.filter(F.col(key).isin(keys))
-    frame = small_frame(table.sparkSession, [(k,) for k in keys], table.select(key).schema)
+    frame = join_side(table.sparkSession, [(k,) for k in keys], table.select(key).schema)
     return table.join(frame, key, "left_semi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import small_frame, written
+from lodestar.session import join_side, written
 
 # Up to this many rows per task may go straight to the one task that merges them.
 DIRECT_ROWS = 16
@@ -45,7 +45,7 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     for row in placed.groupBy(part).count().orderBy("_part").collect():
         offsets.append((row["_part"], before))
         before += row["count"]
-    offsets = small_frame(df.sparkSession, offsets, "_part long, _before long")
+    offsets = join_side(df.sparkSession, offsets, "_part long, _before long")
     within = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (
         placed.select(*columns, part, within.alias("_within"))
@@ -80,10 +80,12 @@ def unique_points(points: DataFrame) -> DataFrame:
     return points.groupBy("x", "y").agg(F.min("uid").alias("uid")).select("uid", "x", "y")
 
 
-def one_per_distance(found: DataFrame, order: str = "uid") -> DataFrame:
-    """One row per distance: the first in input order."""
-    first = F.min(F.struct(F.col(order).alias("_order"), "uid", "x", "y")).alias("first")
-    return found.groupBy("dist").agg(first).select("first.uid", "first.x", "first.y", "dist")
+def one_per_distance(found: DataFrame) -> DataFrame:
+    """One row per distance: the one with the smallest uid."""
+    first = found.groupBy("dist").agg(
+        F.min("uid").alias("uid"), F.min_by("x", "uid").alias("x"), F.min_by("y", "uid").alias("y")
+    )
+    return first.select("uid", "x", "y", "dist")
 
 
 def sample_point(points: DataFrame, seed: int) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestar.constants import ALPHA, RANDOM_PIVOT_DRAWS, RANDOM_PIVOT_POOL
 from lodestar.functions.geometry import Location, distance, distance_to, usable
 from lodestar.functions.keys import pivot_id
 from lodestar.operators.ordering import first_rows
-from lodestar.session import small_frame
+from lodestar.session import join_side, local_frame
 
 
 class Pivot(NamedTuple):
@@ -33,25 +33,37 @@ def most_pivots(alpha: float) -> int:
     return int(((1 + alpha) / alpha) ** 2)
 
 
-def sss_pivots(points: DataFrame, diameter: float, alpha: float = ALPHA, order_by: str = "uid") -> list[Pivot]:
+def sss_pivots(
+    points: DataFrame, diameter: float, alpha: float = ALPHA, order_by: str = "uid", first: tuple | None = None
+) -> list[Pivot]:
     """Sparse spatial selection: a point is a pivot when it is at least alpha * diameter from all before it.
 
     A rejected point stays rejected, so the next pivot is the first in order among the survivors: one scan and
-    one row per task for each pivot, and exactly the result of going through the points one by one.
+    one row per task for each pivot, and exactly the result of going through the points one by one. ``first``
+    saves a scan when the first point ``(uid, x, y)`` is known already.
     """
     spacing = alpha * diameter
     pivots: list[Pivot] = []
     survivors = points.filter(usable())
-    while True:
-        row = survivors.agg(F.min(F.struct(order_by, F.col("uid").alias("_uid"), "x", "y")).alias("next")).first()["next"]
-        if row is None:
-            return pivots
+    following = first or _first_point(survivors, order_by)
+    while following is not None:
         if len(pivots) >= most_pivots(alpha):
             raise RuntimeError(f"more than {most_pivots(alpha)} pivots: diameter {diameter} is too small for the data")
-        pivots.append(Pivot(pivot_id(len(pivots)), len(pivots), row["_uid"], row["x"], row["y"]))
+        pivots.append(Pivot(pivot_id(len(pivots)), len(pivots), *following))
         if spacing == 0:
-            return pivots
+            break
         survivors = survivors.filter(_clear_of(pivots[-1].place, spacing))
+        following = _first_point(survivors, order_by)
+    return pivots
+
+
+def _first_point(points: DataFrame, order_by: str) -> tuple | None:
+    """``(uid, x, y)`` of the first point. Single values, unlike structs, are aggregated in generated code."""
+    if order_by != "uid":
+        lowest = points.agg(F.min(order_by)).first()[0]
+        points = points.filter(F.col(order_by) == F.lit(lowest))
+    row = points.agg(F.min("uid"), F.min_by("x", "uid"), F.min_by("y", "uid")).first()
+    return None if row[0] is None else tuple(row)
 
 
 def _clear_of(place: Location, spacing: float) -> Column:
@@ -78,7 +90,7 @@ def random_pivots(
     size = head.count()
     chooser = random.Random(seed)
     drawn = [(i, chooser.randrange(size)) for i in range(draws)] if size else []
-    drawn = small_frame(points.sparkSession, drawn, "ord int, _position int")
+    drawn = join_side(points.sparkSession, drawn, "ord int, _position int")
     numbered = head.withColumn("_position", F.row_number().over(Window.orderBy(*order)) - 1)
     return drawn.join(numbered, "_position").select(
         F.concat(F.lit(pivot_id("")), F.col("ord")).alias("pivot_id"), "ord", "uid", "x", "y"
@@ -86,7 +98,7 @@ def random_pivots(
 
 
 def pivots_frame(spark: SparkSession, pivots: list[Pivot], uid_type: str = "bigint") -> DataFrame:
-    return spark.createDataFrame(pivots, f"pivot_id string, ord int, uid {uid_type}, x double, y double")
+    return local_frame(spark, pivots, f"pivot_id string, ord int, uid {uid_type}, x double, y double")
 
 
 def collect_pivots(frame: DataFrame) -> list[Pivot]:

@@ -13,9 +13,10 @@ from lodestar.functions.geometry import Location, derive_range, distance, plain_
 from lodestar.functions.keys import pivot_id
 from lodestar.operators import knn as nearest_neighbours
 from lodestar.operators import search
-from lodestar.operators.hull import convex_hull, extremes, hull_diameter, hull_measures
+from lodestar.operators.hull import Extremes, convex_hull, extremes, hull_diameter, hull_measures
 from lodestar.operators.pivots import Pivot, collect_pivots, pivots_frame, sss_pivots
 from lodestar.operators.quadrants import quadrant_areas, quadrant_table, stored_quadrant_counts
+from lodestar.session import local_frame
 
 # Bits per axis of the cell number that orders the stored points.
 CELL_BITS = 24
@@ -47,9 +48,9 @@ class Extent:
 EXTENT_SCHEMA = ", ".join(f"{f.name} {'bigint' if f.name == 'n' else 'double'}" for f in fields(Extent))
 
 
-def measure(points: DataFrame) -> Extent | None:
+def measure(points: DataFrame, found: Extremes | None = None) -> Extent | None:
     """Extent of the points, or None when there are none."""
-    found = extremes(points)
+    found = found or extremes(points)
     if not found.n:
         return None
     hull = convex_hull(points, found)
@@ -122,10 +123,11 @@ def build_index(
     times: store it as Parquet first when it comes from text.
     """
     spark = points.sparkSession
-    extent = measure(points)
+    found = extremes(points)
+    extent = measure(points, found)
     if extent is None:
         raise ValueError("no points with finite coordinates")
-    pivots = sss_pivots(points, extent.diameter, alpha, order_by)
+    pivots = sss_pivots(points, extent.diameter, alpha, order_by, found.first if order_by == "uid" else None)
 
     columns = [F.col("uid"), F.col("x"), F.col("y")] + ([F.col(order_by)] if order_by not in ("uid", "x", "y") else [])
     measured = points.filter(usable()).select(
@@ -153,7 +155,7 @@ def build_index(
     index = LandmarkIndex(points, pivots, extent, quadrants)
     index.pivots_frame().coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
     index.quadrants_frame().coalesce(1).write.mode("overwrite").parquet(f"{path}/quadrants")
-    extent_frame = spark.createDataFrame([tuple(asdict(extent).values())], EXTENT_SCHEMA)
+    extent_frame = local_frame(spark, [tuple(asdict(extent).values())], EXTENT_SCHEMA)
     extent_frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/extent")
     return index
 
@@ -174,7 +176,7 @@ def _quadrant_rows(frame: DataFrame) -> dict[str, dict]:
 
 def _quadrants_frame(spark: SparkSession, quadrants: dict[str, dict]) -> DataFrame:
     rows = [(q["name"], q["area"], q["n"], q["density"]) for q in quadrants.values()]
-    return spark.createDataFrame(rows, "name string, area double, n bigint, density double")
+    return local_frame(spark, rows, "name string, area double, n bigint, density double")
 
 
 def _cell(extent: Extent) -> Column:

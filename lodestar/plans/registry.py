@@ -18,7 +18,7 @@ from lodestar.functions.geometry import Location
 from lodestar.operators import hull, lookup, ordering, pivots, quadrants, search
 from lodestar.operators.knn import knn
 from lodestar.plans.index import LandmarkIndex, build_index
-from lodestar.session import scratch_path, written
+from lodestar.session import local_frame, scratch_path, written
 from lodestar.sources import cells as cell_table
 from lodestar.sources import generators, tables, text, topics
 from lodestar.streaming import queries as streams
@@ -706,7 +706,7 @@ def stream_match_count(given: Inputs) -> DataFrame:
 def stream_stop_at_n(given: Inputs) -> DataFrame:
     found = streams.stream_range(given.stream, given.q, RADIUS)
     report = streams.stream_stop_at_n(found, STOP_AFTER, scratch_path(given.spark, "stop"))
-    return given.spark.createDataFrame([(report.reached,)], "reached boolean")
+    return local_frame(given.spark, [(report.reached,)], "reached boolean")
 
 
 @query
@@ -725,7 +725,7 @@ def stream_timing(given: Inputs) -> DataFrame:
     running = writer.option("checkpointLocation", path).trigger(availableNow=True).start()
     running.awaitTermination()
     rows = streams.stream_timing(running)["rows"]
-    return given.spark.createDataFrame([(rows,)], "rows bigint")
+    return local_frame(given.spark, [(rows,)], "rows bigint")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

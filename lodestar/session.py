@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Lists of at most this many short rows are broadcast; longer ones are joined like any table.
 BROADCAST_ROWS = 1_000_000
@@ -43,7 +46,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_frame(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
-    """A list as a join side. Spark cannot see how long it is, so the hint is given here, by its length."""
-    frame = spark.createDataFrame(rows, schema)
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A list as a DataFrame that is part of the plan: Spark knows its size and starts no Python worker for it."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
+
+
+def join_side(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A list to join with a large table: broadcast up to a fixed length, joined like any table beyond it."""
+    frame = local_frame(spark, rows, schema)
     return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame

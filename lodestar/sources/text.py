@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.constants import DELIMITED_X, DELIMITED_Y, TSV_X, TSV_Y
 from lodestar.functions.codec import point_wkt
 from lodestar.functions.keys import point_uid
-from lodestar.session import small_frame
+from lodestar.session import join_side
 
 TSV_SUFFIX = ".tsv"
 
@@ -30,7 +30,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     for split in sorted(splits, key=lambda s: (s["_file"], s["_start"])):
         offsets.append((split["_file"], split["_start"], before - split["_first"]))
         before += split["n"]
-    offsets = small_frame(spark, offsets, "_file string, _start long, _shift long")
+    offsets = join_side(spark, offsets, "_file string, _start long, _shift long")
     return lines.join(offsets, ["_file", "_start"]).select("value", (F.col("_at") + F.col("_shift")).alias("line"))
 
 

@@ -14,6 +14,7 @@ from lodestar.functions.geometry import Location, distance_to, plain_distance, u
 from lodestar.operators.knn import nearest_rows
 from lodestar.operators.pivots import Pivot, nearest
 from lodestar.operators.search import EXCLUDE_COORDS, SLACK, box_bound, refine, without_query
+from lodestar.session import local_frame
 from lodestar.streaming.state import BatchState
 
 NEIGHBOUR_SCHEMA = "uid {uid}, x double, y double, dist double"
@@ -78,7 +79,7 @@ def stream_stop_at_n(found: DataFrame, n: int, path: str, timeout: float | None
     def count_batch(batch: DataFrame, batch_id: int) -> None:
         before = state.before(batch_id).agg(F.sum("matches")).first()[0] or 0
         total = before + batch.count()
-        state.save(found.sparkSession.createDataFrame([(total,)], "matches bigint"), batch_id)
+        state.save(local_frame(found.sparkSession, [(total,)], "matches bigint"), batch_id)
         if not report.reached:
             report.matches, report.batch_id, report.reached = total, batch_id, total >= n
         if report.reached:

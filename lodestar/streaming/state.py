@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import local_frame
+
 
 class BatchState:
     """A small table carried from batch to batch in the shared folder.
@@ -19,7 +21,7 @@ class BatchState:
     def before(self, batch_id: int) -> DataFrame:
         """State left by the batch before this one."""
         if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
+            return local_frame(self.spark, [], self.schema)
         return self._slot(batch_id - 1).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
 
     def save(self, state: DataFrame, batch_id: int) -> None:
