@@ -59,6 +59,20 @@ def cross(ax, ay, bx, by, px, py) -> Column:
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
+def cross_text(a: Location, b: Location) -> str:
+    """``cross`` of a fixed line and the columns x and y as SQL text.
+
+    A filter over many lines is one parse this way, instead of a call to the JVM for each operation.
+    """
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    return f"{number_text(dx)} * (y - {number_text(a[1])}) - {number_text(dy)} * (x - {number_text(a[0])})"
+
+
+def number_text(value: float) -> str:
+    """A double as SQL text, exact to the last bit."""
+    return f"({float(value)!r}D)"
+
+
 def snap_zero(value) -> Column:
     """Values within EPSILON of zero become zero."""
     value = _number(value)

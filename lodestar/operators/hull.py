@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.geometry import Location, cross, distance, usable
+from lodestar.functions.geometry import Location, cross, cross_text, distance, number_text, usable
 from lodestar.session import local_frame, written
 
 POCKET_LIMIT = 100_000
@@ -125,12 +125,13 @@ def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit:
 
 def _outer_points(points: DataFrame, found: Extremes) -> DataFrame:
     """Distinct points on or beyond the octagon of extremes: a filter over literals, and a partial distinct."""
-    band = F.lit(BAND * (found.max_x - found.min_x) * (found.max_y - found.min_y))
+    band = number_text(BAND * (found.max_x - found.min_x) * (found.max_y - found.min_y))
     ring = [p for i, p in enumerate(found.ring) if p != found.ring[i - 1]]
-    outer = F.lit(len(ring) < 3)
-    for a, b in zip(ring, ring[1:] + ring[:1]):
-        outer = outer | (cross(*a, *b, "x", "y") <= band)
-    return points.filter(usable()).filter(outer).select("x", "y").distinct()
+    outer = [f"{cross_text(a, b)} <= {band}" for a, b in zip(ring, ring[1:] + ring[:1])]
+    points = points.filter(usable())
+    if len(ring) > 2:
+        points = points.filter(" OR ".join(outer))
+    return points.select("x", "y").distinct()
 
 
 def _corners(outer: DataFrame) -> list[Location]:
@@ -143,11 +144,12 @@ def _corners(outer: DataFrame) -> list[Location]:
 
 def _pockets(outer: DataFrame, sides: list[tuple[Location, Location]]) -> DataFrame:
     """Points outside the quadrilateral of axis extremes, each with the side it lies beyond."""
-    side = F.lit(None)
-    for a, b in reversed(sides):
-        edge = F.struct(*(F.lit(v).alias(name) for v, name in zip((*a, *b), EDGE)))
-        side = F.when(cross(*a, *b, "x", "y") < 0, edge).otherwise(side)
-    return outer.select(side.alias("side"), "x", "y").filter(F.col("side").isNotNull()).select("side.*", "x", "y")
+    cases = []
+    for a, b in sides:
+        edge = ", ".join(f"'{name}', {number_text(v)}" for name, v in zip(EDGE, (*a, *b)))
+        cases.append(f"WHEN {cross_text(a, b)} < 0 THEN named_struct({edge})")
+    sided = outer.selectExpr(f"CASE {' '.join(cases)} END AS side", "x", "y")
+    return sided.filter("side IS NOT NULL").select("side.*", "x", "y")
 
 
 def _split(pockets: DataFrame) -> tuple[DataFrame, DataFrame]:

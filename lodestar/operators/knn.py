@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.geometry import Location, distance_to, plain_distance, usable
-from lodestar.operators.ordering import DIRECT_ROWS, MERGE_ROWS, by_distance, ranked
+from lodestar.operators.ordering import DIRECT_ROWS, by_distance, ranked
 from lodestar.operators.search import EXCLUDE_COORDS, without_query
 
+# One task may merge this many rows; more are ranked by a distributed sort.
+MERGE_ROWS = 1_000_000
+
 # Distance bands per doubling of the distance.
 BANDS = 8
 

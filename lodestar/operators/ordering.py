@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.session import join_side, written
@@ -10,12 +10,6 @@ from lodestar.session import join_side, written
 # Up to this many rows per task may go straight to the one task that merges them.
 DIRECT_ROWS = 16
 
-# Groups in which longer lists of first rows are thinned out before the last merge.
-MERGE_GROUPS = 64
-
-# A merge of at most this many rows fits one task; beyond it rows are ranked by a distributed sort.
-MERGE_ROWS = 1_000_000
-
 # The low bits of monotonically_increasing_id() count rows, the others are the partition.
 ROW_BITS = 33
 
@@ -57,22 +51,14 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first n rows in the order.
 
-    Plain ``orderBy().limit()`` sends n rows of every task to one place, so it serves short lists only. Longer
-    ones are cut to n rows per task and per group of tasks first, very long ones are ranked.
+    Plain ``orderBy().limit()`` sends n rows of every task to one place, so it serves short lists only. For a
+    longer one every task cuts its own rows to n, and what is left is ranked by a distributed sort.
     """
     if n <= DIRECT_ROWS:
         return df.orderBy(*order).limit(n)
-    if n * MERGE_GROUPS > MERGE_ROWS * 16:
-        return ranked(df, order, "_rank").filter(F.col("_rank") < n).drop("_rank").orderBy(*order)
-    grouped = Window.partitionBy("_group").orderBy(*order)
-    return (
-        df.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
-        .withColumn("_rank", F.row_number().over(grouped))
-        .filter(F.col("_rank") <= n)
-        .drop("_group", "_rank")
-        .orderBy(*order)
-        .limit(n)
-    )
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    cut = df.sortWithinPartitions(*order).withColumn("_place", place).filter(F.col("_place") < n).drop("_place")
+    return ranked(cut, order, "_rank").filter(F.col("_rank") < n).drop("_rank").orderBy(*order)
 
 
 def unique_points(points: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.constants import ALPHA, RANDOM_PIVOT_DRAWS, RANDOM_PIVOT_POOL
+from lodestar.constants import ALPHA, PIVOT_PREFIX, RANDOM_PIVOT_DRAWS, RANDOM_PIVOT_POOL
 from lodestar.functions.geometry import Location, distance, distance_to, usable
 from lodestar.functions.keys import pivot_id
 from lodestar.operators.ordering import first_rows
-from lodestar.session import join_side, local_frame
+from lodestar.session import join_side, local_frame, written
 
 
 class Pivot(NamedTuple):
@@ -86,14 +86,14 @@ def random_pivots(
     The pool is the feature's own, fixed bound, so one window may number it.
     """
     order = [order_by] if order_by == "uid" else [order_by, "uid"]
-    head = first_rows(points.filter(usable()), pool, order)
+    head = written(first_rows(points.filter(usable()), pool, order), "pivot-pool")
     size = head.count()
     chooser = random.Random(seed)
     drawn = [(i, chooser.randrange(size)) for i in range(draws)] if size else []
     drawn = join_side(points.sparkSession, drawn, "ord int, _position int")
     numbered = head.withColumn("_position", F.row_number().over(Window.orderBy(*order)) - 1)
     return drawn.join(numbered, "_position").select(
-        F.concat(F.lit(pivot_id("")), F.col("ord")).alias("pivot_id"), "ord", "uid", "x", "y"
+        F.concat(F.lit(PIVOT_PREFIX), F.col("ord")).alias("pivot_id"), "ord", "uid", "x", "y"
     )
 
 
@@ -125,7 +125,7 @@ def closest_pivot(points: DataFrame, pivots: list[Pivot]) -> DataFrame:
     near = points.withColumn("_near", nearest(pivots))
     return near.select(
         *points.columns,
-        F.concat(F.lit(pivot_id("")), F.col("_near.ord")).alias("closest_pivot"),
+        F.concat(F.lit(PIVOT_PREFIX), F.col("_near.ord")).alias("closest_pivot"),
         F.col("_near.dist").alias("dp_closest"),
     )
 

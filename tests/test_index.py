@@ -51,7 +51,7 @@ QUERIES = [Location(5.0, 5.0), Location(0.25, -3.5), Location(500.0, -900.0)]
 
 @pytest.mark.parametrize("name", SETS)
 @pytest.mark.parametrize("q", QUERIES)
-@pytest.mark.parametrize("r", [0.0, 3.0, 20.0, 1500.0])
+@pytest.mark.parametrize("r", [0.0, 20.0, 1500.0])
 def test_range_query_matches_brute_force(built, name, q, r):
     index = built[name]
     rows = index.range_query(q, r).collect()
@@ -59,7 +59,7 @@ def test_range_query_matches_brute_force(built, name, q, r):
 
 
 @pytest.mark.parametrize("name", SETS)
-@pytest.mark.parametrize("r", [3.0, 20.0, 90.0, 1500.0])
+@pytest.mark.parametrize("r", [20.0, 90.0, 1500.0])
 def test_certain_hits_are_hits_and_hits_survive_pruning(built, name, r):
     index, q = built[name], Location(0.25, -3.5)
     certain = {row["uid"] for row in index.certain_hits(q, r).collect()}
@@ -69,14 +69,20 @@ def test_certain_hits_are_hits_and_hits_survive_pruning(built, name, r):
 
 
 @pytest.mark.parametrize("name", SETS)
-@pytest.mark.parametrize("q", QUERIES)
-@pytest.mark.parametrize("k", [0, 1, 10, 250, 5000])
+@pytest.mark.parametrize("q", QUERIES[::2])
+@pytest.mark.parametrize("k", [0, 10, 250])
 def test_knn_matches_brute_force(spark, built, name, q, k):
     want = brute_range(SETS[name], q, math.inf)[:k]
     for found in (built[name].knn(q, k), knn(frame(spark, SETS[name]), q, k)):
         assert [(row["dist"], row["uid"]) for row in found.collect()] == want
 
 
+def test_knn_beyond_the_data_gives_all_of_it(spark, built):
+    q, want = QUERIES[1], brute_range(SETS["hot"], QUERIES[1], math.inf)
+    for found in (built["hot"].knn(q, 5000), knn(frame(spark, SETS["hot"]), q, 5000)):
+        assert [(row["dist"], row["uid"]) for row in found.collect()] == want
+
+
 def test_knn_with_very_many_equal_distances_is_ranked_exactly(spark, monkeypatch):
     monkeypatch.setattr("lodestar.operators.knn.MERGE_ROWS", 50)
     places = [(3, 4)] * 400 + scattered(200, 21)

@@ -13,9 +13,7 @@ def test_ranks_are_exact_with_hot_keys(spark):
 
 
 @pytest.mark.parametrize("n", [0, 5, 200, 1000])
-@pytest.mark.parametrize("merge_rows", [1_000_000, 10])
-def test_first_rows(spark, monkeypatch, n, merge_rows):
-    monkeypatch.setattr(ordering, "MERGE_ROWS", merge_rows)
+def test_first_rows(spark, n):
     points = frame(spark, scattered(700, 2), 9)
     assert [row["uid"] for row in ordering.first_rows(points, n, ["uid"]).collect()] == list(range(min(n, 700)))
 

@@ -4,7 +4,7 @@ import pytest
 
 from lodestar import build_index
 from lodestar.functions.geometry import Location, inside_window, same_place
-from lodestar.operators import lookup, pivots, search
+from lodestar.operators import lookup, ordering, pivots, search
 from lodestar.session import scratch_path
 from lodestar.sources import cells
 from tests.fixtures import frame, scattered
@@ -67,3 +67,15 @@ def test_no_cartesian_products(spark):
     for name in ("pivot_distances", "closest_pivot", "diameter", "term_intersect", "upsert_points", "initial_range"):
         text = plan(__spark_entry__.queries()[name](spark, folder))
         assert "Cartesian" not in text and "NestedLoop" not in text, name
+
+
+def test_first_rows_are_cut_before_anything_moves(spark):
+    written = []
+    points = frame(spark, scattered(3000, 5), 8)
+    original = ordering.ranked
+    ordering.ranked = lambda df, order, name: written.append(df.count()) or original(df, order, name)
+    try:
+        assert ordering.first_rows(points, 20, ["x", "uid"]).count() == 20
+    finally:
+        ordering.ranked = original
+    assert written == [8 * 20]
