@@ -712,9 +712,8 @@ def stream_stop_at_n(given: Inputs) -> DataFrame:
 @query
 def stream_knn(given: Inputs) -> DataFrame:
     path = scratch_path(given.spark, "stream-knn")
-    running = streams.stream_knn(given.stream, given.q, NEIGHBOURS, path)
-    running.awaitTermination()
-    return streams.knn_result(given.stream, running, path)
+    streams.stream_knn(given.stream, given.q, NEIGHBOURS, path).awaitTermination()
+    return streams.knn_result(given.stream, path)
 
 
 @query

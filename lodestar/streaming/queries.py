@@ -121,12 +121,10 @@ def stream_knn(points: DataFrame, q: Location, k: int, path: str, exclude: str =
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def knn_result(points: DataFrame, query: StreamingQuery, path: str) -> DataFrame:
+def knn_result(points: DataFrame, path: str) -> DataFrame:
     """Neighbours after the last finished batch, nearest first."""
     schema = NEIGHBOUR_SCHEMA.format(uid=dict(points.dtypes)["uid"])
-    state = BatchState(points.sparkSession, f"{path}/nearest", schema)
-    batches = [p["batchId"] for p in query.recentProgress]
-    return state.after(max(batches, default=-1)).orderBy("dist", "uid")
+    return BatchState(points.sparkSession, f"{path}/nearest", schema).latest().orderBy("dist", "uid")
 
 
 def stream_timing(query: StreamingQuery) -> dict[str, float]:

@@ -28,9 +28,14 @@ class BatchState:
         stamped = state.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         stamped.write.mode("overwrite").parquet(f"{self.path}/slot-{batch_id % 2}")
 
-    def after(self, batch_id: int) -> DataFrame:
-        """State that this batch left."""
-        return self.before(batch_id + 1)
+    def latest(self) -> DataFrame:
+        """State of the last finished batch, whichever slot holds it. To be read while no batch runs."""
+        slots = self._read(f"{self.path}/slot-*")
+        last = slots.agg(F.max("batch_id")).first()[0]
+        return slots.filter(F.col("batch_id") == F.lit(last)).drop("batch_id")
 
     def _slot(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, batch_id bigint").parquet(f"{self.path}/slot-{batch_id % 2}")
+        return self._read(f"{self.path}/slot-{batch_id % 2}")
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, batch_id bigint").parquet(path)

@@ -36,12 +36,20 @@ def test_range_stream_equals_batch(spark, folder):
 
 @pytest.mark.parametrize("k", [5, 350])
 def test_knn_stream_equals_batch(spark, folder, tmp_path, k):
-    query = streams.stream_knn(stream(spark, folder), Q, k, str(tmp_path))
-    query.awaitTermination()
-    rows = streams.knn_result(stream(spark, folder), query, str(tmp_path)).collect()
+    streams.stream_knn(stream(spark, folder), Q, k, str(tmp_path)).awaitTermination()
+    rows = streams.knn_result(stream(spark, folder), str(tmp_path)).collect()
     assert [(row["dist"], row["uid"]) for row in rows] == brute_range(PLACES, Q, math.inf)[:k]
 
 
+def test_knn_stream_goes_on_after_a_restart(spark, tmp_path):
+    source, path = str(tmp_path / "points"), str(tmp_path / "query")
+    for shift, part in ((0, PLACES[:400]), (400, PLACES[400:])):
+        frame(spark, part).withColumn("uid", F.col("uid") + shift).write.mode("append").parquet(source)
+        streams.stream_knn(stream(spark, source), Q, 50, path).awaitTermination()
+    rows = streams.knn_result(stream(spark, source), path).collect()
+    assert [(row["dist"], row["uid"]) for row in rows] == brute_range(PLACES, Q, math.inf)[:50]
+
+
 def test_running_count(spark, folder):
     counts = streams.stream_match_count(streams.stream_range(stream(spark, folder), Q, 20.0), "q")
     query = counts.writeStream.format("memory").queryName("counted").outputMode("complete")
@@ -62,7 +70,7 @@ def test_state_survives_a_repeated_batch(spark, tmp_path):
     for batch in (0, 1, 1, 2, 2):
         before = state.before(batch).agg(F.sum("n")).first()[0] or 0
         state.save(spark.createDataFrame([(before + 10,)], "n bigint"), batch)
-    assert state.after(2).first()["n"] == 30
+    assert state.latest().first()["n"] == 30
 
 
 def test_point_without_stored_distance_stops(spark):
