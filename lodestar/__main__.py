@@ -27,6 +27,7 @@ def arguments() -> argparse.ArgumentParser:
     load.add_argument("index")
     load.add_argument("--x-pos", type=int)
     load.add_argument("--y-pos", type=int)
+    load.add_argument("--file-order", action="store_true", help="choose pivots in the order of the lines")
 
     publish = commands.add_parser("publish")
     publish.add_argument("index")
@@ -45,7 +46,8 @@ def arguments() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "import":
         positions = {"x_pos": args.x_pos, "y_pos": args.y_pos}
-        import_points(spark, args.source, args.index, **{k: v for k, v in positions.items() if v is not None})
+        positions = {k: v for k, v in positions.items() if v is not None}
+        import_points(spark, args.source, args.index, args.file_order, **positions)
     elif args.command == "publish":
         publish_index(load_index(spark, args.index), dict(option.split("=", 1) for option in args.options))
     else:

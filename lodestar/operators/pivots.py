@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.constants import ALPHA, PIVOT_PREFIX, RANDOM_PIVOT_DRAWS, RANDOM_PIVOT_POOL
-from lodestar.functions.geometry import Location, distance, distance_to, usable
+from lodestar.functions.geometry import Location, distance, distance_to, plain_distance, usable
 from lodestar.functions.keys import pivot_id
+from lodestar.operators.hull import Extremes, extremes
 from lodestar.operators.ordering import first_rows
 from lodestar.session import join_side, local_frame, written
 
 
+# Cells per axis of the grid that the choice of pivots looks at.
+GRID = 32
+
+
 class Pivot(NamedTuple):
     pivot_id: str
     ord: int
@@ -34,36 +39,85 @@ def most_pivots(alpha: float) -> int:
 
 
 def sss_pivots(
-    points: DataFrame, diameter: float, alpha: float = ALPHA, order_by: str = "uid", first: tuple | None = None
+    points: DataFrame,
+    diameter: float,
+    alpha: float = ALPHA,
+    order_by: str = "uid",
+    found: Extremes | None = None,
 ) -> list[Pivot]:
     """Sparse spatial selection: a point is a pivot when it is at least alpha * diameter from all before it.
 
-    A rejected point stays rejected, so the next pivot is the first in order among the survivors: one scan and
-    one row per task for each pivot, and exactly the result of going through the points one by one. ``first``
-    saves a scan when the first point ``(uid, x, y)`` is known already.
+    A rejected point stays rejected, so the next pivot is always the first in order among the survivors. One
+    scan brings the first survivor of every cell of a fixed grid, which is enough to name the next pivot, and
+    mostly those after it too: a new pivot leaves undecided only cells that its disc cuts, and another scan is
+    needed only when such a cell could hold an earlier point than the best one known. The result is exactly
+    that of going through the points one by one. ``order_by`` must have no nulls.
     """
     spacing = alpha * diameter
+    found = found or extremes(points)
     pivots: list[Pivot] = []
-    survivors = points.filter(usable())
-    following = first or _first_point(survivors, order_by)
-    while following is not None:
+
+    def choose(uid, x, y) -> Location:
         if len(pivots) >= most_pivots(alpha):
             raise RuntimeError(f"more than {most_pivots(alpha)} pivots: diameter {diameter} is too small for the data")
-        pivots.append(Pivot(pivot_id(len(pivots)), len(pivots), *following))
-        if spacing == 0:
-            break
-        survivors = survivors.filter(_clear_of(pivots[-1].place, spacing))
-        following = _first_point(survivors, order_by)
-    return pivots
-
-
-def _first_point(points: DataFrame, order_by: str) -> tuple | None:
-    """``(uid, x, y)`` of the first point. Single values, unlike structs, are aggregated in generated code."""
-    if order_by != "uid":
-        lowest = points.agg(F.min(order_by)).first()[0]
-        points = points.filter(F.col(order_by) == F.lit(lowest))
-    row = points.agg(F.min("uid"), F.min_by("x", "uid"), F.min_by("y", "uid")).first()
-    return None if row[0] is None else tuple(row)
+        pivots.append(Pivot(pivot_id(len(pivots)), len(pivots), uid, x, y))
+        return pivots[-1].place
+
+    survivors = points.filter(usable())
+    if found.first and order_by == "uid":
+        survivors = survivors.filter(_clear_of(choose(*found.first), spacing))
+    if spacing == 0 and pivots:
+        return pivots
+    while True:
+        firsts = _first_per_cell(survivors, found, order_by)
+        undecided: list[tuple] = []
+        while firsts:
+            key, point = min((value[:2], value[2:]) for value in firsts.values())
+            if undecided and min(undecided) < key:
+                break
+            place = choose(key[1], *point)
+            if spacing == 0:
+                return pivots
+            survivors = survivors.filter(_clear_of(place, spacing))
+            for cell, value in list(firsts.items()):
+                if plain_distance(place, value[2:]) < spacing:
+                    if not _covered(cell, found, place, spacing):
+                        undecided.append(value[:2])
+                    del firsts[cell]
+        if not undecided:
+            return pivots
+
+
+def _first_per_cell(points: DataFrame, box: Extremes, order_by: str) -> dict[int, tuple]:
+    """``{cell: (order, uid, x, y)}`` of the first point in each cell; at most GRID * GRID of them."""
+    if not box.n:
+        return {}
+
+    def axis(name: str, low: float, high: float) -> Column:
+        if high == low:
+            return F.lit(0)
+        return F.least(F.floor((F.col(name) - low) / (high - low) * GRID).cast("int"), F.lit(GRID - 1))
+
+    cell = axis("x", box.min_x, box.max_x) * GRID + axis("y", box.min_y, box.max_y)
+    grouped = points.groupBy(cell.alias("cell"))
+    if order_by == "uid":
+        rows = grouped.agg(F.min("uid"), F.min_by("x", "uid"), F.min_by("y", "uid")).collect()
+        return {row[0]: (row[1], *row[1:]) for row in rows}
+    first = F.min(F.struct(F.col(order_by).alias("_order"), F.col("uid").alias("_uid"), "x", "y"))
+    return {row[0]: tuple(row[1]) for row in grouped.agg(first).collect()}
+
+
+def _covered(cell: int, box: Extremes, place: Location, spacing: float) -> bool:
+    """Whether every point of the cell is surely nearer to ``place`` than ``spacing``."""
+    reach = []
+    for index, low, high, at in (
+        (cell // GRID, box.min_x, box.max_x, place.x),
+        (cell % GRID, box.min_y, box.max_y, place.y),
+    ):
+        step = (high - low) / GRID
+        ends = low + step * (index - 1e-6), low + step * (index + 1 + 1e-6)
+        reach.append(max(abs(end - at) for end in ends))
+    return plain_distance((0.0, 0.0), reach) < spacing * (1 - 1e-9)
 
 
 def _clear_of(place: Location, spacing: float) -> Column:

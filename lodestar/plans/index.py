@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, fields
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lodestar.operators import search
 from lodestar.operators.hull import Extremes, convex_hull, extremes, hull_diameter, hull_measures
 from lodestar.operators.pivots import Pivot, collect_pivots, pivot_distances_wide, pivots_frame, sss_pivots
 from lodestar.operators.quadrants import quadrant_areas, quadrant_table, stored_quadrant_counts
-from lodestar.session import local_frame
+from lodestar.session import local_frame, together
 
 # The first radius of a kNN search over the radius that the density suggests: seldom leaves a second round.
 FIRST_STEP = 1.3
@@ -56,7 +57,9 @@ def measure(points: DataFrame, found: Extremes | None = None) -> Extent | None:
     if not found.n:
         return None
     hull = convex_hull(points, found)
-    shape = hull_measures(hull, Location(found.min_x, found.min_y)).first()
+    shape, widest = together(
+        hull_measures(hull, Location(found.min_x, found.min_y)).first, hull_diameter(hull).first
+    )
     return Extent(
         found.n,
         found.min_x,
@@ -66,7 +69,7 @@ def measure(points: DataFrame, found: Extremes | None = None) -> Extent | None:
         shape["cx"],
         shape["cy"],
         shape["area"],
-        hull_diameter(hull).first()["diameter"],
+        widest["diameter"],
     )
 
 
@@ -130,7 +133,7 @@ def build_index(
     extent = measure(points, found)
     if extent is None:
         raise ValueError("no points with finite coordinates")
-    pivots = sss_pivots(points, extent.diameter, alpha, order_by, found.first if order_by == "uid" else None)
+    pivots = sss_pivots(points, extent.diameter, alpha, order_by, found)
 
     extra = [order_by] if order_by not in ("uid", "x", "y") else []
     placed = points.filter(usable()).select("uid", "x", "y", *extra, _cell(extent).alias("_cell"))
@@ -143,10 +146,14 @@ def build_index(
     areas = quadrant_areas(extent.min_x, extent.max_x, extent.min_y, extent.max_y, extent.cx, extent.cy)
     quadrants = _quadrant_rows(quadrant_table(stored_quadrant_counts(points), areas))
     index = LandmarkIndex(points, pivots, extent, quadrants)
-    index.pivots_frame().coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
-    index.quadrants_frame().coalesce(1).write.mode("overwrite").parquet(f"{path}/quadrants")
-    extent_frame = local_frame(spark, [tuple(asdict(extent).values())], EXTENT_SCHEMA)
-    extent_frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/extent")
+    summary = {
+        "pivots": index.pivots_frame(),
+        "quadrants": index.quadrants_frame(),
+        "extent": local_frame(spark, [tuple(asdict(extent).values())], EXTENT_SCHEMA),
+    }
+    together(
+        *(partial(frame.coalesce(1).write.mode("overwrite").parquet, f"{path}/{name}") for name, frame in summary.items())
+    )
     return index
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.operators.pivots import distance_map
 from lodestar.plans.index import LandmarkIndex, build_index
@@ -10,13 +11,19 @@ from lodestar.sources.text import load_points
 from lodestar.sources.topics import publish_points
 
 
-def import_points(spark: SparkSession, source: str, path: str, **positions) -> LandmarkIndex:
+def import_points(
+    spark: SparkSession, source: str, path: str, file_order: bool = False, **positions
+) -> LandmarkIndex:
     """Load a point file, store it as Parquet, and build its index under ``path``.
 
-    The text is parsed once; the passes of the index build read three Parquet columns.
+    The text is parsed once; the passes of the index build read three Parquet columns. Pivots are chosen in
+    order of uid, which is text, or in the order of the lines.
     """
-    load_points(spark, source, **positions).write.mode("overwrite").parquet(f"{path}/source")
-    return build_index(spark.read.parquet(f"{path}/source"), path)
+    points = load_points(spark, source, **positions)
+    if file_order:
+        points = points.withColumn("line", F.substring_index("uid", "_", -1).cast("bigint"))
+    points.write.mode("overwrite").parquet(f"{path}/source")
+    return build_index(spark.read.parquet(f"{path}/source"), path, order_by="line" if file_order else "uid")
 
 
 def publish_index(index: LandmarkIndex, options: dict[str, str]) -> None:

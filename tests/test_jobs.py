@@ -5,7 +5,7 @@ from lodestar import load_index
 from lodestar.__main__ import arguments, run
 from lodestar.functions.geometry import Location
 from lodestar.streaming.queries import stream_decode
-from tests.fixtures import brute_range, scattered
+from tests.fixtures import brute_pivots, brute_range, scattered
 
 PLACES = scattered(300, 77)
 
@@ -59,3 +59,11 @@ def test_text_identifiers_order_as_text(spark, index_path):
             chosen.append(i)
     assert [p.uid for p in index.pivots] == [f"point_{i}" for i in chosen]
     assert index.initial_range(Location(0.0, 0.0), 5) > 0
+
+
+def test_pivots_in_the_order_of_the_lines(spark, tmp_path):
+    source = tmp_path / "nodes.txt"
+    source.write_text("".join(f"{i} {y!r} {x!r}\n" for i, (x, y) in enumerate(PLACES)))
+    run(spark, arguments().parse_args(["import", "--file-order", str(source), str(tmp_path / "index")]))
+    chosen = load_index(spark, str(tmp_path / "index")).pivots
+    assert [p.uid for p in chosen] == [f"point_{i}" for i in brute_pivots(PLACES)]
