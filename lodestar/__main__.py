@@ -19,7 +19,9 @@ from lodestar.plans.jobs import import_points, publish_index, write_neighbours
 
 
 def arguments() -> argparse.ArgumentParser:
-    parser = argparse.ArgumentParser(prog="lodestar", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser = argparse.ArgumentParser(
+        prog="lodestar", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
+    )
     commands = parser.add_subparsers(dest="command", required=True)
 
     load = commands.add_parser("import")

@@ -7,8 +7,9 @@ Two scans of the points and some work on the few outer ones give the edges:
 
 1. one aggregate finds farthest points in eight directions;
 2. a filter over literals drops every point well inside that octagon; the rest is made distinct and written;
-3. what is left falls into four pockets beyond the quadrilateral of axis extremes. A pocket with more than ``pocket_limit`` points is split at its farthest point, round by round, with
-   ordinary aggregates and joins. Pockets that fit are finished independently of each other.
+3. what is left falls into four pockets beyond the quadrilateral of axis extremes. A pocket with more than
+   ``pocket_limit`` points is split at its farthest point, round by round, with ordinary aggregates and joins.
+   Pockets that fit are finished independently of each other.
 
 No task, and not the driver either, ever holds more than ``pocket_limit`` points.
 """
@@ -16,6 +17,7 @@ No task, and not the driver either, ever holds more than ``pocket_limit`` points
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -119,7 +121,7 @@ def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit:
         edges = edges.unionByName(closed)
         largest = pockets.groupBy(*EDGE).count().agg(F.max("count")).first()[0] or 0
     if sizes:
-        edges = edges.unionByName(pockets.groupBy(*EDGE).applyInPandas(_finish_pocket, EDGE_SCHEMA))
+        edges = edges.unionByName(pockets.groupBy(*EDGE).applyInPandas(_pocket_finisher(), EDGE_SCHEMA))
     return written(edges, "hull-edges")
 
 
@@ -174,22 +176,26 @@ def _split(pockets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return smaller, made.join(smaller.select(*EDGE).distinct(), EDGE, "left_anti")
 
 
-def _finish_pocket(pocket: pd.DataFrame) -> pd.DataFrame:
-    """The chain of hull edges around one pocket, whose points are few enough for one task."""
-    ax, ay, bx, by = (float(pocket[name].iloc[0]) for name in EDGE)
-    x_sign = (bx > ax) - (bx < ax)
-    y_sign = (by > ay) - (by < ay)
-    places = sorted(zip(pocket["x"], pocket["y"]), key=lambda p: (x_sign * p[0], y_sign * p[1]))
-    chain = [(ax, ay)]
-    for p in [*places, (bx, by)]:
-        while len(chain) > 1 and _turn(chain[-2], chain[-1], p) <= 0:
-            chain.pop()
-        chain.append(p)
-    return pd.DataFrame([(*u, *v) for u, v in zip(chain, chain[1:])], columns=EDGE)
+def _pocket_finisher() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What finishes one pocket. An inner function travels by value, so executors need no copy of this package."""
 
+    def turn(a, b, p) -> float:
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
 
-def _turn(a, b, p) -> float:
-    return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    def finish(pocket: pd.DataFrame) -> pd.DataFrame:
+        """The chain of hull edges around a pocket, whose points are few enough for one task."""
+        ax, ay, bx, by = (float(pocket[name].iloc[0]) for name in EDGE)
+        x_sign = (bx > ax) - (bx < ax)
+        y_sign = (by > ay) - (by < ay)
+        places = sorted(zip(pocket["x"], pocket["y"]), key=lambda p: (x_sign * p[0], y_sign * p[1]))
+        chain = [(ax, ay)]
+        for p in [*places, (bx, by)]:
+            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
+                chain.pop()
+            chain.append(p)
+        return pd.DataFrame([(*u, *v) for u, v in zip(chain, chain[1:])], columns=EDGE)
+
+    return finish
 
 
 def hull_vertices(edges: DataFrame) -> DataFrame:

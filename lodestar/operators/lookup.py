@@ -75,9 +75,13 @@ def batch_lookup(table: DataFrame, keys: list | DataFrame, key: str = "row") ->
     return table.join(frame, key, "left_semi")
 
 
-def postings(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Inverted index ``(id, term)``: the distinct lower-case words of each whole text."""
-    words = F.array_distinct(F.split(F.lower(F.col(text_column)), "[^a-z]+"))
+def postings(documents: DataFrame, id_column: str, text_column: str, terms: list[str] | None = None) -> DataFrame:
+    """Inverted index ``(id, term)``: the distinct lower-case words of each whole text, or those among ``terms``."""
+    words = F.split(F.lower(F.col(text_column)), "[^a-z]+")
+    if terms is None:
+        words = F.array_distinct(words)
+    else:
+        words = F.array_intersect(words, F.array(*map(F.lit, terms)))
     return (
         documents.select(F.col(id_column).alias("id"), F.explode(words).alias("term")).filter(F.col("term") != "")
     )

@@ -32,8 +32,8 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     splits long runs of equal keys.
     """
     columns = df.columns
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = written(placed, "ranked")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_at", ROW_BITS).alias("_part")
     offsets, before = [], 0
     for row in placed.groupBy(part).count().orderBy("_part").collect():

@@ -151,9 +151,8 @@ def build_index(
         "quadrants": index.quadrants_frame(),
         "extent": local_frame(spark, [tuple(asdict(extent).values())], EXTENT_SCHEMA),
     }
-    together(
-        *(partial(frame.coalesce(1).write.mode("overwrite").parquet, f"{path}/{name}") for name, frame in summary.items())
-    )
+    writers = {name: frame.coalesce(1).write.mode("overwrite") for name, frame in summary.items()}
+    together(*(partial(writer.parquet, f"{path}/{name}") for name, writer in writers.items()))
     return index
 
 

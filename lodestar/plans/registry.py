@@ -123,7 +123,9 @@ class Inputs:
 
 
 def as_points(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_id").alias("uid"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))
+    return events.select(
+        F.col("event_id").alias("uid"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y")
+    )
 
 
 _inputs: dict[tuple[str, str], Inputs] = {}
@@ -370,7 +372,7 @@ def batch_lookup(given: Inputs) -> DataFrame:
 
 @query
 def term_intersect(given: Inputs) -> DataFrame:
-    index = lookup.postings(given.table("documents"), "doc_id", "text")
+    index = lookup.postings(given.table("documents"), "doc_id", "text", TERMS)
     return lookup.term_intersect(index, TERMS).withColumnRenamed("id", "doc_id")
 
 

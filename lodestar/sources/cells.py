@@ -37,7 +37,8 @@ def mark_cells(marked: DataFrame, qualifier: str, ts: Column, value: Column | No
 
 
 def pivot_cells(pivots: DataFrame, ts: int) -> DataFrame:
-    value = F.to_json(F.struct("ord", F.col("pivot_id").alias("pivotID"), F.col("uid").cast("string").alias("UID"), "x", "y"))
+    uid = F.col("uid").cast("string")
+    value = F.to_json(F.struct("ord", F.col("pivot_id").alias("pivotID"), uid.alias("UID"), "x", "y"))
     return pivots.select(
         F.col("pivot_id").alias("row"),
         F.lit("PIVOT").alias("cf"),

@@ -99,7 +99,9 @@ def stream_stop_at_n(found: DataFrame, n: int, path: str, timeout: float | None
     return report
 
 
-def stream_knn(points: DataFrame, q: Location, k: int, path: str, exclude: str = EXCLUDE_COORDS, **trigger) -> StreamingQuery:
+def stream_knn(
+    points: DataFrame, q: Location, k: int, path: str, exclude: str = EXCLUDE_COORDS, **trigger
+) -> StreamingQuery:
     """The k nearest points seen so far.
 
     Every batch is cut by the k-th distance so far, reduced to its own k nearest, and merged with the k rows

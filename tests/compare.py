@@ -20,7 +20,12 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def rows_of(columns: list[str], rows: list[tuple]) -> list[tuple]:
     """Rows with columns in order of name, sorted, with types told apart."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple((type(row[i]).__name__, repr(row[i] + 0.0 if isinstance(row[i], float) else row[i])) for i in order) for row in rows)
+    return sorted(tuple((type(row[i]).__name__, _text(row[i])) for i in order) for row in rows)
+
+
+def _text(value) -> str:
+    """Text of a value; adding zero makes one of the two zeros."""
+    return repr(value + 0.0 if isinstance(value, float) else value)
 
 
 def differences(frame, connection, sql: str) -> str | None:

@@ -51,13 +51,9 @@ def test_published_points_carry_their_distances(spark, index_path, tmp_path):
 def test_text_identifiers_order_as_text(spark, index_path):
     index = load_index(spark, index_path)
     assert index.pivots[0].uid == "point_0"
-    spacing = 0.37 * index.extent.diameter
     order = sorted(range(len(PLACES)), key=lambda i: f"point_{i}")
-    chosen = []
-    for i in order:
-        if all(((PLACES[i][0] - PLACES[j][0]) ** 2 + (PLACES[i][1] - PLACES[j][1]) ** 2) ** 0.5 >= spacing for j in chosen):
-            chosen.append(i)
-    assert [p.uid for p in index.pivots] == [f"point_{i}" for i in chosen]
+    chosen = brute_pivots([PLACES[i] for i in order])
+    assert [p.uid for p in index.pivots] == [f"point_{order[i]}" for i in chosen]
     assert index.initial_range(Location(0.0, 0.0), 5) > 0
 
 

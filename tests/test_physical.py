@@ -1,5 +1,8 @@
 """What the plans must look like to hold at scale."""
 
+import contextlib
+import io
+
 import pytest
 
 from lodestar import build_index
@@ -18,7 +21,10 @@ def index(spark):
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
 
 
 def pushed(text: str) -> str:

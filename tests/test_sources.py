@@ -72,7 +72,8 @@ def test_json_round_trip_and_defaults(spark):
         assert (row["p"]["x"], row["p"]["y"], row["p"]["UID"]) == (row["x"], row["y"], str(row["uid"]))
         assert row["p"]["distancesToPivot"] == {"pivot_0": row["x"]}
     sparse = spark.createDataFrame([('{"y":2.0,"numStormIterations":1}',)], "value string")
-    assert tuple(sparse.select(codec.decode_point().alias("p")).select("p.x", "p.y", "p.UID").first()) == (0.0, 2.0, None)
+    decoded = sparse.select(codec.decode_point().alias("p")).select("p.x", "p.y", "p.UID")
+    assert tuple(decoded.first()) == (0.0, 2.0, None)
     broken = spark.createDataFrame([("{nonsense",)], "value string")
     assert not broken.select(codec.readable_point()).first()[0]
     with pytest.raises(Exception):
@@ -132,6 +133,14 @@ def test_term_intersect_with_many_terms(spark):
         lookup.term_intersect(index, [])
 
 
+def test_postings_are_distinct_words_of_the_whole_text(spark):
+    texts = spark.createDataFrame([(1, "The end, the END. " + "filler " * 5000 + "last"), (2, "")], "id long, text string")
+    rows = sorted(tuple(row) for row in lookup.postings(texts, "id", "text").collect())
+    assert rows == [(1, "end"), (1, "filler"), (1, "last"), (1, "the")]
+    some = lookup.postings(texts, "id", "text", ["last", "the", "none"])
+    assert sorted(row["term"] for row in some.collect()) == ["last", "the"]
+
+
 def test_upsert(spark):
     schema = "uid long, x double, y double, ts int"
     base = spark.createDataFrame([(1, 1.0, 1.0, 5), (2, 2.0, 2.0, 5), (3, 3.0, 3.0, 5)], schema)
