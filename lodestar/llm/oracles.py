@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestar.llm.quality import CLASSES, COMMON_WORDS, QualityRules
+from lodestar.llm.urls import LOWER, SOFT_TERMS, STRICT_TERMS, UPPER
 
 RULES = QualityRules()
 
@@ -74,4 +75,49 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 FROM based LEFT JOIN nearest USING (id)"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_divergence": _quality()}
+def _urls() -> str:
+    bounded = lambda term: f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}])({term})([^\\p{{L}}\\p{{N}}]|$)')"
+    soft = " + ".join(f"{bounded(term)}::INT" for term in SOFT_TERMS)
+    return f"""
+WITH url AS (
+  SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+cut AS (
+  SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM url),
+rules(host, path, name, verdict) AS (VALUES
+  ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'),
+  ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'),
+  ('net', '/fr/', 'net/fr/', 'block')),
+best AS (
+  SELECT page_id, arg_max(name, length(name)) AS rule, arg_max(r.verdict, length(name)) AS verdict
+  FROM cut c JOIN rules r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN {bounded("|".join(STRICT_TERMS))} OR {soft} >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut LEFT JOIN best USING (page_id)"""
+
+
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ordered AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS before,
+         length(text) + length(regexp_replace(text, '[^<\[\]\\]', '', 'g')) AS body
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(body + CASE role WHEN 'system' THEN 9 + 7 WHEN 'user' THEN 10 + 8 WHEN 'assistant' THEN 11 + 5 END)::BIGINT AS formatted_chars,
+       bool_and((before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS valid
+FROM ordered GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_divergence": _quality(),
+    "op6_chat_template": CHAT,
+    "op7_url_vocabulary": _urls(),
+}
