@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, quality, urls
+from lodestar.llm import chat, quality, simhash, urls
+from lodestar.session import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    marked = simhash.fingerprinted(table(spark, folder, "documents").select("doc_id", "text"))
+    marked = written(marked.select(F.col("row.doc_id").alias("doc_id"), "fingerprint"), "fingerprints")
+    classes = simhash.linked_classes(marked.withColumnRenamed("doc_id", "id"))
+    return marked.join(classes, "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 URL_RULES = [
     urls.Rule("com", "/", "allow"),
     urls.Rule("example.com", "/en/", "block"),
@@ -58,6 +69,7 @@ def op6_chat_template(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op4_simhash_components": op4_simhash_components,
     "op6_chat_template": op6_chat_template,
     "op7_url_vocabulary": op7_url_vocabulary,
 }
