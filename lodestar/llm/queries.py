@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, quality, simhash, urls
+from lodestar.llm import chat, packing, quality, simhash, urls
 from lodestar.session import written
 
 
+def _tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public tokenizers, which lie in a folder of their own on every machine."""
+    found = importlib.util.find_spec("public_tokenizers")
+    return os.path.join(os.path.dirname(found.origin) if found else "/opt/tokenizers", name)
+
+
+WORD_BPE = _tokenizer_file("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -32,6 +43,11 @@ def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens, neighbours on the curve together."""
+    return packing.packed(table(spark, folder, "documents"), WORD_BPE)
+
+
 URL_RULES = [
     urls.Rule("com", "/", "allow"),
     urls.Rule("example.com", "/en/", "block"),
@@ -70,6 +86,7 @@ def op6_chat_template(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op4_simhash_components": op4_simhash_components,
+    "op5_hilbert_packing": op5_hilbert_packing,
     "op6_chat_template": op6_chat_template,
     "op7_url_vocabulary": op7_url_vocabulary,
 }
