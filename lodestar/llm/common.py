@@ -11,12 +11,13 @@ SPACE_CLASS = r"[ \t-\r]+"
 ROW = "row"
 
 
-def with_row(df: DataFrame, **columns: Column) -> DataFrame:
-    """The whole input row as one struct ``row``, and the given columns beside it.
+def with_row(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """The input row as one struct ``row`` (all of its columns, or those to keep), and the given columns beside it.
 
     Whatever the input's other columns are called, they cannot clash with what an operator adds.
     """
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *[c.alias(n) for n, c in columns.items()])
+    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    return df.select(F.struct(*kept).alias(ROW), *[c.alias(n) for n, c in columns.items()])
 
 
 def field(name: str) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, packing, quality, simhash, urls
+from lodestar.llm import chat, langid, packing, quality, simhash, urls
 from lodestar.session import written
 
 
@@ -83,10 +83,20 @@ def op6_chat_template(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from two thirds of them; the other third is held out."""
+    docs = table(spark, folder, "documents")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    samples = langid.sample(docs.filter(remainder != 1))
+    found = langid.identified(docs, samples, keep=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
+    return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op4_simhash_components": op4_simhash_components,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op6_chat_template": op6_chat_template,
     "op7_url_vocabulary": op7_url_vocabulary,
+    "op8_cross_parsing": op8_cross_parsing,
 }
