@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, langid, packing, quality, simhash, urls
+from lodestar.llm import chat, decontaminate, langid, packing, quality, simhash, urls
 from lodestar.session import written
 
 
@@ -92,6 +92,15 @@ def op8_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_template_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents: how many of the item's words, and whether with other parameters."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    rows, found = decontaminate.found_items(docs, items, keep=["doc_id"])
+    return found.join(rows, "at").select(
+        F.col("row.doc_id").alias("doc_id"), "item_id", F.col("covered").cast("long").alias("covered"), F.col("words").cast("long").alias("words"), "changed"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op4_simhash_components": op4_simhash_components,
@@ -99,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_template": op6_chat_template,
     "op7_url_vocabulary": op7_url_vocabulary,
     "op8_cross_parsing": op8_cross_parsing,
+    "op10_template_windows": op10_template_windows,
 }
