@@ -1,22 +1,60 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage works on all rows that the stage before it kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import quality
+from lodestar.llm import decontaminate, langid, packing, quality, simhash
 from lodestar.llm.common import unpacked
+from lodestar.llm.queries import WORD_BPE
 from lodestar.session import written
 
+#: A document that needs more phrases per character than this in its nearest language is in none of them.
+MAX_PHRASE_RATE = 0.5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality rules keep."""
     return unpacked(quality.judged(docs).filter("kept"))
 
 
-STAGES = [("quality rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose text is in one of the languages learnt from the labelled documents."""
+    samples = langid.sample(docs)
+    if not samples:  # no labelled document, so no language to tell: nothing is rejected for it
+        return docs
+    found = langid.identified(docs, samples)
+    return unpacked(found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("rate") <= MAX_PHRASE_RATE)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates: the one with the smallest id."""
+    return unpacked(simhash.near_duplicates(docs).filter("first"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents in which no benchmark item is found."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.packed(docs, WORD_BPE)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
+]
 
-#: Language identification and the stages after it go beyond SQL.
+#: Language identification, the hash of SimHash and tokenization go beyond SQL.
 ORACLE_SQL = None
 
 
