@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, decontaminate, langid, packing, quality, simhash, urls
+from lodestar.llm import chat, decontaminate, html, langid, packing, quality, simhash, urls
 from lodestar.session import written
 
 
@@ -33,6 +33,12 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op3_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.main_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     marked = simhash.fingerprinted(table(spark, folder, "documents").select("doc_id", "text"))
@@ -103,6 +109,7 @@ def op10_template_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op3_page_differencing": op3_page_differencing,
     "op4_simhash_components": op4_simhash_components,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op6_chat_template": op6_chat_template,
