@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, decontaminate, html, langid, packing, quality, simhash, urls
+from lodestar.llm import chat, classifier, decontaminate, html, langid, licenses, packing, quality, simhash, urls
 from lodestar.session import written
 
 
@@ -33,6 +33,14 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op2_hierarchical_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document from its own evidence and from what its source, and its source's texts in one
+    language, are like."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = classifier.classified(docs, labels, host="source", path="lang", keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "own", "host_mean", "path_mean", "posterior", "kept")
+
+
 def op3_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     found = html.main_text(table(spark, folder, "pages"), keep=["page_id", "url"])
@@ -98,6 +106,12 @@ def op8_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses that documents declare: how much of the notice is there, and at which word it begins."""
+    found = licenses.scanned(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "license", "containment", "word")
+
+
 def op10_template_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in documents: how many of the item's words, and whether with other parameters."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -109,11 +123,13 @@ def op10_template_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op2_hierarchical_bayes": op2_hierarchical_bayes,
     "op3_page_differencing": op3_page_differencing,
     "op4_simhash_components": op4_simhash_components,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op6_chat_template": op6_chat_template,
     "op7_url_vocabulary": op7_url_vocabulary,
     "op8_cross_parsing": op8_cross_parsing,
+    "op9_license_templates": op9_license_templates,
     "op10_template_windows": op10_template_windows,
 }
