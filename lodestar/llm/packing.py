@@ -15,15 +15,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.tokens import word_ids
+from lodestar.llm.tokens import text_ids
 from lodestar.session import written
 
 LENGTH = 4096
@@ -32,6 +34,9 @@ CLOSING_ID = 2
 #: Hashed counts, dimensions of the curve, bits of each. They choose the order only.
 BUCKETS, DIMENSIONS, DEPTH = 256, 4, 12
 
+#: Bytes of text turned into ids at once, but for a longer text.
+TEXT_BYTES = 1 << 24
+
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -83,13 +88,15 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words = word_ids(path)
-    closing = np.array([CLOSING_ID], words.dtype).tobytes()
+    reader = text_ids(path)
+    closing = np.array([CLOSING_ID], reader.dtype)
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        ids = [own + closing for own in words.of(texts)]
-        arrays = [np.frombuffer(own, words.dtype) for own in ids]
-        yield pa.record_batch([batch.column(0), pa.array(curve_keys(arrays), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+        for at, end in pairwise([0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]):
+            part = batch.slice(at, end - at)
+            ids = [np.concatenate((own, closing)) for own in reader.of(part.column(1))]
+            data = pa.array([own.tobytes() for own in ids], pa.binary())
+            yield pa.record_batch([part.column(0), pa.array(curve_keys(ids), pa.int64()), data], ["doc_id", "key", "ids"])
 
 
 class _Filler:
@@ -153,5 +160,5 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     tokens = written(rows.mapInArrow(lambda batches: _tokenized(batches, tokenizer), schema), "tokens")
     order = ["key", "doc_id"]
     sorted_rows = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
-    dtype = word_ids(tokenizer).dtype
+    dtype = text_ids(tokenizer).dtype
     return sorted_rows.mapInArrow(lambda batches: _filled(batches, dtype), T.StructType([T.StructField(f.name, T.LongType()) for f in PIECES]))

@@ -2,6 +2,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 from lodestar.llm.packing import LENGTH, hilbert_keys, packed
 from lodestar.llm.queries import WORD_BPE, op5_hilbert_packing
-from lodestar.llm.tokens import WordIds
+from lodestar.llm.tokens import TextIds, text_ids
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,13 +20,44 @@ def tokenizer():
     return Tokenizer.from_file(WORD_BPE)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t\x0b\x85　'sdt.,Áé<|endoftext|>İΣ"))))
-def test_word_ids_are_the_text_ids(text):
-    words = test_word_ids_are_the_text_ids.__dict__.setdefault("words", WordIds(WORD_BPE))
-    for t in (text, text + "<|endoftext|>" + text, "a " + text):
-        wanted = words.tokenizer.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(words.of([t.encode()])[0], words.dtype).tolist() == wanted
+def ids(reader, *texts):
+    return [own.tolist() for own in reader.of(pa.array(texts, pa.string()))]
+
+
+ALPHABET = st.one_of(
+    st.characters(exclude_categories=["Cs"]), st.characters(max_codepoint=0x260), st.sampled_from(list(" \n\t\x0b\x1c\x85\u3000'sdtlrevm.,_²ÁéİıΣ9<|>"))
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(ALPHABET, max_size=30), st.sampled_from(["", " ", "<|endoftext|>", "'s", "\u0301"]))
+def test_ids_are_the_text_ids(text, between):
+    ready = text_ids(WORD_BPE)
+    for t in (text + between + text, "it's " + text):
+        wanted = ready.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids(ready, t)[0] == wanted
+
+
+def test_every_plain_character():
+    ready = text_ids(WORD_BPE)
+    for code in range(0x260):
+        for t in (chr(code), f"a{chr(code)}b", f"1{chr(code)}'", f" {chr(code)} "):
+            assert ids(ready, t)[0] == ready.tokenizer.encode(t, add_special_tokens=False).ids, code
+
+
+def test_another_kind_of_tokenizer():
+    other = TextIds(WORD_BPE.replace("word_bpe_49k", "byte_bpe_50k"))
+    assert not other.by_word
+    assert ids(other, "some Text", None) == [other.tokenizer.encode("some Text").ids, []]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = ["a b c d e f g h", "the cat", "x" * 200, "a b the é"] * 3
+    wanted = ids(TextIds(WORD_BPE), *texts)
+    monkeypatch.setattr("lodestar.llm.tokens.REMEMBERED", 3)
+    small = TextIds(WORD_BPE)
+    assert [ids(small, t)[0] for t in texts] == wanted == ids(small, *texts)
+    assert ids(small) == [] and ids(small, None, "", " ", "a", None) == [[], [], [], wanted[0][:1], []]
 
 
 @pytest.mark.parametrize("dimensions, depth", [(2, 3), (3, 2), (4, 2)])
