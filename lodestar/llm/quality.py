@@ -13,12 +13,12 @@ are judged one by one; other columns pass through untouched, whatever their name
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field as attribute
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import field, with_row, words_of
+from lodestar.llm.common import with_row, words_of
 from lodestar.session import written
 
 # Frequent function words per language.
@@ -50,7 +50,7 @@ class QualityRules:
     min_class_chars: int = 200
     max_word_distance: float = 0.28
     min_distance_words: int = 80
-    common_words: dict[str, list[str]] = attribute(default_factory=lambda: COMMON_WORDS)
+    common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
 
 def _count(text: Column, others: str) -> Column:
@@ -65,14 +65,15 @@ def _window_keys(words: Column) -> Column:
     return F.when(F.size(words) >= 3, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def measured(docs: DataFrame, rules: QualityRules, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """``row`` and the counts of each document. Windows of words are compared by 64-bit hash within the document."""
     vocabulary = sorted({w for words in rules.common_words.values() for w in words})
-    df = with_row(docs, text=F.coalesce(F.col(text), F.lit("")))
+    df = with_row(docs, keep, text=F.coalesce(F.col(text), F.lit("")), lang=F.col(lang))
     df = df.withColumn("words", words_of(F.col("text"))).withColumn("keys", _window_keys(F.col("words")))
     spoken = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     df = df.select(
         "row",
+        "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         *[_count(F.col("text"), others).alias(f"n_{name}") for name, others in CLASSES.items()],
@@ -94,7 +95,7 @@ def measured(docs: DataFrame, rules: QualityRules, text: str = "text") -> DataFr
     covered = F.transform("starts", lambda at, k: F.coalesce(F.least(F.lit(3), at - F.get("starts", k - 1)), F.lit(3)))
     found = lambda w: (F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)
     return df.select(
-        "row", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"),
+        "row", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(covered, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_repeat_words"),
         "n_chars",
@@ -103,7 +104,7 @@ def measured(docs: DataFrame, rules: QualityRules, text: str = "text") -> DataFr
     ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
 
 
-def references(counted: DataFrame, rules: QualityRules, lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def references(counted: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], list[float]]]:
     """Per language the shares of character classes and of its common words, over all its documents that pass the
     base rules and look like prose (hardly a symbol, few capitals), so that junk does not shape its own measure. At
     most one row per language of the rules comes to the driver."""
@@ -113,9 +114,9 @@ def references(counted: DataFrame, rules: QualityRules, lang: str = "lang") -> d
     names = list(CLASSES)
     body, upper = (F.col("classes")[names.index(name)] for name in ("body", "upper"))
     prose = (F.col("n_symbols") * 1000 <= F.col("n_chars")) & (upper * 5 <= body)
-    known = counted.filter(~F.col("base_failed") & prose & field(lang).isin(sorted(rules.common_words)))
+    known = counted.filter(~F.col("base_failed") & prose & F.col("lang").isin(sorted(rules.common_words)))
     found = {}
-    for row in known.groupBy(field(lang).alias("lang")).agg(F.sum("n_words").alias("n"), *sums).collect():
+    for row in known.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
         classes = [row[f"c{i}"] for i in range(len(CLASSES) + 1)]
         own = [row[f"w{vocabulary.index(w)}"] for w in rules.common_words[row["lang"]]]
         bins = [*own, row["n"] - sum(own)]
@@ -134,14 +135,14 @@ def _distance(bins: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
-def judged(docs: DataFrame, rules: QualityRules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, rules: QualityRules | None = None, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """``row``, the counts, ``base_failed``, the distances from the nearest reference (null where a guard leaves
     them out or there is no reference) and ``kept``."""
     rules = rules or QualityRules()
     vocabulary = sorted({w for words in rules.common_words.values() for w in words})
-    counted = written(measured(docs, rules, text), "quality")
+    counted = written(measured(docs, rules, text, lang, keep), "quality")
     nearest = {"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")}
-    if found := references(counted, rules, lang):
+    if found := references(counted, rules):
         by_class = [_distance(F.col("classes"), F.col("n_chars"), classes) for classes, _ in found.values()]
         by_word = []
         for language, (_, shares) in found.items():
@@ -154,4 +155,4 @@ def judged(docs: DataFrame, rules: QualityRules | None = None, text: str = "text
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (
         F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance
     )
-    return counted.withColumns(nearest).withColumn("kept", ~F.col("base_failed") & ~far).drop("classes", "counts", "n_chars")
+    return counted.withColumns(nearest).withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "classes", "counts", "n_chars")

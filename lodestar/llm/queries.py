@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Counts per document and whether the base rules and the distance from the language references keep it."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    found = quality.judged(table(spark, folder, "documents"))
+    found = quality.judged(table(spark, folder, "documents"), keep=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
