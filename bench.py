@@ -16,10 +16,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import build_index
+from lodestar.functions.geometry import Location
 from lodestar.operators import hull, pivots, search
 from lodestar.operators.knn import knn
 from lodestar.plans.registry import Inputs
 from lodestar.session import scratch_path
+from lodestar.sources import generators, text
 from lodestar.streaming import queries as streams
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -43,6 +45,49 @@ def session() -> SparkSession:
     return spark
 
 
+# Sizes at which the reference's own programs run: generated points, and numbers of neighbours.
+LARGE_POINTS = (750_000, 1_238_920)
+LARGE_NEIGHBOURS = (37_500, 275_000)
+LARGE_FILES = 8
+
+
+def large(spark: SparkSession, rows) -> dict[str, dict]:
+    """Generated points in several files: seconds, result rows, and how much of the index the pruned search reads."""
+    found: dict[str, dict] = {}
+    for n in LARGE_POINTS:
+        path = scratch_path(spark, "bench-geo")
+        generators.gen_geo(spark, f"{path}/text", n, 7)
+        points = text.load_points_delimited(spark, f"{path}/text", x_pos=1, y_pos=2)
+        points.write.parquet(f"{path}/points")
+        points = spark.read.parquet(f"{path}/points")
+        start = time.perf_counter()
+        index = build_index(points, f"{path}/index", partitions=LARGE_FILES)
+        seconds = {"build_index": time.perf_counter() - start}
+        q = Location(-95.0, 37.5)
+        box = search.range_query(index.points, [], q, 2.5)
+        runs = {
+            "range_r2.5": index.range_query(q, 2.5),
+            "range_r2.5_box_only": box,
+            "range_r2.5_scan": search.range_query(points, [], q, 2.5),
+        }
+        for k in LARGE_NEIGHBOURS:
+            runs[f"knn_k{k}"] = lambda k=k: index.knn(q, k)
+            runs[f"knn_scan_k{k}"] = lambda k=k: knn(points, q, k)
+        for name, run in runs.items():
+            for _ in range(2):
+                start = time.perf_counter()
+                rows(run() if callable(run) else run)
+                seconds[name] = time.perf_counter() - start
+        near = F.sqrt((F.col("x") - q.x) ** 2 + (F.col("y") - q.y) ** 2) <= 2.5
+        touched = index.points.filter(near).select(F.input_file_name().alias("f")).distinct().count()
+        found[str(n)] = {name: round(value, 3) for name, value in seconds.items()} | {
+            "range_rows": box.count(),
+            "files": len(index.points.inputFiles()),
+            "files_with_hits": touched,
+        }
+    return found
+
+
 def main() -> None:
     spark = session()
     given = Inputs(spark, FOLDER)
@@ -113,6 +158,7 @@ def main() -> None:
                 "cpus": CPUS,
                 "spark": __version__,
                 "runs": f"median of {RUNS} warm",
+                "large": large(spark, rows),
             }
         )
     )

@@ -30,6 +30,8 @@ def arguments() -> argparse.ArgumentParser:
     load.add_argument("--x-pos", type=int)
     load.add_argument("--y-pos", type=int)
     load.add_argument("--file-order", action="store_true", help="choose pivots in the order of the lines")
+    load.add_argument("--partitions", type=int, help="number of files; follows from the number of points otherwise")
+    load.add_argument("--quarantine", help="store unreadable lines here instead of stopping at the first one")
 
     publish = commands.add_parser("publish")
     publish.add_argument("index")
@@ -47,9 +49,9 @@ def arguments() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "import":
-        positions = {"x_pos": args.x_pos, "y_pos": args.y_pos}
-        positions = {k: v for k, v in positions.items() if v is not None}
-        import_points(spark, args.source, args.index, args.file_order, **positions)
+        options = {"x_pos": args.x_pos, "y_pos": args.y_pos, "quarantine": args.quarantine}
+        options = {k: v for k, v in options.items() if v is not None}
+        import_points(spark, args.source, args.index, args.file_order, args.partitions, **options)
     elif args.command == "publish":
         publish_index(load_index(spark, args.index), dict(option.split("=", 1) for option in args.options))
     else:

@@ -3,10 +3,6 @@
 # Pivot spacing, as a fraction of the data diameter (sparse spatial selection).
 ALPHA = 0.37
 
-# In the plane at ALPHA, discs around the pivots bound their number:
-# ((1 + ALPHA) / ALPHA) ** 2 = 13.7, so at most 13.
-MAX_PIVOTS = 13
-
 # Numbers this close to zero count as zero.
 EPSILON = 1e-9
 

@@ -26,8 +26,3 @@ def hashed_uid(uid: Column | str) -> Column:
 def pair_key(pivot: Column | str, uid: Column | str) -> Column:
     """``<pivot>_<point>``, the readable key of one stored distance."""
     return F.concat_ws("_", pivot, uid)
-
-
-def pair_hash(pivot: Column | str, uid: Column | str) -> Column:
-    """64-bit hash of the pair key, for even spreading of stored distances."""
-    return F.xxhash64(pair_key(pivot, uid))

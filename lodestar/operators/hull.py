@@ -34,9 +34,6 @@ EDGE_SCHEMA = ", ".join(f"{name} double" for name in EDGE)
 # Relative width of the band along the octagon that rounding could affect; points in it are kept.
 BAND = 1e-9
 
-# Sectors over which edge directions are compared.
-SECTORS = 360
-
 
 @dataclass(frozen=True)
 class Extremes:
@@ -208,31 +205,13 @@ def hull_diameter(edges: DataFrame) -> DataFrame:
 
     The farthest pair is antipodal, so for each edge it is enough to look at the edge that lies opposite: the
     last one, in order of direction, whose direction does not exceed the reverse of this edge's. That is an
-    as-of match by direction. Edges and the arcs between successive directions are cut into sectors, and one
-    window per sector carries the latest arc forward, so the work grows with the number of edges, not of pairs.
+    as-of match by direction over range partitions, so edges that share almost one direction still spread.
     """
-    ring = edges.withColumn("dir", F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")))
-    following = ring.select(F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("dir").alias("next_dir"))
-    start, stop = _sector("dir"), _sector("next_dir")
-    arcs = ring.join(following, ["bx", "by"]).select(
-        F.struct(*EDGE).alias("edge"),
-        "dir",
-        start.alias("start"),
-        F.explode(F.sequence(start, start + F.pmod(stop - start, F.lit(SECTORS)))).alias("reach"),
-    )
-    carried = arcs.select(
-        F.pmod("reach", F.lit(SECTORS)).alias("sector"),
-        F.when(F.col("reach") == F.col("start"), F.col("dir")).otherwise(F.lit(-math.inf)).alias("dir"),
-        F.lit(0).alias("asks"),
-        "edge",
-    )
-    opposite = F.col("dir") + F.when(F.col("dir") <= 0, F.lit(math.pi)).otherwise(F.lit(-math.pi))
-    asked = ring.select(opposite.alias("dir"), F.lit(1).alias("asks"), F.struct(*EDGE).alias("edge"))
-    asked = asked.select(_sector("dir").alias("sector"), "dir", "asks", "edge")
-
-    upto = Window.partitionBy("sector").orderBy("dir", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    placed, before = _by_direction(edges)
+    upto = Window.partitionBy("part").orderBy("dir", "asks").rowsBetween(Window.unboundedPreceding, 0)
     met = F.last(F.when(F.col("asks") == 0, F.col("edge")), ignorenulls=True).over(upto)
-    pairs = carried.unionByName(asked).withColumn("met", met).filter(F.col("asks") == 1)
+    pairs = placed.withColumn("met", met).filter(F.col("asks") == 1).join(before, "part")
+    pairs = pairs.withColumn("met", F.coalesce("met", "before"))
 
     def apart(p, q):
         return distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"{q}x"), F.col(f"{q}y"))
@@ -247,9 +226,21 @@ def hull_diameter(edges: DataFrame) -> DataFrame:
     return pairs.agg(F.max(widest).alias("diameter"))
 
 
-def _sector(direction: str):
-    turn = (F.col(direction) + math.pi) / (2 * math.pi)
-    return F.least(F.floor(turn * SECTORS).cast("int"), F.lit(SECTORS - 1))
+def _by_direction(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (``asks`` 0) and the reverses they ask for (``asks`` 1), range-partitioned by direction; and per
+    partition the last edge that stands ``before`` it, going round: one row for each partition."""
+    ring = edges.select(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("dir"), F.struct(*EDGE).alias("edge"))
+    opposite = F.col("dir") + F.when(F.col("dir") <= 0, F.lit(math.pi)).otherwise(F.lit(-math.pi))
+    rows = ring.select("dir", F.lit(0).alias("asks"), "edge").unionByName(
+        ring.select(opposite.alias("dir"), F.lit(1).alias("asks"), "edge")
+    )
+    placed = written(rows.repartitionByRange("dir", "asks").withColumn("part", F.spark_partition_id()), "directions")
+    last = F.max_by("edge", F.when(F.col("asks") == 0, F.col("dir")))
+    ends = placed.groupBy("part").agg(last.alias("last"))
+    line = Window.orderBy("part")
+    earlier = F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    round_again = F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return placed, ends.select("part", F.coalesce(earlier, round_again).alias("before"))
 
 
 def hull_measures(edges: DataFrame, anchor: Location = Location(0.0, 0.0)) -> DataFrame:

@@ -1,8 +1,8 @@
 """Nearest neighbours.
 
 Top-k over a large table is a top-k per task plus a merge, and the merge grows with k times the number of
-tasks. So the k-th distance is bounded first: one aggregate counts points per distance band (a few hundred
-rows at most per task), and only points up to the band in which the count reaches k are sorted.
+tasks. Where one task cannot merge that, the k-th distance is bounded first: one aggregate counts points per distance
+band (a few hundred rows at most per task), and only points up to the band in which the count reaches k are sorted.
 """
 
 from __future__ import annotations
@@ -14,12 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.geometry import Location, distance_to, plain_distance, usable
-from lodestar.operators.ordering import DIRECT_ROWS, by_distance, ranked
+from lodestar.operators.ordering import by_distance, first_rows, merges_directly
 from lodestar.operators.search import EXCLUDE_COORDS, without_query
 
-# One task may merge this many rows; more are ranked by a distributed sort.
-MERGE_ROWS = 1_000_000
-
 # Distance bands per doubling of the distance.
 BANDS = 8
 
@@ -35,7 +32,7 @@ def knn(points: DataFrame, q: Location, k: int, exclude: str = EXCLUDE_COORDS, u
 
 def nearest_rows(near: DataFrame, k: int) -> DataFrame:
     """The k rows with the smallest ``dist``, ties by uid."""
-    if k <= DIRECT_ROWS:
+    if k <= 0 or merges_directly(near, k):
         return by_distance(near).limit(max(k, 0))
     return _cut(near, _bands(near), k)
 
@@ -81,6 +78,5 @@ def _cut(near: DataFrame, bands: list[tuple[int, float]], k: int) -> DataFrame:
         if kept >= k:
             near = near.filter(F.col("dist") <= F.lit(far))
             break
-    if kept <= MERGE_ROWS:
-        return by_distance(near).limit(k)
-    return by_distance(ranked(near, ["dist", "uid"], "_rank").filter(F.col("_rank") < k).drop("_rank"))
+    # Within the cut every task still keeps k rows at most, however many share the last distance.
+    return first_rows(near, k, ["dist", "uid"])

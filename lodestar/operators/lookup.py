@@ -8,10 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import join_side
-
-# Longer key lists become a join instead of a literal list in the plan.
-LITERAL_KEYS = 1000
+from lodestar.session import local_frame
 
 # Terms per bit mask.
 MASK_BITS = 62
@@ -65,19 +62,20 @@ def grep_key(cells: DataFrame, term: str) -> DataFrame:
     return cells.filter(F.col("row").contains(term))
 
 
-def batch_lookup(table: DataFrame, keys: list | DataFrame, key: str = "row") -> DataFrame:
-    """Rows of many keys at once: a literal list when short, otherwise a semi join sized at run time."""
+def batch_lookup(table: DataFrame, keys: list | DataFrame, key: str = "row", literal_keys: int = 1000) -> DataFrame:
+    """Rows of many keys at once: up to ``literal_keys`` as a list in the plan, which reaches the scan; more as a
+    semi join that Spark sizes. The rows are the same."""
     if isinstance(keys, DataFrame):
         return table.join(keys.select(key), key, "left_semi")
-    if len(keys) <= LITERAL_KEYS:
+    if len(keys) <= literal_keys:
         return table.filter(F.col(key).isin(keys))
-    frame = join_side(table.sparkSession, [(k,) for k in keys], table.select(key).schema)
+    frame = local_frame(table.sparkSession, [(k,) for k in keys], table.select(key).schema)
     return table.join(frame, key, "left_semi")
 
 
 def postings(documents: DataFrame, id_column: str, text_column: str, terms: list[str] | None = None) -> DataFrame:
     """Inverted index ``(id, term)``: the distinct lower-case words of each whole text, or those among ``terms``."""
-    words = F.split(F.lower(F.col(text_column)), "[^a-z]+")
+    words = F.split(F.lower(F.col(text_column)), r"[^\p{L}\p{N}]+")
     if terms is None:
         words = F.array_distinct(words)
     else:

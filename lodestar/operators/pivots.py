@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import random
+from os.path import commonprefix
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +14,15 @@ from lodestar.functions.geometry import Location, distance, distance_to, plain_d
 from lodestar.functions.keys import pivot_id
 from lodestar.operators.hull import Extremes, extremes
 from lodestar.operators.ordering import first_rows
-from lodestar.session import join_side, local_frame, written
+from lodestar.session import local_frame, written
+from lodestar.sources.generators import fraction
 
 
 # Cells per axis of the grid that the choice of pivots looks at.
 GRID = 32
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 class Pivot(NamedTuple):
     pivot_id: str
@@ -89,7 +92,11 @@ def sss_pivots(
 
 
 def _first_per_cell(points: DataFrame, box: Extremes, order_by: str) -> dict[int, tuple]:
-    """``{cell: (order, uid, x, y)}`` of the first point in each cell; at most GRID * GRID of them."""
+    """``{cell: (order, uid, x, y)}`` of the first point in each cell; at most GRID * GRID of them.
+
+    The scan aggregates plain numbers. An order that is not a number is first reduced to one that never decreases
+    along it; only points that share the least number of their cell are then compared as they are.
+    """
     if not box.n:
         return {}
 
@@ -99,12 +106,25 @@ def _first_per_cell(points: DataFrame, box: Extremes, order_by: str) -> dict[int
         return F.least(F.floor((F.col(name) - low) / (high - low) * GRID).cast("int"), F.lit(GRID - 1))
 
     cell = axis("x", box.min_x, box.max_x) * GRID + axis("y", box.min_y, box.max_y)
-    grouped = points.groupBy(cell.alias("cell"))
-    if order_by == "uid":
-        rows = grouped.agg(F.min("uid"), F.min_by("x", "uid"), F.min_by("y", "uid")).collect()
+    types = dict(points.dtypes)
+    if order_by == "uid" and types["uid"] in NUMBERS:
+        rows = points.groupBy(cell.alias("cell")).agg(F.min("uid"), F.min_by("x", "uid"), F.min_by("y", "uid")).collect()
         return {row[0]: (row[1], *row[1:]) for row in rows}
+    code = F.col(order_by) if types[order_by] in NUMBERS else _text_code(points, order_by)
+    coded = points.withColumns({"_cell": cell, "_code": code})
+    least = [tuple(row) for row in coded.groupBy("_cell").agg(F.min("_code").alias("_code")).collect()]
+    winners = local_frame(points.sparkSession, least, coded.select("_cell", "_code").schema)
     first = F.min(F.struct(F.col(order_by).alias("_order"), F.col("uid").alias("_uid"), "x", "y"))
-    return {row[0]: tuple(row[1]) for row in grouped.agg(first).collect()}
+    found = coded.join(winners, ["_cell", "_code"]).groupBy("_cell").agg(first).collect()
+    return {row[0]: tuple(row[1]) for row in found}
+
+
+def _text_code(points: DataFrame, column: str) -> Column:
+    """A number that never decreases along the text: the seven bytes after what all values begin with."""
+    ends = points.agg(F.min(column), F.max(column)).first()
+    start = len(commonprefix([str(end or "").encode() for end in ends]))
+    following = F.hex(F.substring(F.col(column).cast("string").cast("binary"), start + 1, 7))
+    return F.conv(F.rpad(following, 14, "0"), 16, 10).cast("long")
 
 
 def _covered(cell: int, box: Extremes, place: Location, spacing: float) -> bool:
@@ -137,14 +157,14 @@ def random_pivots(
 ) -> DataFrame:
     """``draws`` pivots drawn with replacement from the first ``pool`` points.
 
-    The pool is the feature's own, fixed bound, so one window may number it.
+    The pool is the feature's own, fixed bound, so one window may number it. Draws are hashes of their number.
     """
     order = [order_by] if order_by == "uid" else [order_by, "uid"]
     head = written(first_rows(points.filter(usable()), pool, order), "pivot-pool")
-    size = head.count()
-    chooser = random.Random(seed)
-    drawn = [(i, chooser.randrange(size)) for i in range(draws)] if size else []
-    drawn = join_side(points.sparkSession, drawn, "ord int, _position int")
+    size = F.lit(head.count())
+    drawn = points.sparkSession.range(draws).select(
+        F.col("id").cast("int").alias("ord"), F.floor(fraction(seed, "id", F.lit("pivot")) * size).cast("int").alias("_position")
+    )
     numbered = head.withColumn("_position", F.row_number().over(Window.orderBy(*order)) - 1)
     return drawn.join(numbered, "_position").select(
         F.concat(F.lit(PIVOT_PREFIX), F.col("ord")).alias("pivot_id"), "ord", "uid", "x", "y"
@@ -155,11 +175,12 @@ def pivots_frame(spark: SparkSession, pivots: list[Pivot], uid_type: str = "bigi
     return local_frame(spark, pivots, f"pivot_id string, ord int, uid {uid_type}, x double, y double")
 
 
-def collect_pivots(frame: DataFrame) -> list[Pivot]:
-    """Pivots as driver-side values. There are few by construction; more than a thousand is an error."""
-    rows = frame.orderBy("ord").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("not a pivot table: more than 1000 rows")
+def collect_pivots(frame: DataFrame, alpha: float = ALPHA) -> list[Pivot]:
+    """Pivots as driver-side values: no more than geometry allows at their spacing."""
+    most = most_pivots(alpha)
+    rows = frame.orderBy("ord").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"not a pivot table for alpha {alpha}: more than {most} rows")
     return [Pivot(row["pivot_id"], row["ord"], row["uid"], row["x"], row["y"]) for row in rows]
 
 
@@ -212,6 +233,12 @@ def read_pivot_map(spark: SparkSession, path: str, pivot: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("pivot_id") == pivot).select("uid", "dist")
 
 
+def stored_distance(pivots: list[Pivot], pivot: str) -> Column:
+    """The ``dp_<i>`` column that the pivot named in another column of the same row has."""
+    missing = F.raise_error(F.concat(F.lit("no stored distance to "), F.col(pivot))).cast("double")
+    return F.coalesce(F.try_element_at(distance_map(pivots), F.col(pivot)), missing)
+
+
 def lookup_pivot_distance(pairs: DataFrame, distances: DataFrame) -> DataFrame:
     """Stored distance for each ``(uid, pivot_id)``. A pair without one stops the job instead of counting as 0."""
     missing = F.raise_error(F.concat(F.lit("no stored distance for "), F.concat_ws("_", "pivot_id", "uid")))

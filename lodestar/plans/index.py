@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import asdict, dataclass, fields
 from functools import partial
 
@@ -21,6 +22,12 @@ from lodestar.session import local_frame, together
 # The first radius of a kNN search over the radius that the density suggests: seldom leaves a second round.
 FIRST_STEP = 1.3
 
+# Column with the number of the build.
+BUILD = "build"
+
+# Points per file of a stored index.
+ROWS_PER_FILE = 2_000_000
+
 # Bits per axis of the cell number that orders the stored points.
 CELL_BITS = 24
 
@@ -119,14 +126,20 @@ class LandmarkIndex:
 
 
 def build_index(
-    points: DataFrame, path: str, alpha: float = ALPHA, order_by: str = "uid", partitions: int | None = None
+    points: DataFrame,
+    path: str,
+    alpha: float = ALPHA,
+    order_by: str = "uid",
+    partitions: int | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> LandmarkIndex:
     """Choose pivots, store every point with its pivot distances, and summarise the quadrants.
 
     Points are stored in Morton order of their cell, so a query disc touches few files and row groups, and
     ties within a cell are spread by a hash, so no place can overload one task. Only identifier, coordinates
     and cell are shuffled; everything else is computed on the way to the files. ``points`` is scanned several
-    times: store it as Parquet first when it comes from text.
+    times: store it as Parquet first when it comes from text. The number of files follows from the number of
+    points, unless ``partitions`` gives it. All parts carry the number of the build, which ``load_index`` compares.
     """
     spark = points.sparkSession
     found = extremes(points)
@@ -138,21 +151,26 @@ def build_index(
     extra = [order_by] if order_by not in ("uid", "x", "y") else []
     placed = points.filter(usable()).select("uid", "x", "y", *extra, _cell(extent).alias("_cell"))
     keys = [F.col("_cell"), F.xxhash64("uid")]
-    placed = placed.repartitionByRange(partitions, *keys) if partitions else placed.repartitionByRange(*keys)
+    placed = placed.repartitionByRange(partitions or math.ceil(extent.n / rows_per_file), *keys)
     placed = placed.sortWithinPartitions("_cell").drop("_cell")
-    _with_distances(placed, pivots, extent).write.mode("overwrite").parquet(f"{path}/points")
+    build = uuid.uuid4().hex
+
+    def writer(frame: DataFrame):
+        return frame.withColumn(BUILD, F.lit(build)).write.mode("overwrite")
 
-    points = spark.read.parquet(f"{path}/points")
+    writer(_with_distances(placed, pivots, extent)).parquet(f"{path}/points")
+
+    points = spark.read.parquet(f"{path}/points").drop(BUILD)
     areas = quadrant_areas(extent.min_x, extent.max_x, extent.min_y, extent.max_y, extent.cx, extent.cy)
     quadrants = _quadrant_rows(quadrant_table(stored_quadrant_counts(points), areas))
     index = LandmarkIndex(points, pivots, extent, quadrants)
     summary = {
         "pivots": index.pivots_frame(),
         "quadrants": index.quadrants_frame(),
-        "extent": local_frame(spark, [tuple(asdict(extent).values())], EXTENT_SCHEMA),
+        "extent": local_frame(spark, [(*asdict(extent).values(), alpha)], f"{EXTENT_SCHEMA}, alpha double"),
     }
-    writers = {name: frame.coalesce(1).write.mode("overwrite") for name, frame in summary.items()}
-    together(*(partial(writer.parquet, f"{path}/{name}") for name, writer in writers.items()))
+    writers = {name: writer(frame.coalesce(1)) for name, frame in summary.items()}
+    together(*(partial(part.parquet, f"{path}/{name}") for name, part in writers.items()))
     return index
 
 
@@ -175,12 +193,19 @@ def _with_distances(points: DataFrame, pivots: list[Pivot], extent: Extent) -> D
 
 
 def load_index(spark: SparkSession, path: str) -> LandmarkIndex:
-    """Open a stored index. Only the pivots, the extent and the four quadrants come to the driver."""
+    """Open a stored index. Only the pivots, the extent and the four quadrants come to the driver.
+
+    Parts of different builds, which an interrupted rebuild leaves behind, are refused.
+    """
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("points", "pivots", "extent", "quadrants")}
+    builds = {name: (part.select(BUILD).first() or [None])[0] for name, part in parts.items()}
+    if len(set(builds.values())) > 1:
+        raise ValueError(f"the parts of {path} come from different builds: {builds}")
+    parts = {name: part.drop(BUILD) for name, part in parts.items()}
+    extent = parts["extent"].first().asDict()
+    alpha = extent.pop("alpha")
     return LandmarkIndex(
-        spark.read.parquet(f"{path}/points"),
-        collect_pivots(spark.read.parquet(f"{path}/pivots")),
-        Extent(**spark.read.parquet(f"{path}/extent").first().asDict()),
-        _quadrant_rows(spark.read.parquet(f"{path}/quadrants")),
+        parts["points"], collect_pivots(parts["pivots"], alpha), Extent(**extent), _quadrant_rows(parts["quadrants"])
     )
 
 

@@ -12,18 +12,20 @@ from lodestar.sources.topics import publish_points
 
 
 def import_points(
-    spark: SparkSession, source: str, path: str, file_order: bool = False, **positions
+    spark: SparkSession, source: str, path: str, file_order: bool = False, partitions: int | None = None, **options
 ) -> LandmarkIndex:
     """Load a point file, store it as Parquet, and build its index under ``path``.
 
     The text is parsed once; the passes of the index build read three Parquet columns. Pivots are chosen in
-    order of uid, which is text, or in the order of the lines.
+    order of uid, which is text, or in the order of the lines. ``options`` go to ``load_points``: positions, and
+    ``quarantine`` for lines that cannot be read.
     """
-    points = load_points(spark, source, **positions)
+    points = load_points(spark, source, **options)
     if file_order:
         points = points.withColumn("line", F.substring_index("uid", "_", -1).cast("bigint"))
     points.write.mode("overwrite").parquet(f"{path}/source")
-    return build_index(spark.read.parquet(f"{path}/source"), path, order_by="line" if file_order else "uid")
+    stored = spark.read.parquet(f"{path}/source")
+    return build_index(stored, path, order_by="line" if file_order else "uid", partitions=partitions)
 
 
 def publish_index(index: LandmarkIndex, options: dict[str, str]) -> None:

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from lodestar.constants import ALPHA, EPSILON, PREVIEW_ROWS, RANDOM_PIVOT_DRAWS
-from lodestar.plans.registry import NEIGHBOURS, QUERY_UID, RADIUS, STOP_AFTER, TERMS, WIDE_RADIUS
+from lodestar.constants import (
+    ALPHA,
+    EPSILON,
+    GEO_X_HIGH,
+    GEO_X_LOW,
+    GEO_Y_HIGH,
+    GEO_Y_LOW,
+    PREVIEW_ROWS,
+    RANDOM_PIVOT_DRAWS,
+    RANDOM_PIVOT_POOL,
+)
+from lodestar.plans.registry import NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERMS, WIDE_RADIUS
+from lodestar.sources.generators import FRACTION_BITS, FRACTION_DIGITS
 
 # Building blocks. Each names those it needs, in order.
 
@@ -142,6 +153,16 @@ _PRUNED = [*_PAIRS, QUERY_POINT, PIVOT_QUERY, PRUNED]
 _CELLS = [*_PRUNED, NEAR, HIT_CELLS]
 
 
+#: One row per event, numbered from 0.
+_MADE = "(SELECT unnest(range(n)) AS i FROM (SELECT count(*) AS n FROM events))"
+
+
+def _fraction(number: str, purpose: str) -> str:
+    """The generators' number in [0, 1)."""
+    digits = f"substr(md5('{SEED}|' || {number} || '|{purpose}'), 1, {FRACTION_DIGITS})"
+    return f"(CAST(('0x' || {digits}) AS BIGINT)::DOUBLE / {1 << FRACTION_BITS}.0::DOUBLE)"
+
+
 def _with(blocks: list[str], select: str) -> str:
     return f"WITH RECURSIVE {', '.join(blocks)} {select}"
 
@@ -190,7 +211,7 @@ ORACLES: dict[str, str] = {
     "read_quadrant": _with(_QUADRANTS, _QUADRANT_ROWS),
     "read_centroid": _with(_SHAPE, "SELECT round(cx, 6) AS x, round(cy, 6) AS y FROM shape"),
     "ensure_table": _with([POINTS], "SELECT uid, x, y FROM p"),
-    "recreate_table": _with([POINTS], "SELECT uid, x, y FROM p WHERE y > 10"),
+    "recreate_table": _with([POINTS], "SELECT uid, x + 1 AS x, y FROM p"),
     "publish_points": _with([POINTS], "SELECT CAST(uid AS VARCHAR) AS uid, x, y FROM p"),
     "stream_points": _with([POINTS], "SELECT CAST(uid AS VARCHAR) AS uid, x, y FROM p"),
     "scan_count": _with(_CELLS, "SELECT count(*) AS cells FROM cells"),
@@ -198,8 +219,11 @@ ORACLES: dict[str, str] = {
         _CELLS, "SELECT row, cf, cq, CAST(ts AS BIGINT) AS ts FROM cells ORDER BY row, cf, cq LIMIT 1"
     ),
     "write_wkt": _with([POINTS], "SELECT printf('\"Point (%.2f %.2f)\"', x, y) AS line FROM p"),
-    "gen_uniform": "SELECT count(*) AS n, TRUE AS inside FROM events",
-    "gen_geo": "SELECT count(*) AS n, TRUE AS inside FROM events",
+    "gen_uniform": f"""SELECT i AS uid, {_fraction("i", "x")} * 10.0 + -5.0 AS x, {_fraction("i", "y")} * 10.0 + -5.0 AS y
+        FROM {_MADE}""",
+    "gen_geo": f"""SELECT 'point_' || i AS uid,
+        -({_fraction("i", "x")} * {GEO_X_HIGH - GEO_X_LOW!r}::DOUBLE + {GEO_X_LOW}::DOUBLE) AS x,
+        {_fraction("i", "y")} * {GEO_Y_HIGH - GEO_Y_LOW!r}::DOUBLE + {GEO_Y_LOW}::DOUBLE AS y FROM {_MADE}""",
     # Filters and lookups
     "scan_column": _with([POINTS], _POINT_CELL),
     "lookup_row": _with([POINTS], f"{_POINT_CELL} WHERE uid = {QUERY_UID}"),
@@ -217,7 +241,7 @@ ORACLES: dict[str, str] = {
         [POINTS], f"{_POINT_CELL} WHERE uid IN (SELECT event_id FROM events WHERE event_type = 'purchase')"
     ),
     "term_intersect": "SELECT doc_id FROM documents WHERE "
-    + " AND ".join(f"list_contains(string_split_regex(lower(text), '[^a-z]+'), '{term}')" for term in TERMS),
+    + " AND ".join(f"list_contains(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), '{term}')" for term in TERMS),
     "grep_key": _with([POINTS], f"{_POINT_CELL} WHERE contains({_NAMED}, '_41')"),
     "exact_key_filter": _with(
         _CELLS,
@@ -241,9 +265,7 @@ ORACLES: dict[str, str] = {
     # Distances to pivots
     "pivot_distances": _with(_PAIRS, "SELECT pivot_id, uid, dist FROM pairs"),
     "pivot_distances_wide": _with(_PAIRS, "SELECT uid, pivot_id, dist FROM pairs"),
-    "pivot_map_by_pivot": _with(
-        _PAIRS, "SELECT uid, dist FROM pairs WHERE ord = (SELECT max(ord) FROM pivots)"
-    ),
+    "pivot_map_by_pivot": _with(_PAIRS, "SELECT pivot_id, uid, dist FROM pairs"),
     "diameter_bruteforce": _with(
         [POINTS, "u AS (SELECT DISTINCT x, y FROM p)"],
         """SELECT max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS diameter
@@ -265,8 +287,17 @@ ORACLES: dict[str, str] = {
     "match_count": _with(_NEAR, f"SELECT count(*) AS matches {_HITS}"),
     # Index
     "sss_pivots": _with(_PIVOTS, "SELECT pivot_id, ord, uid, x, y FROM pivots"),
-    "random_pivots": f"""SELECT CAST({RANDOM_PIVOT_DRAWS} AS BIGINT) AS draws,
-        CAST({RANDOM_PIVOT_DRAWS} AS BIGINT) AS ords, count(*) > 0 AS in_pool FROM events""",
+    "random_pivots": _with(
+        [
+            POINTS,
+            f"""pool AS (
+                SELECT *, row_number() OVER (ORDER BY uid) - 1 AS position FROM p ORDER BY uid LIMIT {RANDOM_PIVOT_POOL}
+            )""",
+        ],
+        f"""SELECT 'pivot_' || i AS pivot_id, CAST(i AS INTEGER) AS ord, uid, x, y
+        FROM unnest(range({RANDOM_PIVOT_DRAWS})) AS d(i)
+        JOIN pool ON position = CAST(floor({_fraction("i", "pivot")} * (SELECT count(*) FROM pool)) AS BIGINT)""",
+    ),
     "query_pivot_distances": _with(
         [*_PIVOTS, QUERY_POINT, PIVOT_QUERY], "SELECT pivot_id, ord, dq AS dist FROM to_query"
     ),
@@ -299,7 +330,10 @@ ORACLES: dict[str, str] = {
     "knn": _with(_NEAR, _NEAREST),
     "knn_expanding": _with(_NEAR, _NEAREST),
     # Order and sets
-    "sort_xy": _with([POINTS], "SELECT uid, x, y, row_number() OVER (ORDER BY x, y, uid) - 1 AS position FROM p"),
+    "sort_xy": _with(
+        [POINTS, "gaps AS (SELECT CASE WHEN uid % 11 <> 0 THEN x END AS x, CASE WHEN uid % 7 <> 0 THEN y END AS y FROM p)"],
+        "SELECT x, y, row_number() OVER (ORDER BY x NULLS FIRST, y NULLS FIRST) - 1 AS position FROM gaps",
+    ),
     "order_by_distance": _with(
         _NEAR, "SELECT uid, dist, row_number() OVER (ORDER BY dist, uid) - 1 AS position FROM near"
     ),
@@ -314,7 +348,7 @@ ORACLES: dict[str, str] = {
     # Scalar functions
     "pivot_point_key": _with(_CLOSEST, "SELECT uid, pivot_id || '_' || CAST(uid AS VARCHAR) AS pair FROM closest"),
     "point_pivot_distance": _with(
-        _PAIRS, f"SELECT {_NAMED} AS uid, dist FROM pairs WHERE ord = (SELECT max(ord) FROM pivots)"
+        _PAIRS, f"SELECT {_NAMED} AS uid, pivot_id, dist FROM pairs"
     ),
     # Streams
     "stream_decode": _with(
@@ -326,7 +360,20 @@ ORACLES: dict[str, str] = {
     "stream_range_messages": _with(_NEAR, f"SELECT CAST(uid AS VARCHAR) AS uid, x, y, dist {_HITS}"),
     "stream_certain_hits": _with(_CERTAIN, "SELECT CAST(uid AS VARCHAR) AS uid, x, y FROM certain"),
     "stream_match_count": _with(_NEAR, f"SELECT 'q41' AS query_id, count(*) AS matches {_HITS}"),
-    "stream_stop_at_n": _with(_NEAR, f"SELECT count(*) >= {STOP_AFTER} AS reached {_HITS}"),
+    "stream_stop_at_n": _with(
+        [
+            *_NEAR,
+            f"hits AS (SELECT uid % {STOP_FILES} AS batch {_HITS})",
+            f"""seen AS (
+                SELECT b AS batch, (SELECT count(*) FROM hits WHERE hits.batch <= b) AS matches
+                FROM unnest(range({STOP_FILES})) AS r(b)
+            )""",
+            f"""halt AS (
+                SELECT coalesce(min(batch) FILTER (matches >= {STOP_AFTER}), {STOP_FILES - 1}) AS batch FROM seen
+            )""",
+        ],
+        f"SELECT matches >= {STOP_AFTER} AS reached, batch, matches FROM seen JOIN halt USING (batch)",
+    ),
     "stream_knn": _with(_NEAR, _NEAREST),
     "stream_timing": "SELECT count(*) AS rows FROM events",
 }

@@ -7,12 +7,12 @@ cells made from it, are built once per session and folder and then shared by the
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.constants import GEO_X_HIGH, GEO_X_LOW, GEO_Y_HIGH, GEO_Y_LOW, PREVIEW_ROWS, RANDOM_PIVOT_POOL
+from lodestar.constants import PREVIEW_ROWS
 from lodestar.functions import codec, geometry, keys
 from lodestar.functions.geometry import Location
 from lodestar.operators import hull, lookup, ordering, pivots, quadrants, search
@@ -30,6 +30,7 @@ WIDE_RADIUS = 250.0
 NEIGHBOURS = 100
 SEED = 7
 STOP_AFTER = 100
+STOP_FILES = 8
 TERMS = ["the", "with"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,10 +93,11 @@ class Inputs:
         return cell_table.open_cells(self.spark, path)
 
     @cached_property
-    def long_distances(self) -> DataFrame:
+    def pivot_maps(self) -> str:
+        """Folder of the long form of all distances, one folder per pivot."""
         path = scratch_path(self.spark, "pivot-maps")
         pivots.write_pivot_maps(pivots.pivot_distances(self.points, self.index.pivots), path)
-        return self.spark.read.parquet(path).withColumn("pivot_id", F.col("pivot_id").cast("string"))
+        return path
 
     @cached_property
     def topic(self) -> str:
@@ -258,32 +260,39 @@ def read_centroid(given: Inputs) -> DataFrame:
     return _rounded(cell_table.read_centroid(given.cells), "x", "y")
 
 
-def _database(given: Inputs) -> str:
+def _in_database(given: Inputs, fill: Callable[[str, str], None]) -> DataFrame:
+    """What a table holds after ``fill(name, schema)``, in a database of its own that goes again."""
     path = scratch_path(given.spark, "catalog")
-    name = "lodestar_" + path.rsplit("-", 1)[1]
-    given.spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
-    return name
+    database = "lodestar_" + path.rsplit("-", 1)[1]
+    given.spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    try:
+        fill(f"{database}.points", "uid bigint, x double, y double")
+        return written(given.spark.table(f"{database}.points"), "table")
+    finally:
+        given.spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 @query
 def ensure_table(given: Inputs) -> DataFrame:
-    name = f"{_database(given)}.points"
-    schema = "uid bigint, x double, y double"
-    tables.ensure_table(given.spark, name, schema)
-    given.points.write.insertInto(name)
-    tables.ensure_table(given.spark, name, schema)
-    return given.spark.table(name)
+    def fill(name: str, schema: str) -> None:
+        tables.ensure_table(given.spark, name, schema)
+        given.points.write.insertInto(name)
+        tables.ensure_table(given.spark, name, schema)
+
+    return _in_database(given, fill)
 
 
 @query
 def recreate_table(given: Inputs) -> DataFrame:
-    name = f"{_database(given)}.points"
-    schema = "uid bigint, x double, y double"
-    tables.recreate_table(given.spark, name, schema)
-    given.points.write.insertInto(name)
-    tables.recreate_table(given.spark, name, schema)
-    given.points.filter(F.col("y") > 10).write.insertInto(name)
-    return given.spark.table(name)
+    """All points moved by one; none of the rows from before is left."""
+
+    def fill(name: str, schema: str) -> None:
+        tables.recreate_table(given.spark, name, schema)
+        given.points.write.insertInto(name)
+        tables.recreate_table(given.spark, name, schema)
+        given.points.withColumn("x", F.col("x") + 1).write.insertInto(name)
+
+    return _in_database(given, fill)
 
 
 @query
@@ -316,18 +325,16 @@ def write_wkt(given: Inputs) -> DataFrame:
 
 @query
 def gen_uniform(given: Inputs) -> DataFrame:
-    """One generated point per event: how many, all inside the square, all different."""
-    made = generators.uniform_points(given.points, -5.0, 5.0, SEED, key="uid")
-    inside = F.min((F.col("x") >= -5.0) & (F.col("x") < 5.0) & (F.col("y") >= -5.0) & (F.col("y") < 5.0))
-    return made.agg(F.count("*").alias("n"), inside.alias("inside"))
+    """As many points as there are events."""
+    return generators.gen_uniform(given.spark, -5.0, 5.0, SEED, given.points.count())
 
 
 @query
 def gen_geo(given: Inputs) -> DataFrame:
-    made = generators.geo_points(given.points, SEED, key="uid")
-    x_in = (-F.col("x") >= GEO_X_LOW) & (-F.col("x") < GEO_X_HIGH)
-    y_in = (F.col("y") >= GEO_Y_LOW) & (F.col("y") < GEO_Y_HIGH)
-    return made.agg(F.count("*").alias("n"), F.min(x_in & y_in).alias("inside"))
+    """A file of as many points as there are events, read back."""
+    path = scratch_path(given.spark, "geo")
+    generators.gen_geo(given.spark, path, given.points.count(), SEED)
+    return text.load_points_delimited(given.spark, path, x_pos=1, y_pos=2)
 
 
 # Filters and lookups
@@ -435,7 +442,12 @@ def pivot_distances_wide(given: Inputs) -> DataFrame:
 
 @query
 def pivot_map_by_pivot(given: Inputs) -> DataFrame:
-    return given.long_distances.filter(F.col("pivot_id") == given.index.pivots[-1].pivot_id).select("uid", "dist")
+    """The stored map of every pivot, each read on its own."""
+    maps = [
+        pivots.read_pivot_map(given.spark, given.pivot_maps, p.pivot_id).withColumn("pivot_id", F.lit(p.pivot_id))
+        for p in given.index.pivots
+    ]
+    return reduce(DataFrame.unionByName, maps)
 
 
 @query
@@ -446,8 +458,9 @@ def diameter_bruteforce(given: Inputs) -> DataFrame:
 
 @query
 def lookup_pivot_distance(given: Inputs) -> DataFrame:
-    pairs = given.index.points.select("uid", F.col("closest_pivot").alias("pivot_id"))
-    return pivots.lookup_pivot_distance(pairs, given.long_distances)
+    """Stored distance to the closest pivot, out of the point's own row."""
+    near = given.index.points.withColumn("dist", pivots.stored_distance(given.index.pivots, "closest_pivot"))
+    return near.select("uid", F.col("closest_pivot").alias("pivot_id"), "dist")
 
 
 @query
@@ -521,13 +534,7 @@ def sss_pivots(given: Inputs) -> DataFrame:
 
 @query
 def random_pivots(given: Inputs) -> DataFrame:
-    """How many were drawn, how many positions, and whether each is one of the first points."""
-    drawn = pivots.random_pivots(given.points, SEED)
-    last = ordering.ranked(given.points, ["uid"]).filter(F.col("rank") == RANDOM_PIVOT_POOL - 1).select("uid").first()
-    limit = F.lit(last["uid"]) if last else F.lit(None).cast("bigint")
-    in_pool = F.min(F.coalesce(F.col("uid") <= limit, F.lit(True)))
-    known = drawn.join(given.points, ["uid", "x", "y"], "left_semi")
-    return known.agg(F.count("*").alias("draws"), F.count_distinct("ord").alias("ords"), in_pool.alias("in_pool"))
+    return pivots.random_pivots(given.points, SEED)
 
 
 @query
@@ -620,14 +627,15 @@ def knn_expanding(given: Inputs) -> DataFrame:
 
 @query
 def sort_xy(given: Inputs) -> DataFrame:
-    """Points in order, with their position so that the order itself is compared."""
-    return ordering.ranked(ordering.sort_xy(given.points), ["x", "y", "uid"], "position")
+    """Coordinates, some of them missing, with their position in the sorted frame itself."""
+    gaps = given.points.withColumns({n: F.when(F.pmod("uid", F.lit(m)) != 0, F.col(n)) for n, m in (("x", 11), ("y", 7))})
+    return ordering.numbered(ordering.sort_xy(gaps).select("x", "y"), "position")
 
 
 @query
 def order_by_distance(given: Inputs) -> DataFrame:
-    near = given.points.withColumn("dist", geometry.distance_to(given.q))
-    return ordering.ranked(ordering.by_distance(near), ["dist", "uid"], "position").select("uid", "dist", "position")
+    near = given.points.select("uid", geometry.distance_to(given.q).alias("dist"))
+    return ordering.numbered(ordering.by_distance(near), "position")
 
 
 @query
@@ -663,9 +671,12 @@ def pivot_point_key(given: Inputs) -> DataFrame:
 
 @query
 def point_pivot_distance(given: Inputs) -> DataFrame:
-    """Distance to the last pivot, out of each point's stored map."""
-    stored = cell_table.read_points(given.cells)
-    return stored.select("uid", streams.point_pivot_distance(given.index.pivots[-1].pivot_id).alias("dist"))
+    """Distance to every pivot, out of each point's stored map."""
+    stored = [
+        F.struct(F.lit(p.pivot_id).alias("pivot_id"), streams.point_pivot_distance(p.pivot_id).alias("dist"))
+        for p in given.index.pivots
+    ]
+    return cell_table.read_points(given.cells).select("uid", F.inline(F.array(*stored)))
 
 
 # Streams
@@ -698,17 +709,25 @@ def stream_certain_hits(given: Inputs) -> DataFrame:
 @query
 def stream_match_count(given: Inputs) -> DataFrame:
     counts = streams.stream_match_count(streams.stream_range(given.stream, given.q, RADIUS), "q41")
-    name = "matches_" + scratch_path(given.spark, "m").rsplit("-", 1)[1]
-    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete")
+    path = scratch_path(given.spark, "stream-count")
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint")
+    writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    return given.spark.table(name)
+    return given.spark.read.schema(counts.schema).parquet(f"{path}/out")
 
 
 @query
 def stream_stop_at_n(given: Inputs) -> DataFrame:
-    found = streams.stream_range(given.stream, given.q, RADIUS)
-    report = streams.stream_stop_at_n(found, STOP_AFTER, scratch_path(given.spark, "stop"))
-    return local_frame(given.spark, [(report.reached,)], "reached boolean")
+    """Which batch brought the n-th match, and how many matches there were then. A batch is one of the files into
+    which the points are dealt by identifier, in order of arrival."""
+    path = scratch_path(given.spark, "stop")
+    for part in range(STOP_FILES):
+        some = given.points.filter(F.pmod("uid", F.lit(STOP_FILES)) == part)
+        some.coalesce(1).write.mode("append").parquet(f"{path}/points")
+    stream = given.spark.readStream.schema(given.points.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/points")
+    report = streams.stream_stop_at_n(streams.stream_range(stream, given.q, RADIUS), STOP_AFTER, f"{path}/query")
+    row = (report.reached, report.batch_id, report.matches)
+    return local_frame(given.spark, [row], "reached boolean, batch bigint, matches bigint")
 
 
 @query

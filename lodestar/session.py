@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Lists of at most this many short rows are broadcast; longer ones are joined like any table.
-BROADCAST_ROWS = 1_000_000
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
@@ -32,9 +31,45 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _session_folder(root: str, application: str) -> str:
+    """One folder below the root for all intermediate tables of an application, deleted when it ends."""
+    context = SparkContext.getOrCreate()
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{root}/lodestar-{application}-{uuid.uuid4().hex[:8]}")
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return folder.toString()
+
+
+_collectors: ContextVar[tuple[list[str], ...]] = ContextVar("collectors", default=())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for one intermediate table."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = _session_folder(checkpoint_root(spark), spark.sparkContext.applicationId)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    for paths in _collectors.get():
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of all intermediate tables made inside, for ``discard`` once their readers are done."""
+    paths: list[str] = []
+    before = _collectors.set((*_collectors.get(), paths))
+    try:
+        yield paths
+    finally:
+        _collectors.reset(before)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables before the session ends."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -55,14 +90,9 @@ def together(*jobs: Callable):
 
 
 def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    """A list as a DataFrame that is part of the plan: Spark knows its size and starts no Python worker for it."""
+    """A list as a DataFrame that is part of the plan: Spark knows its size in bytes, so it is broadcast in a join
+    only where the session's threshold allows it, and no Python worker is started for it."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
     columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(arrow)]
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
-
-
-def join_side(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    """A list to join with a large table: broadcast up to a fixed length, joined like any table beyond it."""
-    frame = local_frame(spark, rows, schema)
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame

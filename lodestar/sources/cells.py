@@ -113,13 +113,15 @@ def latest_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*CELL_KEY).agg(newest).select(*CELL_KEY, "newest.ts", "newest.value")
 
 
-def write_cells(cells: DataFrame, path: str) -> None:
+def write_cells(cells: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store cells in key order, so that lookups by row skip files and row groups.
 
-    The hash after the key spreads a row with very many cells or versions over several tasks.
+    The hash after the key spreads a row with very many cells or versions over several tasks. ``partitions`` is the
+    number of files; without it, the session's number of shuffle partitions.
     """
-    spread = F.xxhash64("cf", "cq", "ts", "value")
-    cells.repartitionByRange("row", spread).sortWithinPartitions(*CELL_KEY).write.mode("overwrite").parquet(path)
+    order = ["row", F.xxhash64("cf", "cq", "ts", "value")]
+    spread = cells.repartitionByRange(partitions, *order) if partitions else cells.repartitionByRange(*order)
+    spread.sortWithinPartitions(*CELL_KEY).write.mode("overwrite").parquet(path)
 
 
 def open_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from lodestar.constants import GEO_X_HIGH, GEO_X_LOW, GEO_Y_HIGH, GEO_Y_LOW, UNIFORM_POINTS
 
-# A hash keeps this many bits as the fraction of a double.
-FRACTION_BITS = 53
+# Hexadecimal digits of a hash that make a fraction, and the bits they hold.
+FRACTION_DIGITS = 13
+FRACTION_BITS = 4 * FRACTION_DIGITS
 
 
 def fraction(seed: int, *keys) -> Column:
     """Uniform number in [0, 1) from a hash of the keys, so a recomputed task draws the same numbers."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 64 - FRACTION_BITS)
-    return bits.cast("double") * F.lit(2.0**-FRACTION_BITS)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys)), 1, FRACTION_DIGITS)
+    return F.conv(digits, 16, 10).cast("long").cast("double") * F.lit(2.0**-FRACTION_BITS)
 
 
 def uniform_points(rows: DataFrame, low: float, high: float, seed: int, key: str = "id") -> DataFrame:

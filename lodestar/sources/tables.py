@@ -22,19 +22,17 @@ def recreate_table(spark: SparkSession, name: str, schema: str) -> None:
 def upserted(base: DataFrame, updates: DataFrame, key: str = "uid", version: str = "ts") -> DataFrame:
     """``base`` (one row per key) with the newest update of each key applied, and new keys added.
 
-    Updates are reduced to one row per key and written first, so Spark knows their size when it plans the
-    joins. They are joined from the side of the base: while they are small enough to broadcast, it never moves.
+    Updates are reduced to one row per key and written first. One full outer join by key then decides everything in
+    a single pass over the base. Of equally new updates the greatest row wins; null keys match nothing.
     """
     others = [c for c in base.columns if c != key]
     newest = updates.groupBy(key).agg(F.max(F.struct(version, *[c for c in others if c != version])).alias("_new"))
-    newest = written(newest, "updates")
-    newer = F.col("_new").isNotNull() & (F.col(f"_new.{version}") >= F.col(version))
-    kept = base.join(newest, key, "left").select(
-        key, *(F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in others)
-    )
-    known = base.join(newest, key, "left_semi").select(key)
-    added = newest.join(known, key, "left_anti").select(key, *(F.col(f"_new.{c}").alias(c) for c in others))
-    return kept.unionByName(added).select(*base.columns)
+    newest = written(newest.withColumnRenamed(key, "_key"), "updates")
+    held = base.select(key, F.struct(*others).alias("_old"))
+    newer = F.col("_old").isNull() | (F.col("_new").isNotNull() & (F.col(f"_new.{version}") >= F.col(f"_old.{version}")))
+    met = held.join(newest, F.col(key) == F.col("_key"), "full_outer")
+    chosen = [F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in others]
+    return met.select(F.coalesce(key, "_key").alias(key), *chosen).select(*base.columns)
 
 
 def upsert_points(base: DataFrame, updates: DataFrame, path: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestar.constants import DELIMITED_X, DELIMITED_Y, TSV_X, TSV_Y
 from lodestar.functions.codec import point_wkt
 from lodestar.functions.keys import point_uid
-from lodestar.session import join_side
+from lodestar.operators.ordering import running_offsets
+from lodestar.session import written
 
 TSV_SUFFIX = ".tsv"
 
@@ -16,8 +17,9 @@ TSV_SUFFIX = ".tsv"
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``(value, line)`` numbered from 0 through all files, in order of file name.
 
-    Lines are numbered inside each split; one count per split gives the split's offset. Nothing is sorted or
-    moved, and what comes to the driver is as long as the list of splits that Spark plans there anyway.
+    The lines are read once and written with their split and their place in it. Counts per split, taken from what was
+    written, give each split's offset, so both sides always speak of the same splits. A line whose split has no
+    offset stops the job.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -25,13 +27,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    splits = lines.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("_first")).collect()
-    offsets, before = [], 0
-    for split in sorted(splits, key=lambda s: (s["_file"], s["_start"])):
-        offsets.append((split["_file"], split["_start"], before - split["_first"]))
-        before += split["n"]
-    offsets = join_side(spark, offsets, "_file string, _start long, _shift long")
-    return lines.join(offsets, ["_file", "_start"]).select("value", (F.col("_at") + F.col("_shift")).alias("line"))
+    lines = written(lines, "lines")
+    split = ["_file", "_start"]
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    offsets = running_offsets(sizes, split, name="_before").withColumnRenamed("_file", "_f").withColumnRenamed("_start", "_s")
+    same = (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s"))
+    number = F.col("_before") + F.col("_at") - F.col("_first")
+    missing = F.raise_error(F.concat(F.lit("lines without a number in "), F.col("_file"))).cast("long")
+    return lines.join(offsets, same, "left").select("value", F.coalesce(number, missing).alias("line"))
 
 
 def _positions(lines: DataFrame, separator: str, x_pos: int, y_pos: int) -> DataFrame:
@@ -50,8 +53,24 @@ def quarantine_lines(lines: DataFrame, separator: str, x_pos: int, y_pos: int) -
     return parsed.filter(good).drop("value"), parsed.filter(~good).select(*lines.columns)
 
 
+def _loaded(lines: DataFrame, separator: str, x_pos: int, y_pos: int, uid, quarantine: str | None) -> DataFrame:
+    """Points out of lines. With ``quarantine``, lines that cannot be read are stored in that folder instead of
+    stopping the job."""
+    if quarantine is None:
+        return _positions(lines, separator, x_pos, y_pos).select(uid.alias("uid"), "x", "y")
+    lines = written(lines.withColumn("uid", uid), "lines")
+    good, bad = quarantine_lines(lines, separator, x_pos, y_pos)
+    bad.write.mode("overwrite").parquet(quarantine)
+    return good.select("uid", "x", "y")
+
+
 def load_points_delimited(
-    spark: SparkSession, path: str, x_pos: int = DELIMITED_X, y_pos: int = DELIMITED_Y, numbered: bool = False
+    spark: SparkSession,
+    path: str,
+    x_pos: int = DELIMITED_X,
+    y_pos: int = DELIMITED_Y,
+    numbered: bool = False,
+    quarantine: str | None = None,
 ) -> DataFrame:
     """``id a b`` lines, one space apart. uid is ``point_<id>``, or ``point_<line number>`` when ``numbered``."""
     if numbered:
@@ -60,20 +79,21 @@ def load_points_delimited(
     else:
         lines = spark.read.text(path)
         number = F.split("value", " ")[0]
-    return _positions(lines, " ", x_pos, y_pos).select(point_uid(number).alias("uid"), "x", "y")
+    return _loaded(lines, " ", x_pos, y_pos, point_uid(number), quarantine)
 
 
-def load_points_tsv(spark: SparkSession, path: str, x_pos: int = TSV_X, y_pos: int = TSV_Y) -> DataFrame:
+def load_points_tsv(
+    spark: SparkSession, path: str, x_pos: int = TSV_X, y_pos: int = TSV_Y, quarantine: str | None = None
+) -> DataFrame:
     """Tab-separated records; uid is ``point_<line number>``."""
-    lines = read_lines(spark, path)
-    return _positions(lines, "\t", x_pos, y_pos).select(point_uid(F.col("line")).alias("uid"), "x", "y")
+    return _loaded(read_lines(spark, path), "\t", x_pos, y_pos, point_uid(F.col("line")), quarantine)
 
 
-def load_points(spark: SparkSession, path: str, **positions) -> DataFrame:
+def load_points(spark: SparkSession, path: str, **options) -> DataFrame:
     """By suffix: ``.tsv`` is tab-separated, anything else is space-delimited. uid is ``point_<line number>``."""
     if path.rstrip("/").endswith(TSV_SUFFIX):
-        return load_points_tsv(spark, path, **positions)
-    return load_points_delimited(spark, path, numbered=True, **positions)
+        return load_points_tsv(spark, path, **options)
+    return load_points_delimited(spark, path, numbered=True, **options)
 
 
 def write_wkt(points: DataFrame, path: str, decimals: int | None = None) -> None:

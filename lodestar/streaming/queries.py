@@ -116,8 +116,9 @@ def stream_knn(
         kept = best.agg(F.count("*").alias("n"), F.max("dist").alias("far")).first()
         if kept["n"] >= k:
             near = near.filter(F.col("dist") <= F.lit(kept["far"]))
-        merged = near.select("uid", "x", "y", "dist").unionByName(best)
+        merged = near.select("uid", "x", "y", "dist").unionByName(best).persist()
         state.save(nearest_rows(merged, k), batch_id)
+        merged.unpersist()
 
     writer = points.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -84,7 +84,7 @@ def test_knn_beyond_the_data_gives_all_of_it(spark, built):
 
 
 def test_knn_with_very_many_equal_distances_is_ranked_exactly(spark, monkeypatch):
-    monkeypatch.setattr("lodestar.operators.knn.MERGE_ROWS", 50)
+    monkeypatch.setattr("lodestar.operators.ordering.MERGE_ROWS", 50)
     places = [(3, 4)] * 400 + scattered(200, 21)
     want = brute_range(places, (0.0, 0.0), math.inf)[:300]
     found = knn(frame(spark, places), Location(0.0, 0.0), 300)
