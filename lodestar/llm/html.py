@@ -11,9 +11,9 @@ Pages of a host may be a third of all: they are range-partitioned by host and pa
 lent to the other side, so every page sees its true neighbours and no host meets in one task.
 
 Defined results: null and empty html has no text; a null url has an empty host and path, like any url without ``://``,
-and such pages are neighbours of each other; pages with equal urls are neighbours in order of their place; where a
-page without an article shares all its blocks with the neighbour, it is a copy, and they stay; an empty table gives
-no rows; other columns pass through in ``row``.
+and such pages are neighbours of each other; pages with equal urls are neighbours of each other; rows with equal url
+and html are one page, and each gets its text; where a page without an article shares all its blocks with the
+neighbour, it is a copy, and they stay; an empty table gives no rows; other columns pass through in ``row``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,9 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![^\s"'/])(hidden)(?![^\s/])""")
 NAME = re.compile(r"[a-z0-9]+")
 
+#: A page by its content: equal rows are one page.
+PAGE = ["page_a", "page_b"]
+
 #: Bits of the alignment that are kept for walking back; longer pages are halved first.
 TABLE_BITS = 1 << 27
 
@@ -201,17 +205,34 @@ def _kept(kinds: Sequence[int], own: Sequence[int], path: str, neighbours: Seque
     return alone if any(alone) else [kind == 1 for kind in kinds]
 
 
-PARSED = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+PARSED = T.StructType([T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 @F.arrow_udf(PARSED)
 def _parse(pages: pa.Array) -> pa.Array:
+    """Kinds of the blocks, and hashes of their texts."""
     out = []
     for html in pages.to_pylist():
         texts, kinds = blocks_of(html or "")
-        keys = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
-        out.append({"texts": texts, "kinds": kinds, "keys": keys})
-    return pa.array(out, pa.struct([("texts", pa.list_(pa.string())), ("kinds", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64()))]))
+        out.append({"kinds": kinds, "keys": [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]})
+    return pa.array(out, pa.struct([("kinds", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64()))]))
+
+
+@F.arrow_udf(T.BinaryType())
+def _packed(pages: pa.Array) -> pa.Array:
+    """The texts of the blocks, compressed for the shuffle. No block holds a line feed."""
+    pack = zstandard.ZstdCompressor().compress
+    return pa.array([pack("\n".join(blocks_of(html or "")[0]).encode("utf-8", "surrogatepass")) for html in pages.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.StringType())
+def _chosen(packed: pa.Array, kept: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    out = []
+    for blob, marks in zip(packed.to_pylist(), kept.to_pylist(), strict=True):
+        texts = unpack(blob).decode("utf-8", "surrogatepass").split("\n")
+        out.append("\n\n".join(t for t, mark in zip(texts, marks, strict=False) if mark))
+    return pa.array(out, pa.string())
 
 
 @F.arrow_udf(T.ArrayType(T.BooleanType()))
@@ -224,7 +245,7 @@ def _differ(kinds: pa.Array, keys: pa.Array, path: pa.Array, before: pa.Array, a
 
 def _with_neighbours(pages: DataFrame) -> DataFrame:
     """``before`` and ``after``: the pages of the same host that come next in the order of the path."""
-    order = ["host", "path", "at"]
+    order = ["host", "path", *PAGE]
     placed = written(pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
     place, whole = F.struct(*order), F.struct(*order, "keys", "kinds")
     ends = placed.groupBy("part").agg(F.min_by(whole, place).alias("first"), F.max_by(whole, place).alias("last"))
@@ -245,11 +266,17 @@ def _with_neighbours(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """``row`` and ``text``, the blocks of the main text joined by two line feeds."""
+    """``row`` and ``text``, the blocks of the main text joined by two line feeds.
+
+    Pages are parsed twice, once for the hashes that are compared and once for the texts, so that no copy of
+    the texts is written: they move once, compressed, to meet their marks.
+    """
     host, path = host_and_path(F.coalesce(F.col(url), F.lit("")))
-    parsed = with_row(pages, keep, host=host, path=path, parsed=_parse(F.col(html)), at=F.monotonically_increasing_id())
-    parsed = written(parsed.select("row", "host", "path", "at", "parsed.*"), "blocks")
-    near = _with_neighbours(parsed.select("host", "path", "at", "keys", "kinds"))
-    marks = near.select("at", _differ("kinds", "keys", "path", "before", "after").alias("kept"))
-    chosen = F.filter(F.arrays_zip("texts", "kept"), lambda b: b["kept"])
-    return parsed.select("at", "row", "texts").join(marks, "at").select("row", F.array_join(F.transform(chosen, lambda b: b["texts"]), "\n\n").alias("text"))
+    content = [F.col(url).isNull(), F.col(url), F.col(html).isNull(), F.col(html)]
+    page = {name: F.xxhash64(F.lit(k), *content) for k, name in enumerate(PAGE)}
+    parsed = pages.select(host.alias("host"), path.alias("path"), *[c.alias(n) for n, c in page.items()], _parse(F.col(html)).alias("parsed"))
+    distinct = parsed.select("host", "path", *PAGE, "parsed.*").dropDuplicates(PAGE)
+    near = _with_neighbours(distinct)
+    marks = near.select(*PAGE, _differ("kinds", "keys", "path", "before", "after").alias("kept"))
+    texts = with_row(pages, keep, packed=_packed(F.col(html)), **page)
+    return texts.join(marks, PAGE).select("row", _chosen("packed", "kept").alias("text"))
