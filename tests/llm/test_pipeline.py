@@ -44,6 +44,13 @@ def test_stages(spark, tmp_path):
     assert Counter(p["doc_id"] for p in pieces).keys() == kept[3].keys()
 
 
+def test_stages_can_be_chained_without_writing(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.count() > 0
+
+
 def test_odd_rows(spark, tmp_path):
     """Nulls, repeated rows and an empty table go through every stage."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
