@@ -64,10 +64,10 @@ def large(spark: SparkSession, rows) -> dict[str, dict]:
         index = build_index(points, f"{path}/index", partitions=LARGE_FILES)
         seconds = {"build_index": time.perf_counter() - start}
         q = Location(-95.0, 37.5)
-        box = search.range_query(index.points, [], q, 2.5)
+        box = index.range_query(q, 2.5)
         runs = {
-            "range_r2.5": index.range_query(q, 2.5),
-            "range_r2.5_box_only": box,
+            "range_r2.5": box,
+            "range_r2.5_pivot_bounds": index.range_query(q, 2.5, pivot_bounds=True),
             "range_r2.5_scan": search.range_query(points, [], q, 2.5),
         }
         for k in LARGE_NEIGHBOURS:
@@ -124,7 +124,7 @@ def main() -> None:
         "stream_knn": stream_knn,
     }
     for r in (5.0, 25.0, 100.0):
-        pruned, plain = index.range_query(q, r), search.range_query(points, [], q, r)
+        pruned, plain = index.range_query(q, r, pivot_bounds=True), search.range_query(points, [], q, r)
         runs[f"range_query_r{r:.0f}"] = lambda pruned=pruned: rows(pruned)
         runs[f"range_query_noprune_r{r:.0f}"] = lambda plain=plain: rows(plain)
         counts[f"range_query_r{r:.0f}"] = pruned.count()

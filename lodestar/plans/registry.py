@@ -572,7 +572,7 @@ def refine(given: Inputs) -> DataFrame:
 
 @query
 def range_query(given: Inputs) -> DataFrame:
-    return given.index.range_query(given.q, RADIUS)
+    return given.index.range_query(given.q, RADIUS, pivot_bounds=True)
 
 
 @query

@@ -55,6 +55,7 @@ QUERIES = [Location(5.0, 5.0), Location(0.25, -3.5), Location(500.0, -900.0)]
 def test_range_query_matches_brute_force(built, name, q, r):
     index = built[name]
     rows = index.range_query(q, r).collect()
+    assert index.range_query(q, r, pivot_bounds=True).collect() == rows
     assert [(row["dist"], row["uid"]) for row in rows] == brute_range(SETS[name], q, r)
 
 

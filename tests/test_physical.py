@@ -32,7 +32,7 @@ def pushed(text: str) -> str:
 
 
 def test_range_query_prunes_at_the_scan_without_a_shuffle(index):
-    text = plan(index.range_query(Q, 3.0, ordered=False))
+    text = plan(index.range_query(Q, 3.0, pivot_bounds=True, ordered=False))
     for name in ("x", "y", *(f"dp_{p.ord}" for p in index.pivots)):
         assert f"GreaterThanOrEqual({name}" in text and f"LessThanOrEqual({name}" in text
     assert "Exchange" not in text and "quadrant" not in text and "closest_pivot" not in text
