@@ -46,9 +46,9 @@ class QualityRules:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_class_distance: float = 0.17
+    max_class_distance: float = 0.15
     min_class_chars: int = 200
-    max_word_distance: float = 0.28
+    max_word_distance: float = 0.31
     min_distance_words: int = 80
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
