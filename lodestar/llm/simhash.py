@@ -203,14 +203,26 @@ def linked_classes(fingerprints: DataFrame, radius: int = 4, matching: int = 2,
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """``row``, ``fingerprint``, ``component`` (smallest id reachable) and ``first``: whether this row is the one of
-    its component to keep. Rows without an id are all first."""
+    """``row``, ``fingerprint`` and ``component``, the smallest id reachable; null where the id is."""
+    marked, classes = _classified(docs, doc_id, text, radius)
+    component = F.when(F.col("id").isNotNull(), F.col("component"))
+    return marked.join(classes, "fingerprint").select("row", "fingerprint", component.alias("component"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
+    """One row of each component as it came, that of its smallest id, and all rows without an id.
+
+    The rows meet the list of those to keep by their place, which is unique, so copies of one text never meet.
+    """
+    marked, classes = _classified(docs, doc_id, text, radius)
+    # Of repeated ids one row stays.
+    chosen = marked.filter("id IS NOT NULL").groupBy("fingerprint").agg(F.min_by("at", "id").alias("at"))
+    first = classes.filter("rep = component").join(chosen, "fingerprint").select("at")
+    alone = marked.filter("id IS NULL").select("at")
+    return marked.select("at", "row").join(first.unionByName(alone), "at", "left_semi").select("row")
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
     marked = fingerprinted(docs, text).select("*", F.monotonically_increasing_id().alias("at"))
     marked = written(marked.select("*", F.col("row")[doc_id].cast("long").alias("id")), "fingerprints")
-    classes = linked_classes(marked.select("id", "fingerprint"), radius)
-    # Of repeated ids one row stays.
-    chosen = marked.filter("id IS NOT NULL").groupBy("fingerprint").agg(F.min_by("at", "id").alias("chosen"))
-    first = F.col("id").isNull() | ((F.col("at") == F.col("chosen")) & (F.col("id") == F.col("component")))
-    joined = marked.join(classes.join(chosen, "fingerprint", "left"), "fingerprint")
-    component = F.when(F.col("id").isNotNull(), F.col("component"))
-    return joined.select("row", "fingerprint", component.alias("component"), first.alias("first"))
+    return marked, linked_classes(marked.select("id", "fingerprint"), radius)

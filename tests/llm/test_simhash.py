@@ -83,8 +83,10 @@ def test_rows_to_keep(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component int")
     got = simhash.near_duplicates(docs).collect()
     assert sorted((r["row"]["doc_id"], r["component"]) for r in got if r["row"]["doc_id"]) == [(3, 3), (3, 3), (5, 3), (6, 6), (7, 7), (8, 6), (9, 3)]
-    assert sorted(str(r["row"]["doc_id"]) for r in got if r["first"]) == ["3", "6", "7", "None"]
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = [r["row"] for r in simhash.deduplicated(docs).collect()]
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "6", "7", "None"]
+    assert all(r["component"] == 1 for r in kept)
+    assert simhash.near_duplicates(docs.limit(0)).count() == simhash.deduplicated(docs.limit(0)).count() == 0
 
 
 def test_query_against_brute_force(spark):
