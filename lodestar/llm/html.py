@@ -53,6 +53,13 @@ UNWANTED_NAMES = frozenset(
     "reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+#: What may stand beside an unwanted word in the name of an element that holds such things, not merely knows of them.
+NEUTRAL_NAMES = frozenset(
+    "area bar block box button buttons container content form group icons inner item items links list main media outer page panel "
+    "posts section site slot top bottom unit wrap wrapper".split()
+)
+COMMENT_NAMES = frozenset("comment commentlist comments disqus replies reply respond".split())
+
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S
 )
@@ -66,48 +73,79 @@ PAGE = ["page_a", "page_b"]
 TABLE_BITS = 1 << 27
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article."""
-    if tag in UNWANTED or (tag == "header" and not in_article):
-        return True
+#: How an element is unwanted: not, as a form, by its name, or for good, which no article inside makes up for.
+WANTED, FORM, NAMED, NEVER = range(4)
+
+
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether one whole name says it: ``ad``, ``ad-slot`` and ``site-footer`` do, ``has-sidebar`` and ``menu-open`` do not."""
+    for name in value.split():
+        parts = NAME.findall(name)
+        if not names.isdisjoint(parts) and all(p in names or p in UNWANTED_NAMES or p in NEUTRAL_NAMES or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether and how an element holds something else than the article."""
+    found = WANTED
+    if tag == "form":
+        found = FORM
+    elif tag in UNWANTED or (tag == "header" and not in_article):
+        return NEVER
     for name, double, single, bare, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape(double or single or bare).lower()
         if hidden or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return NEVER
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return NEVER
         if name == "role" and value.strip() in UNWANTED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", *LANDMARKS) and not UNWANTED_NAMES.isdisjoint(NAME.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and {"comment", "reply"} & set(NAME.findall(value)):
-            return True
-    return False
+            found = max(found, FORM if value.strip() == "form" else NEVER)
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            if _named(value, COMMENT_NAMES):
+                return NEVER
+            if tag != "article" and _named(value, UNWANTED_NAMES):
+                found = max(found, NAMED)
+    return found
 
 
 def blocks_of(html: str) -> tuple[list[str], list[int]]:
-    """The blocks of a page in order, and for each 0 (unwanted by its markup), 1 (outside an article) or 2 (inside)."""
+    """The blocks of a page in order, and for each 0 (unwanted by its markup), 1 (outside an article) or 2 (inside).
+
+    A form that holds most of the text is a plain wrapper. A main element, and an article if no other one has text,
+    begins afresh inside forms and elements that are unwanted by name.
+    """
     texts: list[str] = []
-    kinds: list[int] = []
+    # Per block: unwanted for good, by name, outermost form or -1; in a landmark; the same two within the landmark.
+    facts: list[tuple[bool, bool, int, bool, bool, bool]] = []
     held: list[str] = []
-    # Open elements as (tag, unwanted, landmark), and how many there are of each.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements as (tag, how unwanted, landmark, what was unwanted outside of it).
+    stack: list[tuple[str, int, bool, tuple[int, int, bool]]] = []
     opened: Counter[str] = Counter()
-    unwanted = landmark = 0
+    count = [0, 0, 0, 0]
+    landmark = forms = 0
+    form = -1
+    # Forms and names around the outermost landmark, and whether a main element is open.
+    around = (0, 0, False)
 
     def flush() -> None:
         if held:
             if text := " ".join(unescape("".join(held)).split()):
                 texts.append(text)
-                kinds.append(0 if unwanted else 2 if landmark else 1)
+                inner = count[NAMED] > around[1] or count[FORM] > around[0]
+                facts.append((count[NEVER] > 0, count[NAMED] > 0, form if count[FORM] else -1, landmark > 0, inner, around[2]))
             held.clear()
 
     def close() -> None:
-        nonlocal unwanted, landmark
-        tag, was_unwanted, was_landmark = stack.pop()
+        nonlocal landmark, around, form
+        tag, how, was_landmark, before = stack.pop()
         opened[tag] -= 1
-        unwanted -= was_unwanted
+        count[how] -= 1
         landmark -= was_landmark
+        if was_landmark:
+            around = before
+        if how == FORM and not count[FORM]:
+            form = -1
 
     at = 0
     while found := TAG.search(html, at):
@@ -131,14 +169,35 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
         elif tag not in VOID and not found[3].endswith("/"):
             if stack and stack[-1][0] == "p" and tag in BLOCKS or stack and stack[-1][0] == tag == "li":
                 close()
-            is_landmark = tag in LANDMARKS or bool(re.search(r"""role\s*=\s*["']?(?:main|article)\b""", found[3], re.I))
-            is_unwanted = _unwanted(tag, found[3], landmark > 0)
-            stack.append((tag, is_unwanted, is_landmark))
+            is_main = tag == "main" or bool(re.search(r"""role\s*=\s*["']?main\b""", found[3], re.I))
+            is_landmark = is_main or tag == "article" or bool(re.search(r"""role\s*=\s*["']?article\b""", found[3], re.I))
+            how = _unwanted(tag, found[3], landmark > 0)
+            stack.append((tag, how, is_landmark, around))
+            if is_landmark and (is_main and not around[2] or not landmark):
+                around = (count[FORM], count[NAMED], is_main)
             opened[tag] += 1
-            unwanted += is_unwanted
+            count[how] += 1
             landmark += is_landmark
+            if how == FORM and count[FORM] == 1:
+                form, forms = forms, forms + 1
     held.append(html[at:])
     flush()
+
+    # Characters in all and in each form, of what nothing else makes unwanted.
+    whole, within = 0, Counter()
+    for text, (never, named, own, _, _, _) in zip(texts, facts, strict=True):
+        if not never and not named:
+            whole += len(text)
+            within[own] += len(text)
+    wrappers = {own for own, n in within.items() if own >= 0 and 2 * n > whole}
+    kinds, afresh = [], []
+    for never, named, own, in_landmark, inner, in_main in facts:
+        unwanted = never or named or (own >= 0 and own not in wrappers)
+        fresh = in_landmark and not never and (not inner or not named and own in wrappers)
+        kinds.append(2 if fresh and in_main else 0 if unwanted else 2 if in_landmark else 1)
+        afresh.append(fresh)
+    if 2 not in kinds:
+        kinds = [2 if fresh else kind for kind, fresh in zip(kinds, afresh, strict=True)]
     return texts, kinds
 
 

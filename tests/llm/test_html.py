@@ -83,3 +83,16 @@ def test_query(spark):
     got = {r["page_id"]: r for r in op3_page_differencing(spark, FOLDER).collect()}
     assert {i: r["text"] for i, r in got.items()} == wanted
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+@pytest.mark.parametrize("html, kinds", [
+    ("<form><nav>n</nav><article><p>body</p><div class=ad>a</div></article></form>", [0, 2, 0]),
+    ("<form><p>all of the text</p></form>f", [1, 1]),
+    ("<form><main><p>t</p></main></form><p>a longer line</p>", [2, 1]),
+    ("<div class='content has-sidebar no-comments'><p>t</p></div><div class=ad-slot>a</div><div id=site-footer>f</div>", [1, 0, 0]),
+    ("<div class='page sidebar'><article>c</article></div>f", [2, 1]),
+    ("<div class=sidebar><article>teaser</article></div><article>m</article>", [0, 2]),
+    ("<div class=comments><article>c</article></div>f<div hidden><article>h</article></div>", [0, 1, 0]),
+])
+def test_wrappers_do_not_hide_the_article(html, kinds):
+    assert blocks_of(html)[1] == kinds
