@@ -4,8 +4,11 @@ A page is parsed into blocks of text. Within each host, pages stand in order of
 the neighbour whose path agrees with its own for longest. The blocks of both are aligned by longest common
 subsequence, and shared ones are deleted: menus, notices and footers repeat from page to page, articles do not.
 What the markup itself says comes on top. Blocks of navigation, adverts, forms, comments and the like go even if no
-neighbour shares them; blocks inside the page's article stay even if one does (licence lines, copies of the article);
-and where a page has an article, nothing outside it belongs to the text.
+neighbour shares them, and where a page has an article or main element, nothing outside it belongs to the text. An
+article element is text as it stands: pages quote and copy each other. Of what lies in a main element beside articles, a
+block goes if the main texts of both neighbours have it; the first and last page of a host have one neighbour, and lose
+only what it shares at the beginning and end. Where that would take half of the characters or more, the pages are
+copies, and all of it stays.
 
 Pages of a host may be a third of all: they are range-partitioned by host and path, and the two pages at each cut are
 lent to the other side, so every page sees its true neighbours and no host meets in one task.
@@ -110,20 +113,27 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
 
 
 def blocks_of(html: str) -> tuple[list[str], list[int]]:
-    """The blocks of a page in order, and for each 0 (unwanted by its markup), 1 (outside an article) or 2 (inside).
+    """The blocks of a page in order, and for each 0 (unwanted by its markup), 1 (outside an article) or 2 (inside)."""
+    texts, kinds = _marked(html)
+    return texts, [min(kind, 2) for kind in kinds]
+
+
+def _marked(html: str) -> tuple[list[str], list[int]]:
+    """As ``blocks_of``, with 2 for blocks that lie in a main element only and 3 for those in an article element.
 
     A form that holds most of the text is a plain wrapper. A main element, and an article if no other one has text,
     begins afresh inside forms and elements that are unwanted by name.
     """
     texts: list[str] = []
-    # Per block: unwanted for good, by name, outermost form or -1; in a landmark; the same two within the landmark.
-    facts: list[tuple[bool, bool, int, bool, bool, bool]] = []
+    # Per block: unwanted for good, by name, outermost form or -1; in a landmark (2) or article (3);
+    # the same two within the landmark; in a main element.
+    facts: list[tuple[bool, bool, int, int, bool, bool]] = []
     held: list[str] = []
-    # Open elements as (tag, how unwanted, landmark, what was unwanted outside of it).
-    stack: list[tuple[str, int, bool, tuple[int, int, bool]]] = []
+    # Open elements as (tag, how unwanted, landmark, article, what was unwanted outside of it).
+    stack: list[tuple[str, int, bool, bool, tuple[int, int, bool]]] = []
     opened: Counter[str] = Counter()
     count = [0, 0, 0, 0]
-    landmark = forms = 0
+    landmark = articles = forms = 0
     form = -1
     # Forms and names around the outermost landmark, and whether a main element is open.
     around = (0, 0, False)
@@ -133,15 +143,16 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
             if text := " ".join(unescape("".join(held)).split()):
                 texts.append(text)
                 inner = count[NAMED] > around[1] or count[FORM] > around[0]
-                facts.append((count[NEVER] > 0, count[NAMED] > 0, form if count[FORM] else -1, landmark > 0, inner, around[2]))
+                facts.append((count[NEVER] > 0, count[NAMED] > 0, form if count[FORM] else -1, 3 if articles else 2 if landmark else 0, inner, around[2]))
             held.clear()
 
     def close() -> None:
-        nonlocal landmark, around, form
-        tag, how, was_landmark, before = stack.pop()
+        nonlocal landmark, articles, around, form
+        tag, how, was_landmark, was_article, before = stack.pop()
         opened[tag] -= 1
         count[how] -= 1
         landmark -= was_landmark
+        articles -= was_article
         if was_landmark:
             around = before
         if how == FORM and not count[FORM]:
@@ -170,14 +181,16 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
             if stack and stack[-1][0] == "p" and tag in BLOCKS or stack and stack[-1][0] == tag == "li":
                 close()
             is_main = tag == "main" or bool(re.search(r"""role\s*=\s*["']?main\b""", found[3], re.I))
-            is_landmark = is_main or tag == "article" or bool(re.search(r"""role\s*=\s*["']?article\b""", found[3], re.I))
+            is_article = tag == "article" or bool(re.search(r"""role\s*=\s*["']?article\b""", found[3], re.I))
+            is_landmark = is_main or is_article
             how = _unwanted(tag, found[3], landmark > 0)
-            stack.append((tag, how, is_landmark, around))
+            stack.append((tag, how, is_landmark, is_article, around))
             if is_landmark and (is_main and not around[2] or not landmark):
                 around = (count[FORM], count[NAMED], is_main)
             opened[tag] += 1
             count[how] += 1
             landmark += is_landmark
+            articles += is_article
             if how == FORM and count[FORM] == 1:
                 form, forms = forms, forms + 1
     held.append(html[at:])
@@ -193,11 +206,11 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
     kinds, afresh = [], []
     for never, named, own, in_landmark, inner, in_main in facts:
         unwanted = never or named or (own >= 0 and own not in wrappers)
-        fresh = in_landmark and not never and (not inner or not named and own in wrappers)
-        kinds.append(2 if fresh and in_main else 0 if unwanted else 2 if in_landmark else 1)
-        afresh.append(fresh)
-    if 2 not in kinds:
-        kinds = [2 if fresh else kind for kind, fresh in zip(kinds, afresh, strict=True)]
+        fresh = in_landmark > 0 and not never and (not inner or not named and own in wrappers)
+        kinds.append(in_landmark if fresh and in_main else 0 if unwanted else in_landmark or 1)
+        afresh.append(in_landmark if fresh else 0)
+    if max(kinds, default=0) < 2:
+        kinds = [fresh or kind for kind, fresh in zip(kinds, afresh, strict=True)]
     return texts, kinds
 
 
@@ -249,32 +262,54 @@ def shared(a: Sequence[int], b: Sequence[int], table_bits: int = TABLE_BITS) ->
     return out[::-1]
 
 
-def _kept(kinds: Sequence[int], own: Sequence[int], path: str, neighbours: Sequence[tuple[str, Sequence[int]]]) -> list[bool]:
-    """Which blocks are the text, given the neighbours' paths and blocks."""
+def _both(own: Sequence[int], other: Sequence[int]) -> set[int]:
+    """Places in own of what it shares with the other, in order."""
+    known, mine = set(other), set(own)
+    places = [i for i, x in enumerate(own) if x in known]
+    return {places[i] for i in shared([own[i] for i in places], [x for x in other if x in mine])}
+
+
+def _repeated(own: Sequence[int], sizes: Sequence[int], others: Sequence[Sequence[int]]) -> set[int]:
+    """Places in a main text of what its site repeats inside main texts."""
+    found = [_both(own, other) for other in others]
+    if len(found) > 1:
+        gone = set.intersection(*found)
+    else:
+        front = next((i for i in range(len(own)) if i not in found[0]), len(own))
+        back = next((i for i in range(len(own), front, -1) if i - 1 not in found[0]), front)
+        gone = {i for i in found[0] if i < front or i >= back}
+    return gone if 2 * sum(sizes[i] for i in gone) < sum(sizes) else set()
+
+
+def _kept(kinds: Sequence[int], own: Sequence[int], sizes: Sequence[int], path: str, neighbours: Sequence[tuple[str, Sequence[int], Sequence[int]]]) -> list[bool]:
+    """Which blocks are the text, given the neighbours' paths, kinds and blocks."""
+    inside = [i for i, kind in enumerate(kinds) if kind > 1]
+    if inside:
+        others = [[x for x, kind in zip(keys, k, strict=True) if kind > 1] for _, k, keys in neighbours if max(k, default=0) > 1]
+        gone = set()
+        if others and 2 in kinds:
+            gone = {inside[i] for i in _repeated([own[i] for i in inside], [sizes[i] for i in inside], others) if kinds[inside[i]] == 2}
+        return [kind > 1 and i not in gone for i, kind in enumerate(kinds)]
     both = set()
     if neighbours:
-        _, partner = max(neighbours, key=lambda n: len(commonprefix((n[0], path))))
-        known, mine = set(partner), set(own)
-        places = [i for i, x in enumerate(own) if x in known]
-        both = {places[i] for i in shared([own[i] for i in places], [x for x in partner if x in mine])}
-    if 2 in kinds:
-        # The article's own blocks stay, whoever else has them.
-        return [kind == 2 for kind in kinds]
+        both = _both(own, max(neighbours, key=lambda n: len(commonprefix((n[0], path))))[2])
     alone = [kind == 1 and i not in both for i, kind in enumerate(kinds)]
     return alone if any(alone) else [kind == 1 for kind in kinds]
 
 
-PARSED = T.StructType([T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+PARSED = T.StructType([
+    T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+])
 
 
 @F.arrow_udf(PARSED)
 def _parse(pages: pa.Array) -> pa.Array:
-    """Kinds of the blocks, and hashes of their texts."""
+    """Kinds of the blocks, hashes of their texts, and characters."""
     out = []
     for html in pages.to_pylist():
-        texts, kinds = blocks_of(html or "")
-        out.append({"kinds": kinds, "keys": [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]})
-    return pa.array(out, pa.struct([("kinds", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64()))]))
+        texts, kinds = _marked(html or "")
+        out.append({"kinds": kinds, "keys": [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], "sizes": list(map(len, texts))})
+    return pa.array(out, pa.struct([("kinds", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -295,10 +330,10 @@ def _chosen(packed: pa.Array, kept: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.BooleanType()))
-def _differ(kinds: pa.Array, keys: pa.Array, path: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+def _differ(kinds: pa.Array, keys: pa.Array, sizes: pa.Array, path: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
     out = []
-    for k, own, p, *near in zip(*[c.to_pylist() for c in (kinds, keys, path, before, after)], strict=True):
-        out.append(_kept(k, own, p, [(n["path"], n["keys"]) for n in near if n]))
+    for k, own, size, p, *near in zip(*[c.to_pylist() for c in (kinds, keys, sizes, path, before, after)], strict=True):
+        out.append(_kept(k, own, size, p, [(n["path"], n["kinds"], n["keys"]) for n in near if n]))
     return pa.array(out, pa.list_(pa.bool_()))
 
 
@@ -306,7 +341,7 @@ def _with_neighbours(pages: DataFrame) -> DataFrame:
     """``before`` and ``after``: the pages of the same host that come next in the order of the path."""
     order = ["host", "path", *PAGE]
     placed = written(pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
-    place, whole = F.struct(*order), F.struct(*order, "keys", "kinds")
+    place, whole = F.struct(*order), F.struct(*order, "keys", "kinds", "sizes")
     ends = placed.groupBy("part").agg(F.min_by(whole, place).alias("first"), F.max_by(whole, place).alias("last"))
     # One row per partition of the range: the only rows that meet.
     line = Window.orderBy("part")
@@ -318,7 +353,7 @@ def _with_neighbours(pages: DataFrame) -> DataFrame:
     by_place = Window.partitionBy("part").orderBy(*order)
 
     def neighbour(shift):
-        page = F.struct("host", "path", "keys")
+        page = F.struct("host", "path", "kinds", "keys")
         return F.when(shift(F.col("host")).over(by_place) == F.col("host"), shift(page).over(by_place))
 
     return all_rows.withColumns({"before": neighbour(F.lag), "after": neighbour(F.lead)}).filter(~F.col("lent"))
@@ -336,6 +371,6 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list
     parsed = pages.select(host.alias("host"), path.alias("path"), *[c.alias(n) for n, c in page.items()], _parse(F.col(html)).alias("parsed"))
     distinct = parsed.select("host", "path", *PAGE, "parsed.*").dropDuplicates(PAGE)
     near = _with_neighbours(distinct)
-    marks = near.select(*PAGE, _differ("kinds", "keys", "path", "before", "after").alias("kept"))
+    marks = near.select(*PAGE, _differ("kinds", "keys", "sizes", "path", "before", "after").alias("kept"))
     texts = with_row(pages, keep, packed=_packed(F.col(html)), **page)
     return texts.join(marks, PAGE).select("row", _chosen("packed", "kept").alias("text"))

@@ -85,6 +85,20 @@ def test_query(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_lines_repeated_inside_main(spark):
+    """What both neighbours have in the main element goes; copies, lines of one neighbour and articles stay."""
+    story = lambda i: f"<p>Story {i} tells at length what befell number {i}</p><p>The end of {i}</p>"
+    rows = [(i, f"http://h.org/{i}", page(f"<main><p>A notice</p>{story(i)}<p>Read next</p></main>")) for i in range(1, 8)]
+    rows += [(10 + i, f"http://copy.org/{i}", page(f"<main>{story(9)}</main>")) for i in range(4)]
+    rows += [(20, "http://two.org/1", page(f"<main>{story(1)}<p>Quoted</p><p>Own</p></main>")), (21, "http://two.org/2", page(f"<main>{story(2)}<p>Quoted</p>{story(3)}</main>"))]
+    rows += [(30 + i, f"http://licence.org/{i}", page(f"<main><p>Crumb</p><article>{story(i)}<p>Licence</p></article></main>")) for i in range(3)]
+    got = {r["row"]["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = lambda i: f"Story {i} tells at length what befell number {i}\n\nThe end of {i}"
+    assert got == {i: told(i) for i in range(1, 8)} | {10 + i: told(9) for i in range(4)} | {30 + i: f"{told(i)}\n\nLicence" for i in range(3)} | {
+        20: f"{told(1)}\n\nQuoted\n\nOwn", 21: f"{told(2)}\n\nQuoted\n\n{told(3)}",
+    }
+
+
 @pytest.mark.parametrize("html, kinds", [
     ("<form><nav>n</nav><article><p>body</p><div class=ad>a</div></article></form>", [0, 2, 0]),
     ("<form><p>all of the text</p></form>f", [1, 1]),
