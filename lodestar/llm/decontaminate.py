@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question with other par
 original. Windows of the items go into a table and into a bitmap of fixed size; documents are read once, whole, and
 only windows whose bit is set leave their task. A hash join with the item windows decides which are real. Where a
 document follows an item, the values in its slots must be consistent: one value of the item, one value of the document
-along the whole stretch. An item is found in a document when matching windows cover enough of its words.
+along the whole stretch. An item is found in a document when matching windows cover enough of its words, or
+when one run of words without a gap is long enough, whatever its share of the item.
 
 Windows of the plain words are looked up beside the template's, for texts whose names only look so by their place.
 
@@ -54,13 +55,14 @@ BITMAP_BUCKET = 1 << 15
 
 @dataclass(frozen=True)
 class Matching:
-    """Words per window, the shortest item, literal words a template window needs, and the share of an item's
-    words that matching windows must cover."""
+    """Words per window, the shortest item, literal words a template window needs, the share of an item's
+    words that matching windows must cover, and the words in a row that do whatever their share."""
 
     window: int = 6
     least: int = 4
     literals: int = 3
     covered: float = 0.5
+    run: int = 13
 
 
 class _Codes(dict):
@@ -205,11 +207,20 @@ def found_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     )
     # A broken stretch keeps its plain windows, which hold no slot.
     sound = pairs.join(judged, stretch, "left").filter((F.size("values") == 0) | (F.coalesce("broken", F.lit(0)) == 0))
-    places = sound.groupBy("at", "item_id", "place").agg(F.max("words").alias("words"), F.max("size").alias("size"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
+    # Windows of one shift that overlap or touch are one run.
+    along = Window.partitionBy(*stretch).orderBy("place", "size")
+    end = F.col("place") + F.col("size")
+    ends = sound.withColumn("reached", F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    begun = F.when(F.col("reached").isNull() | (F.col("place") > F.col("reached")), F.col("place"))
+    runs = ends.withColumn("run", end - F.last(begun, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    places = runs.groupBy("at", "item_id", "place").agg(
+        F.max("words").alias("words"), F.max("size").alias("size"), F.max("run").alias("run"), F.max(F.coalesce("changed", F.lit(0))).alias("changed")
+    )
     last = F.lag("place").over(Window.partitionBy("at", "item_id").orderBy("place"))
     fresh = places.withColumn("fresh", F.least("size", F.coalesce(F.col("place") - last, F.col("size"))))
-    found = fresh.groupBy("at", "item_id").agg(F.sum("fresh").alias("covered"), F.max("words").alias("words"), (F.max("changed") == 1).alias("changed"))
-    return marked.select("at", "row"), found.filter(F.col("covered") >= matching.covered * F.col("words"))
+    found = fresh.groupBy("at", "item_id").agg(F.sum("fresh").alias("covered"), F.max("words").alias("words"), (F.max("changed") == 1).alias("changed"), F.max("run").alias("run"))
+    enough = (F.col("covered") >= matching.covered * F.col("words")) | (F.col("run") >= matching.run)
+    return marked.select("at", "row"), found.filter(enough).drop("run")
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -75,3 +75,14 @@ def test_query_against_brute_force(spark, folder):
             elif sum(p in fives for p in parts) < len(parts) / 3:
                 assert (d, b) not in got
     assert some > 5
+
+
+def test_partial_passages(spark):
+    """A run of 13 words is found whatever its share of the item; shorter runs, or two of them, are not."""
+    item = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(400)]
+    other = "nothing of this is known to anyone".split()
+    parts = {1: item[100:250], 2: item[50:63], 3: item[50:62], 4: item[10:20] + other + item[20:30], 5: item[387:], 6: item[:12] + other + item[300:312]}
+    docs = [(i, " ".join(other + part + other)) for i, part in parts.items()]
+    docs += [(7, OTHER + " the end"), (8, "Each morning Peter walks 45 miles to the old mill then")]
+    got = search(spark, docs, [(1, " ".join(item)), (2, ITEM + " " + " ".join(item))])
+    assert got == {(d, i): False for d in (1, 2, 5) for i in (1, 2)} | {(7, 2): True}
