@@ -34,33 +34,39 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class SampleBound:
-    """What is learnt from: at most so many languages (those with most rows), rows of each of at most so many
-    characters, and characters in all languages together."""
+    """What is learnt from: of each language at most so many rows, of a row at most a piece of so many characters, and
+    characters in all languages together, but some of each, however many they are. Every labelled language is learnt. If
+    ``row_chars`` is set, longer rows are left out."""
 
-    languages: int = 64
     rows: int = 60
-    row_chars: int = 20_000
+    piece: int = 20_000
+    row_chars: int | None = None
     chars: int = 120_000
+    least_chars: int = 2_000
 
 
 def sample(labelled: DataFrame, bound: SampleBound | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
     """Labelled text per language, spread over the rows by a hash of their id."""
     bound = bound or SampleBound()
     fit = labelled.select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("place")
-    ).filter(F.col("lang").isNotNull() & (F.length("text") <= bound.row_chars) & F.col("text").rlike(r"\p{L}"))
-    counts = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bound.languages).collect()
+        F.col(lang).alias("lang"), F.length(text).alias("length"), F.substring(text, 1, bound.piece).alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("place")
+    ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    if bound.row_chars is not None:
+        fit = fit.filter(F.col("length") <= bound.row_chars)
+    counts = fit.groupBy("lang").count().collect()
     if not counts:
         return ()
+    share = max(bound.chars // len(counts), min(bound.chars, bound.least_chars))
     # Twice the rows needed, by a threshold on the hash; then exactly as many.
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(2 * bound.rows / r["count"])) for r in counts], F.lit(0.0))
+    chances = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2 * bound.rows / r["count"])])
+    chance = F.coalesce(chances[F.col("lang")], F.lit(0.0))
     near = fit.filter(F.pmod("place", F.lit(1 << 30)) < chance * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place", "text")
     rows = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= bound.rows).orderBy("lang", "n")
     texts: dict[str, str] = {}
-    for r in rows.select("lang", "text").collect():
+    for r in rows.select("lang", F.substring("text", 1, share).alias("text")).collect():
         texts[r["lang"]] = texts.get(r["lang"], "") + " " + r["text"]
-    return tuple(sorted((name, t[: bound.chars // len(counts)]) for name, t in texts.items()))
+    return tuple(sorted((name, t[:share]) for name, t in texts.items()))
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -92,39 +98,99 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return ways
 
 
+class Dense:
+    """Ways of one automaton as a table: 2 * next row, plus 1 where a new phrase begins. Rows are already multiplied by
+    the width. Row 0 is outside the automaton: there a parse begins, and there it is after a symbol that the sample lacks."""
+
+    def __init__(self, ways: list[dict[int, int]], width: int):
+        table = np.zeros((len(ways) + 1, width), np.int32)
+        for state, own in enumerate(ways):
+            table[state + 1, list(own)] = np.fromiter(own.values(), np.int32, len(own)) + 1
+        fresh = table == 0
+        table = np.where(fresh, table[1], table) * width * 2 + fresh
+        table[:, width - 1] = 0
+        self.table = table.astype(np.int32).ravel()
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.table.take(state + column)
+
+
+class Sparse:
+    """The same by hash, a quarter full, for alphabets of thousands of letters: states are rows, not multiplied."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ways: list[dict[int, int]], width: int):
+        self.width = width
+        self.first = np.zeros(width, np.int64)
+        for s, to in ways[0].items():
+            self.first[s] = to + 1
+        keys = np.array([(state + 1) * width + s for state, own in enumerate(ways) if state for s in own], np.int64)
+        targets = np.array([to + 1 for state, own in enumerate(ways) if state for to in own.values()], np.int64)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]
+            put = self.keys[slot] == keys[left]
+            self.targets[slot[put]] = targets[left[put]]
+            left, slot = left[~put], (slot[~put] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.FACTOR) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        keys = state.astype(np.int64) * self.width + column
+        slot = self._slots(keys)
+        at = self.keys.take(slot)
+        going = np.where(at == keys, self.targets.take(slot), 0)
+        left = np.flatnonzero((at != keys) & (at >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            at = self.keys[slot[left]]
+            hit = at == keys[left]
+            going[left[hit]] = self.targets[slot[left[hit]]]
+            left = left[~hit & (at >= 0)]
+        fresh = (going == 0) & (column != self.width - 1)
+        return np.where(fresh, self.first.take(column), going) * 2 + fresh
+
+
 class Parser:
-    """Tables of all languages over one alphabet: 0 is a break between words, the last two symbols are a letter that
-    no sample has and padding."""
+    """Automata of all languages. Symbols are 0, a break between words, the letters of all samples, and at the end a
+    letter that no sample has and padding; each language maps them to its own letters in the same way."""
+
+    #: Entries that the tables of all languages may have together; an automaton beyond its share is held by hash.
+    ENTRIES = 1 << 26
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
-        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})[:250]
+        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})
         self.strange, self.padding = len(letters) + 1, len(letters) + 2
-        self.symbol = np.fromiter((self.strange if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8, 0x110000)
+        self.symbol = np.fromiter((self.strange if chr(c).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
         for i, c in enumerate(letters):
             self.symbol[ord(c)] = i + 1
-        self.width = self.padding + 1
         self.tables = [self._table(self.symbols(t)) for _, t in samples]
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a text in lower case; breaks in a row count once."""
         parts = [np.frombuffer(text[a : a + SLICE].lower().encode("utf-32-le", "surrogatepass"), "<u4") for a in range(0, len(text), SLICE)]
-        found = self.symbol[np.concatenate(parts)] if parts else np.empty(0, np.uint8)
+        found = self.symbol[np.concatenate(parts)] if parts else np.empty(0, np.int32)
         again = np.zeros(len(found), bool)
         again[1:] = (found[1:] == 0) & (found[:-1] == 0)
         return found[~again]
 
-    def _table(self, symbols: np.ndarray) -> np.ndarray:
-        """2 * next row, plus 1 where a new phrase begins. Rows are already multiplied by the width. Row 0 is outside
-        the automaton: there a parse begins, and there it is after a symbol that the sample lacks."""
-        ways = suffix_automaton(symbols.tolist())
-        table = np.zeros((len(ways) + 1, self.width), np.int32)
-        for state, own in enumerate(ways):
-            table[state + 1, list(own)] = np.fromiter(own.values(), np.int32, len(own)) + 1
-        fresh = table == 0
-        table = np.where(fresh, table[1], table) * self.width * 2 + fresh
-        table[:, self.padding] = 0
-        return table.astype(np.int32).ravel()
+    def _table(self, symbols: np.ndarray) -> tuple[np.ndarray, Dense | Sparse]:
+        """The language's own number of each symbol, and its automaton."""
+        own = np.unique(symbols[symbols > 0])
+        numbers = np.full(self.padding + 1, len(own) + 1, np.int32)
+        numbers[own] = np.arange(1, len(own) + 1)
+        numbers[0], numbers[self.padding] = 0, len(own) + 2
+        width = len(own) + 3
+        ways = suffix_automaton(numbers[symbols].tolist())
+        dense = (len(ways) + 1) * width <= self.ENTRIES // len(self.languages)
+        return numbers, (Dense if dense else Sparse)(ways, width)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and symbols per text; no symbols where there is no letter."""
@@ -137,7 +203,7 @@ class Parser:
                 continue
             sizes[i] = len(symbols)
             pieces = -(-len(symbols) // PIECE)
-            padded = np.full(pieces * PIECE, self.padding, np.uint8)
+            padded = np.full(pieces * PIECE, self.padding, np.int32)
             padded[: len(symbols)] = symbols
             for a in range(0, pieces, SIDE_BY_SIDE):
                 part = padded[a * PIECE : (a + SIDE_BY_SIDE) * PIECE].reshape(-1, PIECE)
@@ -152,13 +218,13 @@ class Parser:
         return count, sizes
 
     def _parse(self, pieces: np.ndarray, owner: np.ndarray, count: np.ndarray) -> None:
-        columns = np.ascontiguousarray(pieces.T).astype(np.int32)
-        for k, table in enumerate(self.tables):
+        columns = np.ascontiguousarray(pieces.T)
+        for k, (numbers, table) in enumerate(self.tables):
             state = np.zeros(len(pieces), np.int32)
             found = np.zeros(len(pieces), np.int32)
-            for column in columns:
-                step = table.take(state + column)
-                found += step & 1
+            for column in numbers.take(columns):
+                step = table.step(state, column)
+                found += (step & 1).astype(found.dtype, copy=False)
                 state = step >> 1
             count[:, k] += np.bincount(owner, weights=found, minlength=len(count)).astype(np.int64)
 

@@ -79,3 +79,26 @@ def test_held_out_accuracy(spark, folder):
     held = [r for r in rows if r["held_out"] and truth[r["doc_id"]]["n_chars"] >= 60]
     right = np.mean([r["lang_pred"] == truth[r["doc_id"]]["lang"] for r in held])
     assert len(held) > 200 and right >= 0.97, right
+
+
+@pytest.mark.parametrize("entries", [Parser.ENTRIES, 1])
+def test_alphabets_of_any_size(monkeypatch, entries):
+    """Letters beyond the first 250 are letters of their sample, and automata held by hash find the same phrases."""
+    monkeypatch.setattr(Parser, "ENTRIES", entries)
+    rng = random.Random(1)
+    one, other = ("".join(chr(rng.randrange(a, a + 300)) for _ in range(250)) for a in (0x4E00, 0x5E00))
+    samples = (*SAMPLES, ("ja", other), ("zh", one))
+    parser = Parser(samples)
+    texts = [one[50:200], other[:40] + "ж" + one[7:30], "the cat sleeps", one[:90] * 5]
+    count, _ = parser.phrases(texts)
+    for i, text in enumerate(texts):
+        for k, (_, own) in enumerate(samples):
+            assert count[i, k] == slow_phrases(parser.symbols(text).tolist(), parser.symbols(own).tolist())
+    assert [v[0] for v in verdicts([one[50:200], other[50:200]], samples)] == ["zh", "ja"]
+    assert verdicts([one[50:200]], samples)[0][2] < 0.02
+
+
+def test_every_language_and_long_rows_are_learnt(spark):
+    rows = [(i, f"text of {i}", f"l{i}") for i in range(70)] + [(100, "x y " * 10_000, "long")]
+    got = dict(sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert len(got) == 71 and len(got["long"]) == 2000
