@@ -51,3 +51,17 @@ def test_without_rows_or_languages(spark):
     unknown = spark.createDataFrame([(1, PROSE * 2, "xx"), (1, PROSE * 2, "xx")], schema)
     assert references(measured(unknown, QualityRules()), QualityRules()) == {}
     assert [r["class_distance"] for r in judged(unknown).collect()] == [None, None]
+
+
+def test_any_labelled_language(spark):
+    """Clean documents in a language without a list are kept, junk of it is not; without a label the base rules decide."""
+    english = [" ".join(f"{w}{'abcdefg'[i * k % 7]}" if len(w) > 3 else w for i, w in enumerate(PROSE.split() * 8)) for k in range(1, 5)]
+    to_hebrew = str.maketrans({chr(97 + i): chr(0x5D0 + i) for i in range(26)})
+    hebrew = [t.translate(to_hebrew) for t in english]
+    polish = [re.sub(r"\b(the|that|was|and|in|a|is|it|as|on|with)\b", lambda m: m[0][::-1] + "ł", t) for t in english]
+    rows = [(i, t, "en") for i, t in enumerate(english)] + [(10 + i, t, "he") for i, t in enumerate(hebrew)] + [(20 + i, t, "pl") for i, t in enumerate(polish)]
+    rows += [(30, hebrew[0], None), (31, polish[0], None), (32, polish[0].upper(), "pl"), (33, re.sub(r"(\w) ", "\\1### ", hebrew[0]), "he"), (34, english[0].upper(), "en")]
+    found = judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), QualityRules(max_repeat_percent=101))
+    got = {r["row"]["doc_id"]: (r["kept"], r["class_distance"] is None) for r in found.collect()}
+    assert {i for i, (kept, _) in got.items() if not kept} == {32, 33, 34}
+    assert {i for i, (_, unmeasured) in got.items() if unmeasured} == {30, 31}
