@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, classifier, decontaminate, html, langid, licenses, packing, quality, simhash, urls
+from lodestar.llm import chat, classifier, decontaminate, html, langid, licenses, packing, quality, repair, simhash, urls
 from lodestar.session import written
 
 
@@ -121,6 +121,15 @@ def op10_template_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of damaged conversations, the cheapest edits that repair them, and a digest of what these give."""
+    rows = repair.damaged(table(spark, folder, "conversations"))
+    done = repair.repaired(rows, present=F.col("present"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return done.select("conv_id", *counts, "audit", F.sha2(said, 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_hierarchical_bayes": op2_hierarchical_bayes,
@@ -132,4 +141,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_parsing": op8_cross_parsing,
     "op9_license_templates": op9_license_templates,
     "op10_template_windows": op10_template_windows,
+    "op12_conversation_repair": op12_conversation_repair,
 }
