@@ -116,8 +116,36 @@ SELECT conv_id, count(*) AS n_turns,
        bool_and((before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS valid
 FROM ordered GROUP BY conv_id"""
 
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM split, unnest([1, 2, 3, 4, 5]) AS s(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+counts AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM grams GROUP BY lang, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, string_split(phrase, ' ') AS ws, k, f FROM counts WHERE k > 1 AND f >= 100),
+inside AS (
+  SELECT DISTINCT c.lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, c.f
+  FROM candidates c, unnest([2, 3, 4]) AS s(m), unnest(range(1, k - m + 2)) AS u(i) WHERE m < k),
+kept AS (SELECT * FROM candidates c WHERE NOT EXISTS (FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.f >= 100 * c.f)),
+cuts AS (
+  SELECT lang, phrase, f AS a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:k], ' ') AS tail
+  FROM kept, unnest(range(1, k)) AS u(cut)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n::BIGINT AS n,
+         ((1000::HUGEINT * c.a * t.n::HUGEINT) // (x.f::HUGEINT * y.f))::BIGINT AS score, cut
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail
+  JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_divergence": _quality(),
     "op6_chat_template": CHAT,
     "op7_url_vocabulary": _urls(),
+    "op11_phrase_collocations": COLLOCATIONS,
 }

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, classifier, decontaminate, html, langid, licenses, packing, quality, repair, simhash, urls
+from lodestar.llm import chat, classifier, decontaminate, html, langid, licenses, packing, phrases, quality, repair, simhash, urls
 from lodestar.session import written
 
 
@@ -121,6 +121,11 @@ def op10_template_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 phrases of each language that stand out most from what their parts would make by chance."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Faults of damaged conversations, the cheapest edits that repair them, and a digest of what these give."""
     rows = repair.damaged(table(spark, folder, "conversations"))
@@ -141,5 +146,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_parsing": op8_cross_parsing,
     "op9_license_templates": op9_license_templates,
     "op10_template_windows": op10_template_windows,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_conversation_repair": op12_conversation_repair,
 }
