@@ -143,9 +143,23 @@ lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM lowest QUALIFY rank <= 2000"""
 
+VECTORS = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+reach AS (SELECT u, v FROM pairs UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u),
+least AS (SELECT u, min(v) AS m FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_divergence": _quality(),
     "op6_chat_template": CHAT,
     "op7_url_vocabulary": _urls(),
     "op11_phrase_collocations": COLLOCATIONS,
+    "op13_small_worlds": VECTORS,
 }

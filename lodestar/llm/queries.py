@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, classifier, decontaminate, html, langid, licenses, packing, phrases, quality, repair, simhash, urls
+from lodestar.llm import chat, classifier, decontaminate, embeddings, html, langid, licenses, packing, phrases, quality, repair, simhash, urls
 from lodestar.session import written
 
 
@@ -135,6 +135,12 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("conv_id", *counts, "audit", F.sha2(said, 256).alias("repaired_sha256"))
 
 
+def op13_small_worlds(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector, by cosines of 0.9 and more."""
+    found = embeddings.linked(table(spark, folder, "embeddings"), keep=["vec_id"])
+    return found.select(F.col("row.vec_id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_hierarchical_bayes": op2_hierarchical_bayes,
@@ -148,4 +154,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_windows": op10_template_windows,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_small_worlds": op13_small_worlds,
 }
