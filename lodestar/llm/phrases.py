@@ -1,7 +1,7 @@
 """Phrase collocations: exact counts of all n-grams that are frequent, in counting quotient filters.
 
 Texts are cut into blocks of about ``BLOCK_WORDS`` words of one language; each block numbers its own words and stands
-as an array of numbers, with zero between pieces. Words are counted first. From then on a block works level by level: an n-gram
+as an array of numbers, with zero between pieces. Words are counted first, by ranges of a checksum. From then on a block works level by level: an n-gram
 can only be frequent if its first and last n - 1 words are, so a block keeps the runs in which everything so far is frequent
 and drops the rest. A block sends its n-grams as a counting quotient filter (``quotient.py``), cut by ranges of the
 quotient; the filters of one range are merged in one task, whatever the blocks and languages, and each block is told by one
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.quotient import CountingQuotientFilter, Packing, merged
-from lodestar.operators.ordering import numbered
 from lodestar.session import written
 
 UNKNOWN = "und"
@@ -36,14 +36,20 @@ UNKNOWN = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(ENDS, b"." * len(ENDS))
 
-#: Words in a block, and words of all blocks for one range of quotients. They change time and memory, never the result.
-BLOCK_WORDS, RANGE_WORDS = 1 << 20, 1 << 22
+#: Words in a block, words that all blocks of a task hold together, and entries of all blocks for one task that merges
+#: them. They change time and memory, never the result.
+BLOCK_WORDS, HELD_WORDS, RANGE_WORDS = 1 << 21, 1 << 22, 1 << 22
 
 #: Bytes of a text that are cut into words at once.
 SLICE = 1 << 20
 
-BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
-BLOCKS_DDL = "block long, lang string, words array<string>, counts array<long>, ids binary"
+#: ``marks`` are checksums of the words, in order; ``ranks`` the block's own numbers of them.
+BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), *((c, pa.binary()) for c in ("marks", "ranks", "counts", "ids")), ("entries", pa.int64())])
+BLOCKS_DDL = "block long, lang string, words array<string>, marks binary, ranks binary, counts binary, ids binary, entries long"
+SHARES = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.binary())])
+SHARES_DDL = "block long, lang string, part int, words array<string>, counts binary"
+WORDS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("id", pa.int64())])
+WORDS_DDL = "block long, part int, ids binary, lang string, word string, f long, id long"
 
 #: A block's runs stand in the part OWN, its n-grams in the parts from 0.
 OWN = -1
@@ -54,14 +60,19 @@ MERGED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bits", pa.bin
 MERGED_DDL = "block long, part int, bits binary, ids array<long>, f long"
 
 
-def _narrow(numbers: np.ndarray, largest: int) -> bytes:
-    """Numbers in as few bytes as the largest needs, said by the first byte."""
-    size = 2 if largest < 1 << 16 else 4 if largest < 1 << 32 else 8
-    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of bytes, as many as the largest needs, compressed."""
+    size = -(-max(1, int(numbers.max(initial=0)).bit_length()) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return bytes([size]) + len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.reshape(-1).view("<i8")
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -96,11 +107,19 @@ class _Buffer:
     def row(self, block: int, lang: str) -> dict | None:
         ids = np.concatenate(self.ids)
         ids = ids[np.append(True, (ids[1:] != 0) | (ids[:-1] != 0))]
-        words = pa.array(list(self.numbers)[1:], pa.binary()).cast(pa.string())
-        counts = np.bincount(ids, minlength=len(self.numbers))[1:]
-        if not len(words):
+        if len(self.numbers) == 1:
             return None
-        return {"block": block, "lang": lang, "words": words.to_pylist(), "counts": counts.tolist(), "ids": _narrow(ids, len(self.numbers))}
+        # Frequent words have small numbers.
+        counts = np.bincount(ids, minlength=len(self.numbers))
+        order = np.argsort(-counts[1:], kind="stable") + 1
+        ranks = np.zeros(len(counts), np.int64)
+        ranks[order] = np.arange(1, len(counts))
+        words = list(self.numbers)[1:]
+        marks = np.fromiter(map(crc32, words), np.int64, len(words))
+        order = np.argsort(marks, kind="stable")
+        words = pa.array(words, pa.binary()).cast(pa.string()).take(order).to_pylist()
+        packed = {"marks": _narrow(marks[order]), "ranks": _narrow(ranks[1:][order]), "counts": _narrow(counts[1:][order]), "ids": _narrow(ranks[ids])}
+        return {"block": block, "lang": lang, "words": words, "entries": len(words)} | packed
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +127,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: dict[str, _Buffer] = {}
     held = 0
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        nonlocal made
-        for lang in list(waiting):
-            row = waiting.pop(lang).row(base + made, lang)
+    def rows(langs: list[str]) -> Iterator[pa.RecordBatch]:
+        nonlocal made, held
+        for lang in langs:
+            buffer = waiting.pop(lang)
+            held -= buffer.size
+            row = buffer.row(base + made, lang)
             made += 1
             if row:
                 yield pa.RecordBatch.from_pylist([row], BLOCKS)
@@ -120,16 +141,60 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
         for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
             buffer = waiting.setdefault(lang, _Buffer())
+            before = buffer.size
             plain = text.as_py().lower().translate(PLAIN).replace(b"\t", b" ")
             for part in _slices(plain):
-                before = buffer.size
                 buffer.add(part)
-                held += buffer.size - before
             buffer.end()
-            if held >= BLOCK_WORDS:
-                yield from rows()
-                held = 0
-    yield from rows()
+            held += buffer.size - before
+            if buffer.size >= BLOCK_WORDS:
+                yield from rows([lang])
+            elif held >= HELD_WORDS:
+                yield from rows(list(waiting))
+    yield from rows(list(waiting))
+
+
+def _word_parts(marks: np.ndarray, parts: int) -> list[int]:
+    """Where the words of each part begin and end, among words in order of their marks."""
+    return np.searchsorted(marks * parts >> 32, np.arange(parts + 1)).tolist()
+
+
+def _shares(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The words of each block by part."""
+    for batch in batches:
+        for block, lang, words, marks, counts in zip(*batch.columns, strict=True):
+            counts, ends = _wide(counts.as_py()), _word_parts(_wide(marks.as_py()), parts)
+            rows = [
+                {"block": block.as_py(), "lang": lang.as_py(), "part": part, "words": words.values[a:b].to_pylist(), "counts": _narrow(counts[a:b])}
+                for part, (a, b) in enumerate(zip(ends, ends[1:]))
+                if b > a
+            ]
+            yield pa.RecordBatch.from_pylist(rows, SHARES)
+
+
+def _merge_words(key: tuple, table: pa.Table, least: int, parts: int) -> pa.Table:
+    """Sums over the words of one part: frequent words with their numbers, the numbers for each block, sums by language."""
+    part = key[0].as_py()
+    sizes = pc.list_value_length(table.column("words")).to_numpy()
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    lang = np.repeat(langs.indices.to_numpy(), sizes)
+    words = pa.chunked_array([c.flatten() for c in table.column("words").chunks]).combine_chunks().dictionary_encode()
+    counts = np.concatenate([_wide(c.as_py()) for c in table.column("counts")])
+    each, entry = np.unique(lang.astype(np.int64) * len(words.dictionary) + words.indices.to_numpy(), return_inverse=True)
+    sums = np.zeros(len(each), np.int64)
+    np.add.at(sums, entry, counts)
+    chosen = np.flatnonzero(sums >= least)
+    number = np.zeros(len(each), np.int64)
+    number[chosen] = np.arange(len(chosen)) * parts + part + 1
+    told = np.split(number[entry], np.cumsum(sizes)[:-1])
+    rows = [{"block": block, "part": part, "ids": _narrow(ids)} for block, ids in zip(table.column("block").to_pylist(), told, strict=True) if ids.any()]
+    own, word = np.divmod(each, len(words.dictionary))
+    named = langs.dictionary.take(own[chosen]), words.dictionary.take(word[chosen])
+    rows += [{"lang": a, "word": b, "f": f, "id": i} for a, b, f, i in zip(*(n.to_pylist() for n in named), sums[chosen].tolist(), number[chosen].tolist(), strict=True)]
+    by_lang = np.zeros(len(langs.dictionary), np.int64)
+    np.add.at(by_lang, own, sums)
+    rows += [{"lang": a, "f": n} for a, n in zip(langs.dictionary.to_pylist(), by_lang.tolist(), strict=True)]
+    return pa.Table.from_pylist(rows, WORDS)
 
 
 def runs(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -165,7 +230,7 @@ def _level_rows(block: int, ids: np.ndarray, packing: Packing, parts: int) -> It
     if not len(ids):
         return
     found, _, _ = _ngrams(ids, packing)
-    rows, before = [{"block": block, "part": OWN, "data": _narrow(ids, (1 << packing.bits) - 1)}], 0
+    rows, before = [{"block": block, "part": OWN, "data": _narrow(ids)}], 0
     for part, end in enumerate(found.cuts(parts).tolist()):
         if end > before:
             rows.append({"block": block, "part": part, "data": found.to_bytes(before, end)})
@@ -173,33 +238,31 @@ def _level_rows(block: int, ids: np.ndarray, packing: Packing, parts: int) -> It
     yield pa.RecordBatch.from_pylist(rows, LEVEL)
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.StructArray]]:
-    """Block by block its number, its words, and what it was told."""
-    for batch in batches:
-        for block, data, told in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            yield block.as_py(), _wide(data.as_py()), told.values
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], bits: int, parts: int, word_parts: int) -> Iterator[pa.RecordBatch]:
     """Blocks with the numbers of their frequent words: runs of frequent words, and pairs of these."""
-    for block, own, told in _told(batches):
-        numbers = np.zeros(int(own.max(initial=0)) + 1, np.int64)
-        numbers[told.field("at").to_numpy() + 1] = told.field("id").to_numpy()
-        ids = numbers[own]
-        yield from _level_rows(block, runs(ids, ids != 0, 1), Packing(2, bits), parts)
+    for batch in batches:
+        for block, marks, ranks, own, told in zip(*batch.columns, strict=True):
+            ranks, ends = _wide(ranks.as_py()), _word_parts(_wide(marks.as_py()), word_parts)
+            numbers = np.zeros(len(ranks) + 1, np.int64)
+            for part, ids in zip(told.values.field("part").to_pylist(), told.values.field("ids"), strict=True):
+                numbers[ranks[ends[part] : ends[part + 1]]] = _wide(ids.as_py())
+            ids = numbers[_wide(own.as_py())]
+            yield from _level_rows(block.as_py(), runs(ids, ids != 0, 1), Packing(2, bits), parts)
 
 
 def _longer(batches: Iterator[pa.RecordBatch], bits: int, parts: int, k: int) -> Iterator[pa.RecordBatch]:
     """Blocks with what they were told of their n-grams of k words: runs of frequent ones, and n-grams of a word more."""
-    for block, ids, answer in _told(batches):
-        found, places, entry = _ngrams(ids, Packing(k, bits))
-        frequent, ends = np.zeros(len(found.counts), np.uint8), np.append(0, found.cuts(parts)).tolist()
-        for part, mine in zip(answer.field("part").to_pylist(), answer.field("bits"), strict=True):
-            first, last = ends[part : part + 2]
-            frequent[first:last] = np.unpackbits(np.frombuffer(mine.as_py(), np.uint8), count=last - first)
-        starts = np.zeros(len(ids), bool)
-        starts[places] = frequent[entry] != 0
-        yield from _level_rows(block, runs(ids, starts, k), Packing(k + 1, bits), parts)
+    for batch in batches:
+        for block, data, told in zip(*batch.columns, strict=True):
+            ids = _wide(data.as_py())
+            found, places, entry = _ngrams(ids, Packing(k, bits))
+            frequent, ends = np.zeros(len(found.counts), np.uint8), np.append(0, found.cuts(parts)).tolist()
+            for part, mine in zip(told.values.field("part").to_pylist(), told.values.field("bits"), strict=True):
+                first, last = ends[part : part + 2]
+                frequent[first:last] = np.unpackbits(np.frombuffer(mine.as_py(), np.uint8), count=last - first)
+            starts = np.zeros(len(ids), bool)
+            starts[places] = frequent[entry] != 0
+            yield from _level_rows(block.as_py(), runs(ids, starts, k), Packing(k + 1, bits), parts)
 
 
 def _merge(key: tuple, table: pa.Table, packing: Packing, least: int) -> pa.Table:
@@ -232,18 +295,18 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, text: str = "tex
     ``least`` times or more in their language."""
     named = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     blocks = written(named.mapInArrow(_blocks, BLOCKS_DDL), "blocks")
-    listed = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "own"))
-    listed = listed.select("block", "lang", "at", F.col("own.words").alias("word"), F.col("own.counts").alias("count"))
-    totals = written(listed.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-    often = listed.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)
-    words = written(numbered(often, "id").withColumn("id", F.col("id") + 1), "words")
-    size = totals.agg(F.sum("n")).first()[0] or 0
-    bits, parts = max(1, words.count().bit_length()), max(1, math.ceil(size / RANGE_WORDS))
-
-    told = listed.select("block", "lang", "at", "word").join(words.select("lang", "word", "id"), ["lang", "word"])
-    told = told.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("told"))
-    pairs = blocks.select("block", "ids").join(told, "block")
-    level = written(pairs.mapInArrow(lambda it: _pairs(it, bits, parts), LEVEL_DDL), "pairs")
+    entries = blocks.agg(F.sum("entries")).first()[0] or 0
+    word_parts = max(1, math.ceil(entries / RANGE_WORDS))
+    shares = blocks.select("block", "lang", "words", "marks", "counts").mapInArrow(lambda it: _shares(it, word_parts), SHARES_DDL)
+    counted = written(shares.groupBy("part").applyInArrow(lambda key, table: _merge_words(key, table, least, word_parts), WORDS_DDL), "words")
+    totals = counted.filter("word IS NULL AND lang IS NOT NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    words = counted.filter("word IS NOT NULL").select("id", "lang", "word", "f")
+    size, highest = words.agg(F.sum("f"), F.max("id")).first()
+    bits, parts = max(1, (highest or 0).bit_length()), max(1, math.ceil((size or 0) / RANGE_WORDS))
+
+    told = counted.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("told"))
+    pairs = blocks.select("block", "marks", "ranks", "ids").join(told, "block")
+    level = written(pairs.mapInArrow(lambda it: _pairs(it, bits, parts, word_parts), LEVEL_DDL), "pairs")
     phrases = words.select(F.array("id").alias("ids"), "f")
     for k in range(2, longest + 1):
         packing = Packing(k, bits)
