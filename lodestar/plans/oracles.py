@@ -13,7 +13,7 @@ from lodestar.constants import (
     RANDOM_PIVOT_DRAWS,
     RANDOM_PIVOT_POOL,
 )
-from lodestar.plans.registry import NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERMS, WIDE_RADIUS
+from lodestar.plans.registry import ASKED_EVERY, JOIN_NEIGHBOURS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERMS, WIDE_RADIUS
 from lodestar.sources.generators import FRACTION_BITS, FRACTION_DIGITS
 
 # Building blocks. Each names those it needs, in order.
@@ -174,6 +174,8 @@ _NEAREST = f"SELECT uid, x, y, dist FROM near WHERE NOT is_query ORDER BY dist,
 _QUADRANT_ROWS = "SELECT name, round(area, 6) AS area, n, round(density, 6) AS density FROM quadrants"
 _START = f"sqrt({NEIGHBOURS} / (density * pi()))"
 
+_APART = "sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy))"
+
 ORACLES: dict[str, str] = {
     # Sources and sinks
     "load_points_delimited": _with([POINTS], f"SELECT {_NAMED} AS uid, x, y FROM p"),
@@ -329,6 +331,22 @@ ORACLES: dict[str, str] = {
     ),
     "knn": _with(_NEAR, _NEAREST),
     "knn_expanding": _with(_NEAR, _NEAREST),
+    "range_join": _with(
+        [POINTS, f"asked AS (SELECT uid AS query_id, x AS qx, y AS qy, uid / {ASKED_EVERY} % 5 + 0.5 AS r FROM p WHERE uid % {ASKED_EVERY} = 0)"],
+        f"""SELECT query_id, uid, x, y, {_APART} AS dist FROM p, asked
+        WHERE {_APART} <= r AND (x <> qx OR y <> qy)""",
+    ),
+    "knn_join": _with(
+        [
+            POINTS,
+            f"""asked AS (
+                SELECT uid AS query_id, x AS qx, y AS qy FROM p WHERE uid % {ASKED_EVERY} = 0
+                UNION ALL SELECT uid, x * 10 - 500, y * 7 FROM p WHERE uid % {ASKED_EVERY} = 1
+            )""",
+        ],
+        f"""SELECT query_id, uid, x, y, {_APART} AS dist, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_APART}, uid) AS INTEGER) AS rank
+        FROM p, asked WHERE x <> qx OR y <> qy QUALIFY rank <= {JOIN_NEIGHBOURS}""",
+    ),
     # Order and sets
     "sort_xy": _with(
         [POINTS, "gaps AS (SELECT CASE WHEN uid % 11 <> 0 THEN x END AS x, CASE WHEN uid % 7 <> 0 THEN y END AS y FROM p)"],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.constants import PREVIEW_ROWS
 from lodestar.functions import codec, geometry, keys
 from lodestar.functions.geometry import Location
-from lodestar.operators import hull, lookup, ordering, pivots, quadrants, search
+from lodestar.operators import hull, joins, lookup, ordering, pivots, quadrants, search
 from lodestar.operators.knn import knn
 from lodestar.plans.index import LandmarkIndex, build_index
 from lodestar.session import local_frame, scratch_path, written
@@ -28,6 +28,8 @@ QUERY_UID = 41
 RADIUS = 25.0
 WIDE_RADIUS = 250.0
 NEIGHBOURS = 100
+ASKED_EVERY = 100
+JOIN_NEIGHBOURS = 10
 SEED = 7
 STOP_AFTER = 100
 STOP_FILES = 8
@@ -622,6 +624,28 @@ def knn_expanding(given: Inputs) -> DataFrame:
     return given.index.knn(given.q, NEIGHBOURS)
 
 
+# Many query points at once
+
+
+def _asked(given: Inputs) -> DataFrame:
+    """Every hundredth point as a query, with a radius of its own."""
+    some = given.points.filter(F.pmod("uid", F.lit(ASKED_EVERY)) == 0)
+    return some.select(F.col("uid").alias("query_id"), "x", "y", (F.pmod(F.col("uid") / ASKED_EVERY, F.lit(5)) + 0.5).alias("r"))
+
+
+@query
+def range_join(given: Inputs) -> DataFrame:
+    """All points within a radius of each of many query points."""
+    return joins.range_join(given.points, _asked(given))
+
+
+@query
+def knn_join(given: Inputs) -> DataFrame:
+    """The nearest points of each of many query points, some of them outside of the data."""
+    far = given.points.filter(F.pmod("uid", F.lit(ASKED_EVERY)) == 1).select(F.col("uid").alias("query_id"), F.col("x") * 10 - 500, F.col("y") * 7)
+    return joins.knn_join(given.points, _asked(given).drop("r").union(far), JOIN_NEIGHBOURS)
+
+
 # Order and sets
 
 
