@@ -13,7 +13,7 @@ from lodestar.constants import (
     RANDOM_PIVOT_DRAWS,
     RANDOM_PIVOT_POOL,
 )
-from lodestar.plans.registry import ASKED_EVERY, JOIN_NEIGHBOURS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERMS, WIDE_RADIUS
+from lodestar.plans.registry import ASKED_EVERY, GREP_TERMS, JOIN_NEIGHBOURS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERM_SETS, TERMS, WIDE_RADIUS
 from lodestar.sources.generators import FRACTION_BITS, FRACTION_DIGITS
 
 # Building blocks. Each names those it needs, in order.
@@ -244,6 +244,15 @@ ORACLES: dict[str, str] = {
     ),
     "term_intersect": "SELECT doc_id FROM documents WHERE "
     + " AND ".join(f"list_contains(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), '{term}')" for term in TERMS),
+    "term_postings": " UNION ALL ".join(
+        f"SELECT '{' '.join(terms)}' AS terms, doc_id FROM documents WHERE "
+        + " AND ".join(f"list_contains(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), '{term}')" for term in terms)
+        for terms in TERM_SETS
+    ),
+    "grep_index": _with(
+        [POINTS],
+        f"SELECT c.*, term FROM ({_POINT_CELL}) c, (VALUES {', '.join(f"('{term}')" for term in GREP_TERMS)}) t(term) WHERE contains(row, term)",
+    ),
     "grep_key": _with([POINTS], f"{_POINT_CELL} WHERE contains({_NAMED}, '_41')"),
     "exact_key_filter": _with(
         _CELLS,

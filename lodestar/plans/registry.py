@@ -17,6 +17,7 @@ from lodestar.functions import codec, geometry, keys
 from lodestar.functions.geometry import Location
 from lodestar.operators import hull, joins, lookup, ordering, pivots, quadrants, search
 from lodestar.operators.knn import knn
+from lodestar.plans import postings
 from lodestar.plans.index import LandmarkIndex, build_index
 from lodestar.session import local_frame, scratch_path, written
 from lodestar.sources import cells as cell_table
@@ -34,6 +35,8 @@ SEED = 7
 STOP_AFTER = 100
 STOP_FILES = 8
 TERMS = ["the", "with"]
+TERM_SETS = [TERMS, ["de", "la", "que"], ["und"], ["the", "nosuchterm"]]
+GREP_TERMS = ["7", "_4", "t_41", "_1_", "nt_99"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -390,6 +393,26 @@ def grep_key(given: Inputs) -> DataFrame:
     return _typed(lookup.scan_column(lookup.grep_key(given.cells, "_41"), "POINT", "POJO"))
 
 
+@query
+def term_postings(given: Inputs) -> DataFrame:
+    """Documents that have all of some terms, out of a stored index to which a third of them was appended."""
+    rows = postings.text_rows(given.table("documents"), "doc_id", "text")
+    late = F.pmod("id", F.lit(3)) == 0
+    path = scratch_path(given.spark, "postings")
+    postings.build_postings(rows.filter(~late), path).append(rows.filter(late))
+    found = postings.rows_with_all(postings.open_postings(given.spark, path), TERM_SETS)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def grep_index(given: Inputs) -> DataFrame:
+    """Points whose key contains a term, by a stored index over the n-grams of all keys."""
+    points = lookup.scan_column(given.cells, "POINT", "POJO")
+    index = postings.build_postings(postings.key_rows(points), scratch_path(given.spark, "grams"))
+    found = [_typed(postings.grep_stored(points, index, term)).withColumn("term", F.lit(term)) for term in GREP_TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def exact_key_filter(given: Inputs) -> DataFrame:
     return lookup.exact_key_filter(given.cells, f"point_{QUERY_UID}", "POINT", "ISCANDIDATE").drop("ts")
