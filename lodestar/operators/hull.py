@@ -3,7 +3,8 @@
 The hull is kept as a table of directed edges ``(ax, ay, bx, by)``, counter-clockwise. Area and centroid are
 then plain sums over the edges, and no step ever needs the whole ring in order.
 
-Two scans of the points and some work on the few outer ones give the edges:
+Two scans of the points and some work on the few outer ones give the edges; where no more than ``SMALL`` points are
+left after the second, the driver finishes them:
 
 1. one aggregate finds farthest points in eight directions;
 2. a filter over literals drops every point well inside that octagon; the rest is made distinct and written;
@@ -20,6 +21,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ from lodestar.functions.geometry import Location, cross, cross_text, distance, n
 from lodestar.session import local_frame, written
 
 POCKET_LIMIT = 100_000
+
+#: Up to so many outer points, or edges, are finished by the driver in one go. Beyond that everything stays in tasks; the
+#: result is the same.
+SMALL = 4096
+
 EDGE = ["ax", "ay", "bx", "by"]
 EDGE_SCHEMA = ", ".join(f"{name} double" for name in EDGE)
 
@@ -92,7 +99,7 @@ def extremes(points: DataFrame) -> Extremes:
     return Extremes(n, ring, tuple(found[16:]) if numbered else None)
 
 
-def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit: int = POCKET_LIMIT) -> DataFrame:
+def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit: int = POCKET_LIMIT, small: int = SMALL) -> DataFrame:
     """Edges of the convex hull, counter-clockwise, collinear points left out.
 
     One distinct point gives one edge from it to itself, collinear points give one edge each way, no points
@@ -103,6 +110,9 @@ def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit:
     if not found.n:
         return local_frame(spark, [], EDGE_SCHEMA)
     outer = written(_outer_points(points, found), "hull-outer")
+    few = _if_few(outer, small)
+    if few is not None:
+        return local_frame(spark, _ring([tuple(row) for row in few]), EDGE_SCHEMA)
     corners = _corners(outer)
     sides = [(a, b) for a, b in zip(corners, corners[1:] + corners[:1]) if a != b]
     if not sides:
@@ -122,6 +132,32 @@ def convex_hull(points: DataFrame, found: Extremes | None = None, pocket_limit:
     return written(edges, "hull-edges")
 
 
+def _if_few(df: DataFrame, most: int) -> list | None:
+    """All rows, if there are at most so many."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def _ring(places: list[tuple[float, float]]) -> list[tuple]:
+    """Edges of the hull of a few distinct points."""
+    places = sorted((x + 0.0, y + 0.0) for x, y in places)
+    if len(places) == 1:
+        return [(*places[0], *places[0])]
+    vertices: list[tuple[float, float]] = []
+    for side in (places, places[::-1]):
+        start = len(vertices)
+        for p in side:
+            while len(vertices) > start + 1 and _turn(vertices[-2], vertices[-1], p) <= 0:
+                vertices.pop()
+            vertices.append(p)
+        vertices.pop()
+    return [(*a, *b) for a, b in zip(vertices, vertices[1:] + vertices[:1])]
+
+
+def _turn(a, b, p) -> float:
+    return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+
 def _outer_points(points: DataFrame, found: Extremes) -> DataFrame:
     """Distinct points on or beyond the octagon of extremes: a filter over literals, and a partial distinct."""
     band = number_text(BAND * (found.max_x - found.min_x) * (found.max_y - found.min_y))
@@ -200,13 +236,18 @@ def hull_vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
 
 
-def hull_diameter(edges: DataFrame) -> DataFrame:
+def hull_diameter(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """Largest distance between two hull vertices, hence between any two points: one row.
 
+    Up to ``small`` edges are compared with one another. Beyond that:
+
     The farthest pair is antipodal, so for each edge it is enough to look at the edge that lies opposite: the
     last one, in order of direction, whose direction does not exceed the reverse of this edge's. That is an
     as-of match by direction over range partitions, so edges that share almost one direction still spread.
     """
+    few = _if_few(hull_vertices(edges), small)
+    if few is not None:
+        return local_frame(edges.sparkSession, [(_widest(np.array(few, float).reshape(-1, 2)),)], "diameter double")
     placed, before = _by_direction(edges)
     upto = Window.partitionBy("part").orderBy("dir", "asks").rowsBetween(Window.unboundedPreceding, 0)
     met = F.last(F.when(F.col("asks") == 0, F.col("edge")), ignorenulls=True).over(upto)
@@ -226,6 +267,12 @@ def hull_diameter(edges: DataFrame) -> DataFrame:
     return pairs.agg(F.max(widest).alias("diameter"))
 
 
+def _widest(places: np.ndarray) -> float | None:
+    """Largest distance within a few points."""
+    apart = [np.sqrt((places[:, 0] - x) ** 2 + (places[:, 1] - y) ** 2).max() for x, y in places]
+    return float(max(apart)) if apart else None
+
+
 def _by_direction(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (``asks`` 0) and the reverses they ask for (``asks`` 1), range-partitioned by direction; and per
     partition the last edge that stands ``before`` it, going round: one row for each partition."""

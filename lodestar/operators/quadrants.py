@@ -46,3 +46,14 @@ def quadrant_table(counts: DataFrame, areas: dict[str, Column]) -> DataFrame:
     return counts.select(
         "name", area.alias("area"), "n", F.try_divide(F.col("n").cast("double"), area).alias("density")
     )
+
+
+def plain_quadrants(counts: dict[str, int], extent) -> dict[str, dict]:
+    """``quadrant_table`` of known counts over an extent, on the driver."""
+    left, right = extent.cx - extent.min_x, extent.max_x - extent.cx
+    lower, upper = extent.cy - extent.min_y, extent.max_y - extent.cy
+    areas = {UPPER_LEFT: left * upper, UPPER_RIGHT: right * upper, LOWER_RIGHT: right * lower, LOWER_LEFT: left * lower}
+    return {
+        name: {"name": name, "area": areas[name], "n": counts[name], "density": counts[name] / areas[name] if areas[name] else None}
+        for name in QUADRANTS
+    }

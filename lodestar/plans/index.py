@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import asdict, dataclass, fields
-from functools import partial
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.constants import ALPHA, PIVOT_PREFIX
+from lodestar.constants import ALPHA, PIVOT_PREFIX, QUADRANTS
 from lodestar.functions.geometry import Location, derive_range, plain_derive_range, plain_quadrant, quadrant_of, usable
 from lodestar.operators import knn as nearest_neighbours
 from lodestar.operators import search
 from lodestar.operators.hull import Extremes, convex_hull, extremes, hull_diameter, hull_measures
-from lodestar.operators.pivots import Pivot, collect_pivots, pivot_distances_wide, pivots_frame, sss_pivots
-from lodestar.operators.quadrants import quadrant_areas, quadrant_table, stored_quadrant_counts
+from lodestar.operators.pivots import Pivot, pivot_distances_wide, pivots_frame, sss_pivots
+from lodestar.operators.quadrants import plain_quadrants
 from lodestar.session import local_frame, together
+from lodestar.sources.versions import last_version, publish_version, read_version
 
 # The first radius of a kNN search over the radius that the density suggests: seldom leaves a second round.
 FIRST_STEP = 1.3
@@ -55,9 +55,6 @@ class Extent:
         return [Location(x, y) for x in (self.min_x, self.max_x) for y in (self.min_y, self.max_y)]
 
 
-EXTENT_SCHEMA = ", ".join(f"{f.name} {'bigint' if f.name == 'n' else 'double'}" for f in fields(Extent))
-
-
 def measure(points: DataFrame, found: Extremes | None = None) -> Extent | None:
     """Extent of the points, or None when there are none."""
     found = found or extremes(points)
@@ -88,6 +85,8 @@ class LandmarkIndex:
     pivots: list[Pivot]
     extent: Extent
     quadrants: dict[str, dict]
+    #: Whether every point is nearer than the spacing to a pivot; updates may add points that are not.
+    covered: bool = True
 
     def range_query(self, q: Location, r: float, pivot_bounds: bool = False, **options) -> DataFrame:
         """Exact range search. The points stand in cell order, so the box around the disc skips what there is to
@@ -139,11 +138,15 @@ def build_index(
 
     Points are stored in Morton order of their cell, so a query disc touches few files and row groups, and
     ties within a cell are spread by a hash, so no place can overload one task. Only identifier, coordinates
-    and cell are shuffled; everything else is computed on the way to the files. ``points`` is scanned several
-    times: store it as Parquet first when it comes from text. The number of files follows from the number of
-    points, unless ``partitions`` gives it. All parts carry the number of the build, which ``load_index`` compares.
+    and cell are shuffled; everything else is computed on the way to the files, and the quadrants are counted there.
+    ``points`` is scanned several times: store it as Parquet first when it comes from text. The number of files follows
+    from the number of points, unless ``partitions`` gives it.
+
+    Every build has a folder of its own, and a new version of the index names it when everything is written, so a
+    rebuild that fails leaves the index that was there.
     """
     spark = points.sparkSession
+    before = last_version(spark, path)
     found = extremes(points)
     extent = measure(points, found)
     if extent is None:
@@ -151,32 +154,40 @@ def build_index(
     pivots = sss_pivots(points, extent.diameter, alpha, order_by, found)
 
     extra = [order_by] if order_by not in ("uid", "x", "y") else []
-    placed = points.filter(usable()).select("uid", "x", "y", *extra, _cell(extent).alias("_cell"))
-    keys = [F.col("_cell"), F.xxhash64("uid")]
-    placed = placed.repartitionByRange(partitions or math.ceil(extent.n / rows_per_file), *keys)
-    placed = placed.sortWithinPartitions("_cell").drop("_cell")
+    placed = points.filter(usable()).select("uid", "x", "y", *extra, cell_of(extent).alias("_cell"))
     build = uuid.uuid4().hex
+    folder = f"build-{build}/points"
+    counts = Observation()
+    stored = stored_points(placed, pivots, extent.centre, build, partitions or math.ceil(extent.n / rows_per_file))
+    stored.observe(counts, *quadrant_sums()).write.parquet(f"{path}/{folder}")
+    content = {
+        "build": build,
+        "points": folder,
+        "manifest": None,
+        "order_by": order_by,
+        "alpha": alpha,
+        "box": [extent.min_x, extent.max_x, extent.min_y, extent.max_y],
+        "extent": asdict(extent),
+        "pivots": [list(p) for p in pivots],
+        "quadrants": plain_quadrants(counts.get, extent),
+        "covered": True,
+    }
+    publish_version(spark, path, before, content)
+    return opened_index(spark, path, content)
 
-    def writer(frame: DataFrame):
-        return frame.withColumn(BUILD, F.lit(build)).write.mode("overwrite")
 
-    writer(_with_distances(placed, pivots, extent)).parquet(f"{path}/points")
+def quadrant_sums() -> list[Column]:
+    """Points per quadrant, to be counted on the way."""
+    return [F.count_if(F.col("quadrant") == name).alias(name) for name in QUADRANTS]
 
-    points = spark.read.parquet(f"{path}/points").drop(BUILD)
-    areas = quadrant_areas(extent.min_x, extent.max_x, extent.min_y, extent.max_y, extent.cx, extent.cy)
-    quadrants = _quadrant_rows(quadrant_table(stored_quadrant_counts(points), areas))
-    index = LandmarkIndex(points, pivots, extent, quadrants)
-    summary = {
-        "pivots": index.pivots_frame(),
-        "quadrants": index.quadrants_frame(),
-        "extent": local_frame(spark, [(*asdict(extent).values(), alpha)], f"{EXTENT_SCHEMA}, alpha double"),
-    }
-    writers = {name: writer(frame.coalesce(1)) for name, frame in summary.items()}
-    together(*(partial(part.parquet, f"{path}/{name}") for name, part in writers.items()))
-    return index
+
+def stored_points(placed: DataFrame, pivots: list[Pivot], centre: Location, build: str, files: int) -> DataFrame:
+    """Points as they are stored, in so many ranges of cells; ``placed`` has the cell as ``_cell``."""
+    placed = placed.repartitionByRange(max(1, files), F.col("_cell"), F.xxhash64("uid")).sortWithinPartitions("_cell")
+    return _with_distances(placed.drop("_cell"), pivots, centre).withColumn(BUILD, F.lit(build))
 
 
-def _with_distances(points: DataFrame, pivots: list[Pivot], extent: Extent) -> DataFrame:
+def _with_distances(points: DataFrame, pivots: list[Pivot], centre: Location) -> DataFrame:
     """Distance to each pivot, the closest one, and the quadrant: a narrow projection."""
     options = [F.struct(F.col(f"dp_{p.ord}").alias("dist"), F.lit(p.ord).alias("ord")) for p in pivots]
     near = F.least(*options) if len(options) > 1 else options[0]
@@ -187,7 +198,7 @@ def _with_distances(points: DataFrame, pivots: list[Pivot], extent: Extent) -> D
         .withColumns(
             {
                 "closest_pivot": F.concat(F.lit(PIVOT_PREFIX), F.col("closest_ord")),
-                "quadrant": quadrant_of("x", "y", extent.centre),
+                "quadrant": quadrant_of("x", "y", centre),
             }
         )
         .drop("_near")
@@ -195,24 +206,29 @@ def _with_distances(points: DataFrame, pivots: list[Pivot], extent: Extent) -> D
 
 
 def load_index(spark: SparkSession, path: str) -> LandmarkIndex:
-    """Open a stored index. Only the pivots, the extent and the four quadrants come to the driver.
+    """Open the last version of a stored index.
 
-    Parts of different builds, which an interrupted rebuild leaves behind, are refused.
+    Points of another build than the one that the version names are refused.
     """
-    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("points", "pivots", "extent", "quadrants")}
-    builds = {name: (part.select(BUILD).first() or [None])[0] for name, part in parts.items()}
-    if len(set(builds.values())) > 1:
-        raise ValueError(f"the parts of {path} come from different builds: {builds}")
-    parts = {name: part.drop(BUILD) for name, part in parts.items()}
-    extent = parts["extent"].first().asDict()
-    alpha = extent.pop("alpha")
-    return LandmarkIndex(
-        parts["points"], collect_pivots(parts["pivots"], alpha), Extent(**extent), _quadrant_rows(parts["quadrants"])
-    )
+    return opened_index(spark, path, read_version(spark, path)[1])
+
 
+def stored_files(spark: SparkSession, path: str, content: dict) -> DataFrame:
+    """The stored points of a version, with their build: a folder, or the files of a manifest."""
+    if content["manifest"] is None:
+        return spark.read.parquet(f"{path}/{content['points']}")
+    files = [row["file"] for row in spark.read.parquet(f"{path}/{content['manifest']}").select("file").collect()]
+    return spark.read.parquet(*[f"{path}/{file}" for file in files])
 
-def _quadrant_rows(frame: DataFrame) -> dict[str, dict]:
-    return {row["name"]: row.asDict() for row in frame.collect()}
+
+def opened_index(spark: SparkSession, path: str, content: dict) -> LandmarkIndex:
+    """The index that a version describes."""
+    points = stored_files(spark, path, content)
+    builds = {(points.select(BUILD).first() or [content["build"]])[0], content["build"]}
+    if len(builds) > 1:
+        raise ValueError(f"the parts of {path} come from different builds: {builds}")
+    pivots = [Pivot(*row) for row in content["pivots"]]
+    return LandmarkIndex(points.drop(BUILD), pivots, Extent(**content["extent"]), content["quadrants"], content["covered"])
 
 
 def _quadrants_frame(spark: SparkSession, quadrants: dict[str, dict]) -> DataFrame:
@@ -220,17 +236,21 @@ def _quadrants_frame(spark: SparkSession, quadrants: dict[str, dict]) -> DataFra
     return local_frame(spark, rows, "name string, area double, n bigint, density double")
 
 
-def _cell(extent: Extent) -> Column:
-    """Morton number of the point's cell in a grid over the bounding box."""
+def cell_of(extent: Extent) -> Column:
+    """Morton number of the point's cell in a grid over the bounding box; points outside go to the cells at its border."""
+    return cell_in(extent.min_x, extent.max_x, extent.min_y, extent.max_y)
+
+
+def cell_in(min_x: float, max_x: float, min_y: float, max_y: float) -> Column:
+    last = (1 << CELL_BITS) - 1
 
     def axis(name: str, low: float, high: float) -> Column:
         if not (high > low and math.isfinite(high - low)):
             return F.lit(0).cast("long")
-        return F.floor((F.col(name) - low) / (high - low) * ((1 << CELL_BITS) - 1)).cast("long")
+        place = F.floor((F.col(name) - low) / (high - low) * last).cast("long")
+        return F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), place))
 
-    return _spread(axis("x", extent.min_x, extent.max_x)).bitwiseOR(
-        F.shiftleft(_spread(axis("y", extent.min_y, extent.max_y)), 1)
-    )
+    return _spread(axis("x", min_x, max_x)).bitwiseOR(F.shiftleft(_spread(axis("y", min_y, max_y)), 1))
 
 
 def _spread(bits: Column) -> Column:

@@ -318,6 +318,7 @@ ORACLES: dict[str, str] = {
         """SELECT pivot_id AS closest_pivot, quadrant, count(*) AS n, max(dist) AS farthest
         FROM closest JOIN placed USING (uid) GROUP BY pivot_id, quadrant""",
     ),
+    "index_update": _with(_NEAR, f"SELECT uid, x, y, CASE WHEN dist <= {RADIUS} AND NOT is_query THEN dist END AS dist FROM near"),
     # Range search and nearest neighbours
     "distance": _with(_NEAR, "SELECT uid, dist FROM near"),
     "refine": _with(_NEAR, f"SELECT uid, x, y, dist FROM near WHERE dist <= {RADIUS}"),

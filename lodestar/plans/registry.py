@@ -17,7 +17,7 @@ from lodestar.functions import codec, geometry, keys
 from lodestar.functions.geometry import Location
 from lodestar.operators import hull, joins, lookup, ordering, pivots, quadrants, search
 from lodestar.operators.knn import knn
-from lodestar.plans import postings
+from lodestar.plans import postings, upkeep
 from lodestar.plans.index import LandmarkIndex, build_index
 from lodestar.session import local_frame, scratch_path, written
 from lodestar.sources import cells as cell_table
@@ -582,6 +582,20 @@ def fresh_index(given: Inputs) -> DataFrame:
     )
 
 
+@query
+def index_update(given: Inputs) -> DataFrame:
+    """All points of an index that was built without some of them, with others elsewhere and with strange ones, and then
+    brought up to date; and which of them a search in it finds."""
+    path, turn = scratch_path(given.spark, "living-index"), F.pmod("uid", F.lit(100))
+    late, moved, strange = given.points.filter(turn == 7), given.points.filter(turn == 3), given.points.filter(turn == 50)
+    strange = strange.withColumn("uid", -F.col("uid"))
+    early = given.points.filter(turn != 7).withColumn("x", F.when(turn == 3, F.col("y") / 2).otherwise(F.col("x")))
+    build_index(early.unionByName(strange), path)
+    index = upkeep.update_index(given.spark, path, late.unionByName(moved), strange.select("uid"))
+    hits = index.range_query(given.q, RADIUS, ordered=False).select("uid", "dist")
+    return index.points.select("uid", "x", "y").join(hits, "uid", "left")
+
+
 # Range search and nearest neighbours
 
 

@@ -28,15 +28,17 @@ SETS = {
 SPLIT = ["three", "square", "scattered", "ties", "ring", "hot"]
 
 
-@pytest.mark.parametrize("name, limit", [(name, 100_000) for name in SETS] + [(name, 2) for name in SPLIT])
-def test_hull_and_diameter_match_brute_force(spark, name, limit):
+@pytest.mark.parametrize(
+    "name, limit, small", [(name, 100_000, small) for name in SETS for small in (0, hull.SMALL)] + [(name, 2, 0) for name in SPLIT]
+)
+def test_hull_and_diameter_match_brute_force(spark, name, limit, small):
     places = SETS[name]
-    edges = hull.convex_hull(frame(spark, places), pocket_limit=limit)
+    edges = hull.convex_hull(frame(spark, places), pocket_limit=limit, small=small)
     rows = [tuple(row) for row in edges.collect()]
     assert {(row[0], row[1]) for row in rows} == brute_hull(places)
     assert {(row[2], row[3]) for row in rows} == brute_hull(places)
     assert len(rows) == len(brute_hull(places))
-    assert hull.hull_diameter(edges).first()["diameter"] == brute_diameter(places)
+    assert hull.hull_diameter(edges, small).first()["diameter"] == brute_diameter(places)
 
 
 def test_no_points(spark):
@@ -69,6 +71,6 @@ def test_area_and_centroid(spark, places, area, centre):
 
 def test_split_pockets_cover_a_long_ring(spark):
     places = ring(1000)
-    edges = hull.convex_hull(frame(spark, places), pocket_limit=50)
+    edges = hull.convex_hull(frame(spark, places), pocket_limit=50, small=0)
     assert edges.count() == len(brute_hull(places))
-    assert hull.hull_diameter(edges).first()["diameter"] == brute_diameter(places)
+    assert hull.hull_diameter(edges, 0).first()["diameter"] == brute_diameter(places)
