@@ -38,7 +38,7 @@ from lodestar.llm.hnsw import Graph, width
 from lodestar.session import written
 
 #: Rows of a shard.
-SHARD = 16_384
+SHARD = 32_768
 
 #: First width of the beams; vectors of a unit compared by brute force, and the share of links that must be found.
 BEAM, AUDITED, AUDIT_RECALL = 24, 256, 0.99
