@@ -2,8 +2,8 @@
 
 Each language has a suffix automaton over a bounded sample of its labelled text. A text is cut greedily into the
 longest phrases that occur in that sample: the automaton is followed until it has no way on, then a new phrase begins.
-The language that needs the fewest phrases per character wins. All documents are parsed whole, many pieces at a time,
-with the automaton as a table; the sample is all that travels.
+The language that needs the fewest phrases per character wins. All documents are parsed whole: pieces go side by side
+through the automaton, which is a table, and are then joined as one parse from the beginning to the end; the sample is all that travels.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; equal numbers of phrases go to the
 first language by name, with score 0; without any labelled text everything is ``und``; a single language always wins,
@@ -25,7 +25,7 @@ from lodestar.llm.common import with_row
 
 UNDETERMINED = "und"
 
-#: Characters that one step of a parse follows on its own, and how many such pieces go side by side.
+#: Characters of a piece, and how many pieces go side by side. They change time and memory, never the result.
 PIECE, SIDE_BY_SIDE = 256, 8192
 
 #: Characters turned into symbols at once.
@@ -196,7 +196,15 @@ class Parser:
         """Phrases per text and language, and symbols per text; no symbols where there is no letter."""
         count = np.zeros((len(texts), len(self.languages)), np.int64)
         sizes = np.zeros(len(texts), np.int64)
-        waiting, owner, held = [], [], 0
+        carried = np.zeros(len(self.languages), np.int32)
+        waiting, owner, begins, held = [], [], [], 0
+
+        def parse() -> None:
+            nonlocal waiting, owner, begins, held
+            if held:
+                self._parse(np.concatenate(waiting), np.concatenate(owner), np.concatenate(begins), carried, count)
+            waiting, owner, begins, held = [], [], [], 0
+
         for i, text in enumerate(texts):
             symbols = self.symbols(text)
             if not symbols.any():
@@ -209,24 +217,47 @@ class Parser:
                 part = padded[a * PIECE : (a + SIDE_BY_SIDE) * PIECE].reshape(-1, PIECE)
                 waiting.append(part)
                 owner.append(np.full(len(part), i))
+                begins.append(np.arange(a, a + len(part)) == 0)
                 held += len(part)
                 if held >= SIDE_BY_SIDE:
-                    self._parse(np.concatenate(waiting), np.concatenate(owner), count)
-                    waiting, owner, held = [], [], 0
-        if held:
-            self._parse(np.concatenate(waiting), np.concatenate(owner), count)
+                    parse()
+        parse()
         return count, sizes
 
-    def _parse(self, pieces: np.ndarray, owner: np.ndarray, count: np.ndarray) -> None:
+    def _parse(self, pieces: np.ndarray, owner: np.ndarray, begins: np.ndarray, carried: np.ndarray, count: np.ndarray) -> None:
+        """Add the phrases of some pieces. ``carried`` is the state in which the parse of each language left the last piece.
+
+        All pieces are first parsed from the beginning of a phrase. A piece that goes on with a text is then parsed once more
+        from where the piece before has ended, until both parses are in the same state; from there on they are the same. That
+        is repeated while the end of a piece changes, so the result is the parse of the whole text.
+        """
         columns = np.ascontiguousarray(pieces.T)
         for k, (numbers, table) in enumerate(self.tables):
-            state = np.zeros(len(pieces), np.int32)
-            found = np.zeros(len(pieces), np.int32)
-            for column in numbers.take(columns):
-                step = table.step(state, column)
-                found += (step & 1).astype(found.dtype, copy=False)
-                state = step >> 1
-            count[:, k] += np.bincount(owner, weights=found, minlength=len(count)).astype(np.int64)
+            own = numbers.take(columns)
+            states = np.zeros((PIECE + 1, len(pieces)), np.int32)
+            fresh = np.zeros((PIECE, len(pieces)), bool)
+            for j in range(PIECE):
+                step = table.step(states[j], own[j])
+                states[j + 1], fresh[j] = step >> 1, step & 1
+            while True:
+                entry = np.concatenate((carried[k : k + 1], states[PIECE, :-1]))
+                entry[begins] = 0
+                live = np.flatnonzero(entry != states[0])
+                if not len(live):
+                    break
+                states[0] = entry
+                state = entry[live]
+                for j in range(PIECE):
+                    step = table.step(state, own[j][live])
+                    fresh[j][live] = step & 1
+                    state = (step >> 1).astype(np.int32)
+                    apart = state != states[j + 1][live]
+                    live, state = live[apart], state[apart]
+                    if not len(live):
+                        break
+                    states[j + 1][live] = state
+            carried[k] = states[PIECE, -1]
+            count[:, k] += np.bincount(owner, weights=fresh.sum(axis=0), minlength=len(count)).astype(np.int64)
 
 
 @lru_cache(maxsize=1)

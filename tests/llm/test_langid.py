@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from lodestar.llm.langid import PIECE, Parser, SampleBound, identified, sample, suffix_automaton, verdicts
+from lodestar.llm import langid
+from lodestar.llm.langid import Parser, SampleBound, identified, sample, suffix_automaton, verdicts
 from lodestar.llm.queries import op8_cross_parsing
 
 SAMPLES = (("de", "der hund und die katze sind im haus und schlafen"), ("en", "the dog and the cat are in the house and sleep"))
@@ -28,26 +29,27 @@ def test_automaton_spells_all_substrings(seed):
 
 
 def slow_phrases(symbols, sample_symbols):
-    """Greedy longest phrases within pieces."""
-    known, total = substrings(sample_symbols), 0
-    for a in range(0, len(symbols), PIECE):
-        piece, at = symbols[a : a + PIECE], 0
-        while at < len(piece):
-            end = at + 1
-            while end < len(piece) and tuple(piece[at : end + 1]) in known:
-                end += 1
-            total, at = total + 1, end
+    """Greedy longest phrases of the whole text."""
+    known, total, at = substrings(sample_symbols), 0, 0
+    while at < len(symbols):
+        end = at + 1
+        while end < len(symbols) and tuple(symbols[at : end + 1]) in known:
+            end += 1
+        total, at = total + 1, end
     return total
 
 
-def test_phrases_against_brute_force():
-    parser = Parser(SAMPLES)
-    texts = ["the cat sleeps", "Die KATZE schläft!!  ja", "zzz ж", "", "12 34", "the house and der hund " * 60]
+@pytest.mark.parametrize("piece, abreast", [(langid.PIECE, langid.SIDE_BY_SIDE), (7, 3), (1, 1), (64, 5)])
+def test_phrases_against_brute_force(monkeypatch, piece, abreast):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "SIDE_BY_SIDE", abreast)
+    parser = Parser((*SAMPLES, ("xx", "a" * 90 + " ab")))
+    texts = ["the cat sleeps", "Die KATZE schläft!!  ja", "zzz ж", "", "12 34", "the house and der hund " * 60, "a" * 700, "the dog and the cat are in " * 30]
     count, sizes = parser.phrases(texts)
     for i, text in enumerate(texts):
         symbols = parser.symbols(text).tolist()
         assert sizes[i] == (len(symbols) if any(symbols) else 0)
-        for k, (_, own) in enumerate(SAMPLES):
+        for k, (_, own) in enumerate((*SAMPLES, ("xx", "a" * 90 + " ab"))):
             wanted = slow_phrases(symbols, parser.symbols(own).tolist()) if any(symbols) else 0
             assert count[i, k] == wanted
 
