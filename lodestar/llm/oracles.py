@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm.quality import CLASSES, COMMON_WORDS, QualityRules
+from lodestar.llm.quality import CLASSES, COMMON_WORDS, OWN_WORDS, QualityRules
 from lodestar.llm.urls import LOWER, SOFT_TERMS, STRICT_TERMS, UPPER
 
 RULES = QualityRules()
@@ -16,11 +16,11 @@ def _quality() -> str:
     class_counts = ", ".join(
         f"length(regexp_replace(t, {_quoted(p.replace(' ', chr(92) + 'x20'))}, '', 'g'))" for p in CLASSES.values()
     )
-    vocabulary = ", ".join(_quoted(w) for w in sorted({w for words in COMMON_WORDS.values() for w in words}))
     lists = ", ".join(f"({_quoted(lang)}, [{', '.join(map(_quoted, words))}])" for lang, words in COMMON_WORDS.items())
-    symbols, body, upper = (list(CLASSES).index(name) + 1 for name in ("symbol", "body", "upper"))
+    symbols, body, upper, caseless = (list(CLASSES).index(name) + 1 for name in ("symbol", "body", "upper", "caseless"))
     return f"""
-WITH split AS (
+WITH listed(lang, words) AS (VALUES {lists}),
+split AS (
   SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
   FROM documents),
@@ -40,11 +40,20 @@ counted AS (
   FROM split LEFT JOIN repeated USING (id) LEFT JOIN lines USING (id)),
 based AS (
   SELECT *, part[{symbols}] AS n_symbols, list_append(part, length(t) - list_sum(part)::BIGINT) AS classes,
-         n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed
+         n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed,
+         part[{caseless}] > part[{body}] + part[{upper}] AS caseless
   FROM counted),
-vocabulary(lang, words) AS (VALUES {lists}),
+prose AS (
+  SELECT id FROM based
+  WHERE NOT base_failed AND n_symbols * 1000 <= length(t) AND classes[{upper}] * 5 <= classes[{body}] + classes[{caseless}]),
+own AS (
+  SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS place
+  FROM based JOIN prose USING (id), unnest(ws) AS u(w)
+  WHERE lang IS NOT NULL AND lang NOT IN (SELECT lang FROM listed) AND regexp_matches(w, '\\p{{L}}') GROUP BY lang, w
+  QUALIFY place <= {OWN_WORDS}),
+vocabulary AS (FROM listed UNION ALL SELECT lang, list(w ORDER BY place) FROM own GROUP BY lang),
 spoken AS (
-  SELECT id, w, count(*) AS n FROM based, unnest(ws) AS u(w) WHERE w IN ({vocabulary}) GROUP BY id, w),
+  SELECT id, w, count(*) AS n FROM based, unnest(ws) AS u(w) WHERE w IN (SELECT unnest(words) FROM vocabulary) GROUP BY id, w),
 bins AS (
   SELECT id, v.lang, 'c' AS kind, i AS bin, classes[i] AS n, length(t) AS total
   FROM based, vocabulary v, unnest(range(1, {len(CLASSES) + 2})) AS u(i)
@@ -57,21 +66,25 @@ bins AS (
   FROM based b, vocabulary v),
 refs AS (
   SELECT lang, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q
-  FROM bins JOIN based USING (id, lang)
-  WHERE NOT base_failed AND n_symbols * 1000 <= length(t) AND classes[{upper}] * 5 <= classes[{body}]
+  FROM bins JOIN based USING (id, lang) JOIN prose USING (id)
   GROUP BY lang, kind, bin),
+kinds AS (
+  SELECT lang, coalesce(sum(q) FILTER (bin = {caseless}), 0) > coalesce(sum(q) FILTER (bin IN ({body}, {upper})), 0) AS caseless
+  FROM refs WHERE kind = 'c' GROUP BY lang),
 far AS (
-  SELECT id, kind, lang, sqrt(greatest(0, sum(
+  SELECT id, kind, bins.lang AS lang, sqrt(greatest(0, sum(
     CASE WHEN n > 0 THEN n / total * log2(2 * (n / total) / (n / total + q)) ELSE 0 END
     + CASE WHEN q > 0 THEN q * log2(2 * q / (n / total + q)) ELSE 0 END) / 2)) AS d
-  FROM bins JOIN refs USING (lang, kind, bin) WHERE total > 0 GROUP BY id, kind, lang),
+  FROM bins JOIN refs USING (lang, kind, bin) JOIN kinds USING (lang) JOIN based b USING (id)
+  WHERE total > 0 AND kinds.caseless = b.caseless GROUP BY id, kind, bins.lang),
 nearest AS (
   SELECT id, min(d) FILTER (kind = 'c') AS c, min(d) FILTER (kind = 'w') AS w FROM far GROUP BY id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed
-       AND NOT (length(t) >= {RULES.min_class_chars} AND coalesce(c, 0) > {RULES.max_class_distance})
-       AND NOT (n_words >= {RULES.min_distance_words} AND coalesce(w, 0) > {RULES.max_word_distance}) AS kept
+       AND NOT (length(t) >= {RULES.min_class_chars} AND coalesce(c, 0) > CASE
+         WHEN n_words >= {RULES.min_distance_words} AND coalesce(w, 0) > {RULES.max_word_distance} THEN {RULES.max_strange_class_distance}
+         ELSE {RULES.max_class_distance} END) AS kept
 FROM based LEFT JOIN nearest USING (id)"""
 
 

@@ -1,15 +1,17 @@
 """Quality rules: counts per document, and its distance from language references.
 
 Every document gets the histogram of its character classes and of common words. The references are the pooled
-histograms of all documents of one language that pass the base rules. A document is as far from the references as
-from the nearest one, by Jensen-Shannon distance (base 2, 0 to 1); the guards leave short documents unjudged,
-since their histograms are noise. The words of four languages are listed; any other labelled language has its own most
-frequent words, and a bin for letters without case. Its documents are measured against its own reference too. All of it is column expressions over one narrow pass; only the references are
-aggregated, a row per language.
+histograms of all documents of one labelled language that pass the base rules and look like prose. The words of four
+languages are listed; any other labelled language is known by its own most frequent words. A document is measured by what it says,
+never by its label: it is as far from the references as from the nearest one, by Jensen-Shannon distance (base 2, 0 to
+1). Where its common words are those of a reference, its characters may differ from prose a little; where they are those of none, it is
+junk or in a language that nobody has labelled, and only characters very much like prose are kept. The guards leave short
+documents unjudged, since their histograms are noise, and a text in letters without case is only compared with references
+in such letters. All of it is column expressions over one narrow pass; only the references are aggregated, a row per language.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language takes no part in
-the references; where a document's language has no reference (no label, or no document of it passes) the base
-rules alone decide; repeated rows are judged one by one; other columns pass through untouched, whatever their names.
+the references; without any reference (or any in letters of its kind) the base rules alone decide; repeated rows are
+judged one by one; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,11 +40,9 @@ CLASSES = {
     "space": r"[^ \t-\r]+",
     "stop": r"[^.,;:!?'\"()-]+",
     "symbol": r"[^#*$%&|<>]+",
+    "caseless": r"[^\p{Lo}\p{Lm}\p{M}]+",
 }
 
-#: Letters and marks without case, which no class takes.
-OTHER_LETTERS = r"[^\p{Lo}\p{Lm}\p{M}]+"
-
 #: How many of its own words stand for a language without a list.
 OWN_WORDS = 16
 
@@ -54,6 +54,7 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_class_distance: float = 0.15
+    max_strange_class_distance: float = 0.10
     min_class_chars: int = 200
     max_word_distance: float = 0.31
     min_distance_words: int = 80
@@ -72,15 +73,11 @@ def _window_keys(words: Column) -> Column:
     return F.when(F.size(words) >= 3, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def measured(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str = "lang", keep: list[str] | None = None, frequent: DataFrame | None = None) -> DataFrame:
-    """``row`` and the counts of each document. Windows of words are compared by 64-bit hash within the document.
-    With ``frequent`` also ``own_classes`` and ``own_counts`` of documents in its languages, for others null."""
-    vocabulary = sorted({w for words in rules.common_words.values() for w in words})
+def measured(docs: DataFrame, rules: QualityRules, common_words: dict[str, list[str]], text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``row`` and the counts of each document. Windows of words are compared by 64-bit hash within the document."""
+    vocabulary = _vocabulary(common_words)
     df = with_row(docs, keep, text=F.coalesce(F.col(text), F.lit("")), lang=F.col(lang))
     df = df.withColumn("words", words_of(F.col("text"))).withColumn("keys", _window_keys(F.col("words")))
-    if frequent is not None:
-        df = df.join(frequent, "lang", "left")
-    own = [] if frequent is None else ["own_classes", "own_counts"]
     spoken = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     df = df.select(
         "row",
@@ -89,10 +86,6 @@ def measured(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         *[_count(F.col("text"), others).alias(f"n_{name}") for name, others in CLASSES.items()],
         F.length("text").cast("long").alias("n_chars"),
-        *[] if frequent is None else [
-            F.when(F.col("own_words").isNotNull(), _count(F.col("text"), OTHER_LETTERS)).alias("own_classes"),
-            F.transform("own_words", lambda own: F.size(F.filter("words", lambda w: w == own)).cast("long")).alias("own_counts"),
-        ],
         spoken.alias("lines"),
         F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(vocabulary)), "  "), F.lit(" ")).alias("common"),
         # Sorted with their places only where a key comes twice.
@@ -115,81 +108,66 @@ def measured(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str
         F.aggregate(covered, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_repeat_words"),
         "n_chars",
         F.array(*[F.col(f"n_{name}") for name in CLASSES], F.col("n_chars") - sum((F.col(f"n_{name}") for name in CLASSES), F.lit(0))).alias("classes"),
-        F.array(*[found(w).cast("long") for w in vocabulary]).alias("counts"), *own,
+        F.array(*[found(w).cast("long") for w in vocabulary]).alias("counts"),
     ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
 
 
-def _prose(letters: Column | int = 0) -> Column:
+def _class(name: str) -> Column:
+    return F.col("classes")[list(CLASSES).index(name)]
+
+
+def _prose() -> Column:
     """Hardly a symbol, few capitals."""
-    names = list(CLASSES)
-    body, upper = (F.col("classes")[names.index(name)] for name in ("body", "upper"))
-    return (F.col("n_symbols") * 1000 <= F.col("n_chars")) & (upper * 5 <= body + letters)
+    return (F.col("n_symbols") * 1000 <= F.col("n_chars")) & (_class("upper") * 5 <= _class("body") + _class("caseless"))
+
+
+def _vocabulary(common_words: dict[str, list[str]]) -> list[str]:
+    return sorted({w for words in common_words.values() for w in words})
 
 
-def frequent_words(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str = "lang") -> DataFrame | None:
-    """``lang`` and ``own_words``, the most frequent words of each labelled language that the rules do not list, over its
-    documents that pass the base rules and look like prose. None if there is no such language."""
+def frequent_words(docs: DataFrame, rules: QualityRules, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """The most frequent words of each labelled language that the rules do not list, over its documents that pass the base
+    rules and look like prose. So many rows a language come to the driver."""
     others = docs.filter(F.col(lang).isNotNull() & ~F.col(lang).isin(sorted(rules.common_words)))
     if others.select(lang).isEmpty():
-        return None
+        return {}
     fit = others.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    letters = _count(F.col("row.text"), OTHER_LETTERS)
     # Written first: a filter would pull the counting of repeats into itself, many times over.
-    clean = written(measured(fit, rules, keep=["text"]), "others").filter(~F.col("base_failed") & _prose(letters))
+    clean = written(measured(fit, rules, rules.common_words, keep=["text"]), "others").filter(~F.col("base_failed") & _prose())
     words = clean.select("lang", F.explode(words_of(F.col("row.text"))).alias("word")).filter(F.col("word").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     most = words.groupBy("lang", "word").count().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= OWN_WORDS)
-    named = most.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "word")))["word"].alias("own_words"))
-    return written(named, "frequent")
-
-
-def _own_bins() -> tuple[Column, Column]:
-    """Bins of classes, with one for letters without case, and of the language's own words."""
-    rest = len(CLASSES)
-    classes = F.concat(F.slice("classes", 1, rest), F.array("own_classes", F.col("classes")[rest] - F.col("own_classes")))
-    said = F.aggregate("own_counts", F.lit(0).cast("long"), lambda total, n: total + n)
-    return classes, F.concat("own_counts", F.array(F.col("n_words") - said))
-
-
-def own_references(counted: DataFrame) -> DataFrame:
-    """``lang`` and the shares of classes and words of each language that the rules do not list, a row each."""
-    classes, words = _own_bins()
-    known = counted.filter(F.col("own_classes").isNotNull() & ~F.col("base_failed") & _prose(F.col("own_classes")))
-    bins = known.select("lang", F.explode(F.array(
-        F.struct(F.lit("own_class").alias("kind"), classes.alias("bins")), F.struct(F.lit("own_word").alias("kind"), words.alias("bins")),
-    )).alias("of")).select("lang", "of.kind", F.posexplode("of.bins").alias("bin", "n"))
-    sums = bins.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).groupBy("lang", "kind")
-    shares = sums.agg(F.sort_array(F.collect_list(F.struct("bin", "n")))["n"].alias("n"), F.sum("n").alias("total"))
-    shares = shares.select("lang", "kind", F.transform("n", lambda n: n / F.col("total")).alias("share"))
-    return shares.groupBy("lang").pivot("kind", ["own_class", "own_word"]).agg(F.first("share"))
+    found: dict[str, list[str]] = {}
+    for row in most.orderBy("lang", "n").collect():
+        found.setdefault(row["lang"], []).append(row["word"])
+    return found
 
 
-def references(counted: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], list[float]]]:
+def references(counted: DataFrame, common_words: dict[str, list[str]]) -> dict[str, tuple[list[float], list[float]]]:
     """Per language the shares of character classes and of its common words, over all its documents that pass the
     base rules and look like prose (hardly a symbol, few capitals), so that junk does not shape its own measure. At
-    most one row per language of the rules comes to the driver."""
-    vocabulary = sorted({w for words in rules.common_words.values() for w in words})
+    most one row per language comes to the driver."""
+    vocabulary = _vocabulary(common_words)
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.col("counts")[i]).alias(f"w{i}") for i in range(len(vocabulary))]
-    known = counted.filter(~F.col("base_failed") & _prose() & F.col("lang").isin(sorted(rules.common_words)))
+    known = counted.filter(~F.col("base_failed") & _prose() & F.col("lang").isin(sorted(common_words)))
     found = {}
     for row in known.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
         classes = [row[f"c{i}"] for i in range(len(CLASSES) + 1)]
-        own = [row[f"w{vocabulary.index(w)}"] for w in rules.common_words[row["lang"]]]
+        own = [row[f"w{vocabulary.index(w)}"] for w in common_words[row["lang"]]]
         bins = [*own, row["n"] - sum(own)]
         found[row["lang"]] = ([c / sum(classes) for c in classes], [b / row["n"] for b in bins])
     return found
 
 
-def _distance(bins: Column, total: Column, reference: list[float] | Column) -> Column:
+def _distance(bins: Column, total: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance of counted bins from a reference, base 2."""
 
     def term(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
     shares = F.transform(bins, lambda n: n / total)
-    known = reference if isinstance(reference, Column) else F.array(*map(F.lit, reference))
-    terms = F.zip_with(shares, known, lambda p, q: term(p, q) + term(q, p))
+    terms = F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, q: term(p, q) + term(q, p))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
@@ -197,31 +175,23 @@ def judged(docs: DataFrame, rules: QualityRules | None = None, text: str = "text
     """``row``, the counts, ``base_failed``, the distances from the nearest reference (null where a guard leaves
     them out or there is no reference) and ``kept``."""
     rules = rules or QualityRules()
-    vocabulary = sorted({w for words in rules.common_words.values() for w in words})
-    frequent = frequent_words(docs, rules, text, lang)
-    counted = written(measured(docs, rules, text, lang, keep, frequent), "quality")
-    nearest = {"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")}
-    by_class, by_word, known, left = [], [], F.lit(False), []
-    if found := references(counted, rules):
-        known = F.coalesce(F.col("lang").isin(sorted(found)), F.lit(False))
-        by_class = [_distance(F.col("classes"), F.col("n_chars"), classes) for classes, _ in found.values()]
-        for language, (_, shares) in found.items():
-            own = [F.col("counts")[vocabulary.index(w)] for w in rules.common_words[language]]
-            bins = F.array(*own, F.col("n_words") - sum(own, F.lit(0)))
-            by_word.append(_distance(bins, F.col("n_words"), shares))
-    if frequent is not None:
-        counted = counted.join(own_references(counted), "lang", "left")
-        known = known | F.col("own_class").isNotNull()
-        classes, words = _own_bins()
-        measurable = F.col("own_class").isNotNull() & F.col("own_classes").isNotNull()
-        by_class.append(F.when(measurable, _distance(classes, F.col("n_chars"), F.col("own_class"))))
-        by_word.append(F.when(measurable, _distance(words, F.col("n_words"), F.col("own_word"))))
-        left = ["own_classes", "own_counts", "own_class", "own_word"]
-    if by_class:
-        least = lambda columns: F.array_min(F.array(*columns))
-        nearest["class_distance"] = F.when(known & (F.col("n_chars") >= rules.min_class_chars), least(by_class))
-        nearest["word_distance"] = F.when(known & (F.col("n_words") >= rules.min_distance_words), least(by_word))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (
-        F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance
-    )
-    return counted.withColumns(nearest).withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "classes", "counts", "n_chars", *left)
+    common_words = rules.common_words | frequent_words(docs, rules, text, lang)
+    vocabulary = _vocabulary(common_words)
+    counted = written(measured(docs, rules, common_words, text, lang, keep), "quality")
+    caseless = _class("caseless") > _class("body") + _class("upper")
+    by_class, by_word = [F.lit(None).cast("double")], [F.lit(None).cast("double")]
+    body, upper, letters = (list(CLASSES).index(name) for name in ("body", "upper", "caseless"))
+    for language, (classes, shares) in references(counted, common_words).items():
+        alike = caseless == F.lit(classes[letters] > classes[body] + classes[upper])
+        by_class.append(F.when(alike, _distance(F.col("classes"), F.col("n_chars"), classes)))
+        own = [F.col("counts")[vocabulary.index(w)] for w in common_words[language]]
+        bins = F.array(*own, F.col("n_words") - sum(own, F.lit(0)))
+        by_word.append(F.when(alike, _distance(bins, F.col("n_words"), shares)))
+    nearest = {
+        "class_distance": F.when(F.col("n_chars") >= rules.min_class_chars, F.array_min(F.array(*by_class))),
+        "word_distance": F.when(F.col("n_words") >= rules.min_distance_words, F.array_min(F.array(*by_word))),
+    }
+    strange = F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance
+    limit = F.when(strange, rules.max_strange_class_distance).otherwise(rules.max_class_distance)
+    far = F.coalesce("class_distance", F.lit(0.0)) > limit
+    return counted.withColumns(nearest).withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "classes", "counts", "n_chars")
