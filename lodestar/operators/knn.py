@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from lodestar.functions.geometry import Location, distance_to, plain_distance, usable
 from lodestar.operators.ordering import by_distance, first_rows, merges_directly
 from lodestar.operators.search import EXCLUDE_COORDS, without_query
+from lodestar.session import local_frame
 
 # Distance bands per doubling of the distance.
 BANDS = 8
 
+# So many neighbours may come to the driver.
+FEW = 10_000
+
 # Band of distance zero, below that of the smallest number.
 ZERO_BAND = -(1 << 20)
 
@@ -40,14 +44,20 @@ def nearest_rows(near: DataFrame, k: int) -> DataFrame:
 def knn_expanding(
     search: Callable[[float], DataFrame], k: int, first_radius: float, last_radius: float
 ) -> DataFrame:
-    """The k nearest points by range searches of growing radius.
+    """The k nearest points by range searches of growing radius, nearest first, ties by uid.
 
-    ``search(r)`` gives all neighbours within r, ``last_radius`` is one that covers everything. Each round is
+    ``search(r)`` gives all neighbours within r, ``last_radius`` is one that covers everything. A few neighbours come
+    to the driver straight away, and if the first radius held k they are the result: one job. Otherwise each round is
     one pruned aggregate; the final sort sees little more than k rows.
     """
     r = min(first_radius, last_radius)
     if k <= 0:
         return search(0.0).limit(0)
+    if k <= FEW:
+        near = search(r)
+        rows = [tuple(row) for row in by_distance(near).limit(k).collect()]
+        if len(rows) == k or r >= last_radius:
+            return local_frame(near.sparkSession, rows, near.schema)
     while True:
         near = search(r)
         bands = _bands(near)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.session import written
+from lodestar.sources.generators import fraction
 
 # One task may merge this many rows.
 MERGE_ROWS = 1_000_000
@@ -152,5 +153,5 @@ def one_per_distance(found: DataFrame) -> DataFrame:
 
 def sample_point(points: DataFrame, seed: int) -> DataFrame:
     """One point drawn at random, the same one for the same seed."""
-    draw = F.xxhash64(F.lit(seed), F.col("uid"))
+    draw = fraction(seed, "uid", F.lit("sample"))
     return points.orderBy(draw, "uid").limit(1)

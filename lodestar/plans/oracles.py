@@ -9,7 +9,9 @@ from lodestar.constants import (
     GEO_X_LOW,
     GEO_Y_HIGH,
     GEO_Y_LOW,
+    POINT_COUNT_ROW,
     PREVIEW_ROWS,
+    QUADRANT_ROW,
     RANDOM_PIVOT_DRAWS,
     RANDOM_PIVOT_POOL,
 )
@@ -206,7 +208,15 @@ ORACLES: dict[str, str] = {
         FROM events
         UNION ALL
         SELECT -event_id - 1, CAST(user_id AS DOUBLE), value, 11 FROM events WHERE event_type = 'purchase'""",
-    "latest_cells": _with([POINTS], f"SELECT {_NAMED} AS row, CAST(1 AS BIGINT) AS ts, x, y FROM p"),
+    "latest_cells": _with(
+        _CELLS,
+        f"""SELECT row, cf, cq, CAST(ts AS BIGINT) AS ts, CASE WHEN cq = 'POJO' THEN x END AS x, CASE WHEN cq = 'POJO' THEN y END AS y
+        FROM cells JOIN p ON row = {_NAMED}
+        UNION ALL SELECT pivot_id, 'PIVOT', 'POJO', 1, NULL, NULL FROM pivots
+        UNION ALL SELECT '{QUADRANT_ROW}', cf, cq, 1, NULL, NULL
+        FROM (VALUES ('UPPER', 'LEFT'), ('UPPER', 'RIGHT'), ('LOWER', 'RIGHT'), ('LOWER', 'LEFT'), ('CENTROID', 'POINT')) v(cf, cq)
+        UNION ALL SELECT '{POINT_COUNT_ROW}', 'DATASET', 'COUNT', 1, NULL, NULL""",
+    ),
     "write_pivots": _with(_PIVOTS, "SELECT pivot_id, ord, uid, x, y FROM pivots"),
     "read_pivots": _with(_PIVOTS, "SELECT pivot_id, ord, CAST(uid AS VARCHAR) AS uid, x, y FROM pivots"),
     "write_quadrants": _with(_QUADRANTS, _QUADRANT_ROWS),
@@ -366,7 +376,7 @@ ORACLES: dict[str, str] = {
         _NEAR, "SELECT uid, dist, row_number() OVER (ORDER BY dist, uid) - 1 AS position FROM near"
     ),
     "preview_neighbors": _with(_NEAR, f"SELECT uid, x, y, dist {_HITS} ORDER BY dist, uid LIMIT {PREVIEW_ROWS}"),
-    "sample_point": "SELECT CAST(count(*) > 0 AS BIGINT) AS drawn FROM events",
+    "sample_point": _with([POINTS], f"SELECT uid, x, y FROM p ORDER BY {_fraction('uid', 'sample')}, uid LIMIT 1"),
     "unique_points": _with([POINTS], "SELECT min(uid) AS uid, x, y FROM p GROUP BY x, y"),
     "distinct_distance": _with(
         _NEAR,

@@ -19,7 +19,7 @@ from lodestar.operators import hull, joins, lookup, ordering, pivots, quadrants,
 from lodestar.operators.knn import knn
 from lodestar.plans import postings, upkeep
 from lodestar.plans.index import LandmarkIndex, build_index
-from lodestar.session import local_frame, scratch_path, written
+from lodestar.session import local_frame, make_folder, rename, scratch_path, written
 from lodestar.sources import cells as cell_table
 from lodestar.sources import generators, tables, text, topics
 from lodestar.streaming import queries as streams
@@ -232,8 +232,8 @@ def upsert_points(given: Inputs) -> DataFrame:
 def latest_cells(given: Inputs) -> DataFrame:
     older = given.cells.withColumns({"ts": F.col("ts") - 1, "value": F.lit("{}")})
     newest = cell_table.latest_cells(given.cells.unionByName(older))
-    points = lookup.scan_column(newest, "POINT", "POJO").withColumn("p", codec.decode_point("value"))
-    return points.select("row", "ts", "p.x", "p.y")
+    point = F.when((F.col("cf") == "POINT") & (F.col("cq") == "POJO"), codec.decode_point("value"))
+    return newest.withColumn("p", point).select("row", "cf", "cq", "ts", "p.x", "p.y")
 
 
 @query
@@ -706,9 +706,7 @@ def preview_neighbors(given: Inputs) -> DataFrame:
 
 @query
 def sample_point(given: Inputs) -> DataFrame:
-    """A drawn point, checked to be one of the points."""
-    drawn = ordering.sample_point(given.points, SEED)
-    return drawn.join(given.points, ["uid", "x", "y"], "left_semi").agg(F.count("*").alias("drawn"))
+    return ordering.sample_point(given.points, SEED)
 
 
 @query
@@ -779,14 +777,17 @@ def stream_match_count(given: Inputs) -> DataFrame:
 
 @query
 def stream_stop_at_n(given: Inputs) -> DataFrame:
-    """Which batch brought the n-th match, and how many matches there were then. A batch is one of the files into
-    which the points are dealt by identifier, in order of arrival."""
+    """Which batch brought the n-th match, and how many matches there were then. The points are dealt into parts by
+    identifier in one pass, and a part arrives as a folder of files for each batch."""
     path = scratch_path(given.spark, "stop")
+    given.points.withColumn("part", F.pmod("uid", F.lit(STOP_FILES))).write.partitionBy("part").parquet(f"{path}/dealt")
+    make_folder(given.spark, f"{path}/points")
+    stream = given.spark.readStream.schema(given.points.schema).option("recursiveFileLookup", True).parquet(f"{path}/points")
     for part in range(STOP_FILES):
-        some = given.points.filter(F.pmod("uid", F.lit(STOP_FILES)) == part)
-        some.coalesce(1).write.mode("append").parquet(f"{path}/points")
-    stream = given.spark.readStream.schema(given.points.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/points")
-    report = streams.stream_stop_at_n(streams.stream_range(stream, given.q, RADIUS), STOP_AFTER, f"{path}/query")
+        rename(given.spark, f"{path}/dealt/part={part}", f"{path}/points/{part}")
+        report = streams.stream_stop_at_n(streams.stream_range(stream, given.q, RADIUS), STOP_AFTER, f"{path}/query")
+        if report.reached:
+            break
     row = (report.reached, report.batch_id, report.matches)
     return local_frame(given.spark, [row], "reached boolean, batch bigint, matches bigint")
 

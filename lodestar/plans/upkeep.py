@@ -23,7 +23,7 @@ from lodestar.functions.geometry import usable
 from lodestar.operators.pivots import Pivot
 from lodestar.operators.quadrants import plain_quadrants
 from lodestar.plans.index import ROWS_PER_FILE, Extent, LandmarkIndex, cell_in, opened_index, quadrant_sums, stored_files, stored_points
-from lodestar.session import written
+from lodestar.session import stored_path, written
 from lodestar.sources.versions import publish_version, read_version
 
 
@@ -146,8 +146,7 @@ def clean_index(spark: SparkSession, path: str) -> list[str]:
     if content["manifest"] is not None:
         needed.add(content["manifest"].split("/")[0])
         needed |= {row["file"].split("/")[0] for row in spark.read.parquet(f"{path}/{content['manifest']}").select("file").collect()}
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, files = stored_path(spark, path)
     old = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith(("build-", "change-"))]
     gone = [folder for folder in old if folder.getName() not in needed]
     for folder in gone:

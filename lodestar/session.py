@@ -65,11 +65,29 @@ def collecting() -> Iterator[list[str]]:
         _collectors.reset(before)
 
 
+def stored_path(spark: SparkSession, path: str):
+    """A path, and the file system that it is on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete intermediate tables before the session ends."""
     for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = stored_path(spark, path)
+        files.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target, files = stored_path(spark, path)
+    files.mkdirs(target)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder, if it is there, to a name that is free."""
+    place, files = stored_path(spark, source)
+    if files.exists(place) and not files.rename(place, stored_path(spark, target)[0]):
+        raise OSError(f"{source} could not be moved to {target}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

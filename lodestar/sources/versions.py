@@ -12,6 +12,8 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from lodestar.session import stored_path
+
 FOLDER = "versions"
 
 
@@ -19,15 +21,9 @@ class Conflict(RuntimeError):
     """Another writer published this version first."""
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(conf)
-
-
 def last_version(spark: SparkSession, path: str) -> int | None:
     """Number of the last version, or None."""
-    folder, files = _hadoop(spark, f"{path}/{FOLDER}")
+    folder, files = stored_path(spark, f"{path}/{FOLDER}")
     if not files.exists(folder):
         return None
     names = [status.getPath().getName() for status in files.listStatus(folder)]
@@ -45,11 +41,11 @@ def read_version(spark: SparkSession, path: str) -> tuple[int, dict]:
 def publish_version(spark: SparkSession, path: str, after: int | None, content: dict) -> int:
     """Make ``content`` the version that follows ``after`` (None: the first)."""
     number = 0 if after is None else after + 1
-    draft, files = _hadoop(spark, f"{path}/{FOLDER}/.{uuid.uuid4().hex}")
+    draft, files = stored_path(spark, f"{path}/{FOLDER}/.{uuid.uuid4().hex}")
     out = files.create(draft)
     out.write(bytearray(json.dumps(content).encode()))
     out.close()
-    final, _ = _hadoop(spark, f"{path}/{FOLDER}/{number:010d}")
+    final, _ = stored_path(spark, f"{path}/{FOLDER}/{number:010d}")
     context = spark.sparkContext
     hadoop = context._jvm.org.apache.hadoop.fs
     never = context._gateway.new_array(hadoop.Options.Rename, 0)
