@@ -15,7 +15,7 @@ from lodestar.constants import (
     RANDOM_PIVOT_DRAWS,
     RANDOM_PIVOT_POOL,
 )
-from lodestar.plans.registry import ASKED_EVERY, GREP_TERMS, JOIN_NEIGHBOURS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERM_SETS, TERMS, WIDE_RADIUS
+from lodestar.plans.registry import ASKED_EVERY, GREP_TERMS, JOIN_NEIGHBOURS, LIVE_DAYS, LIVE_RADIUS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERM_SETS, TERMS, WIDE_RADIUS
 from lodestar.sources.generators import FRACTION_BITS, FRACTION_DIGITS
 
 # Building blocks. Each names those it needs, in order.
@@ -413,5 +413,19 @@ ORACLES: dict[str, str] = {
         f"SELECT matches >= {STOP_AFTER} AS reached, batch, matches FROM seen JOIN halt USING (batch)",
     ),
     "stream_knn": _with(_NEAR, _NEAREST),
+    "stream_metrics": _with(
+        _NEAR,
+        f"""SELECT uid % {STOP_FILES} AS batch, count(*) AS points, count(*) FILTER (dist <= {RADIUS} AND NOT is_query) AS matches
+        FROM near GROUP BY batch""",
+    ),
+    "stream_window_hits": _with(_NEAR, f"SELECT date_trunc('hour', ts) AS start, count(*) AS matches {_HITS} GROUP BY 1").replace("FROM near", "FROM near JOIN events ON event_id = uid"),
+    "stream_live_knn": _with(
+        [
+            "p AS (SELECT event_id AS uid, ts, CAST(user_id AS DOUBLE) AS x, value AS y FROM events)",
+            f"asked AS (SELECT uid AS query_id, ts AS since, ts + INTERVAL {LIVE_DAYS} DAY AS until, x AS qx, y AS qy FROM p WHERE uid % {ASKED_EVERY} = 0)",
+        ],
+        f"""SELECT query_id, uid, x, y, {_APART} AS dist, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_APART}, uid) AS INTEGER) AS rank
+        FROM p, asked WHERE ts >= since AND ts < until AND (x <> qx OR y <> qy) AND {_APART} <= {LIVE_RADIUS} QUALIFY rank <= {JOIN_NEIGHBOURS}""",
+    ),
     "stream_timing": "SELECT count(*) AS rows FROM events",
 }

@@ -6,7 +6,7 @@ cells made from it, are built once per session and folder and then shared by the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,7 @@ from lodestar.plans.index import LandmarkIndex, build_index
 from lodestar.session import local_frame, make_folder, rename, scratch_path, written
 from lodestar.sources import cells as cell_table
 from lodestar.sources import generators, tables, text, topics
+from lodestar.streaming import live
 from lodestar.streaming import queries as streams
 
 # The query point, radii and counts used throughout; the oracle statements use the same.
@@ -31,6 +32,8 @@ WIDE_RADIUS = 250.0
 NEIGHBOURS = 100
 ASKED_EVERY = 100
 JOIN_NEIGHBOURS = 10
+LIVE_RADIUS = 8.0
+LIVE_DAYS = 3
 SEED = 7
 STOP_AFTER = 100
 STOP_FILES = 8
@@ -117,6 +120,12 @@ class Inputs:
         reader = self.spark.readStream.schema(self.events.schema).option("pathGlobFilter", "events.parquet")
         return as_points(reader.parquet(self.folder))
 
+    @property
+    def timed_stream(self) -> DataFrame:
+        """The same with the time of each event."""
+        reader = self.spark.readStream.schema(self.events.schema).option("pathGlobFilter", "events.parquet")
+        return as_timed_points(reader.parquet(self.folder))
+
     @property
     def messages(self) -> DataFrame:
         return streams.stream_decode(topics.stream_messages(self.spark, {"path": self.topic}))
@@ -135,6 +144,11 @@ def as_points(events: DataFrame) -> DataFrame:
     )
 
 
+def as_timed_points(events: DataFrame) -> DataFrame:
+    """Points with their time. Tables hold times without a zone, streams need one: it is the session's."""
+    return events.select(F.col("event_id").alias("uid"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))
+
+
 _inputs: dict[tuple[str, str], Inputs] = {}
 
 
@@ -775,16 +789,22 @@ def stream_match_count(given: Inputs) -> DataFrame:
     return given.spark.read.schema(counts.schema).parquet(f"{path}/out")
 
 
-@query
-def stream_stop_at_n(given: Inputs) -> DataFrame:
-    """Which batch brought the n-th match, and how many matches there were then. The points are dealt into parts by
-    identifier in one pass, and a part arrives as a folder of files for each batch."""
-    path = scratch_path(given.spark, "stop")
+def _arriving(given: Inputs, path: str) -> Iterator[DataFrame]:
+    """A stream of the points to which a part is added before each time it is yielded."""
     given.points.withColumn("part", F.pmod("uid", F.lit(STOP_FILES))).write.partitionBy("part").parquet(f"{path}/dealt")
     make_folder(given.spark, f"{path}/points")
     stream = given.spark.readStream.schema(given.points.schema).option("recursiveFileLookup", True).parquet(f"{path}/points")
     for part in range(STOP_FILES):
         rename(given.spark, f"{path}/dealt/part={part}", f"{path}/points/{part}")
+        yield stream
+
+
+@query
+def stream_stop_at_n(given: Inputs) -> DataFrame:
+    """Which batch brought the n-th match, and how many matches there were then. The points are dealt into parts by
+    identifier in one pass, and a part arrives for each batch."""
+    path = scratch_path(given.spark, "stop")
+    for stream in _arriving(given, path):
         report = streams.stream_stop_at_n(streams.stream_range(stream, given.q, RADIUS), STOP_AFTER, f"{path}/query")
         if report.reached:
             break
@@ -799,6 +819,47 @@ def stream_knn(given: Inputs) -> DataFrame:
     return streams.knn_result(given.stream, path)
 
 
+@query
+def stream_metrics(given: Inputs) -> DataFrame:
+    """Points and matches of every batch, counted inside the query."""
+    path, found = scratch_path(given.spark, "stream-metrics"), []
+    for stream in _arriving(given, path):
+        writer = streams.observed(stream, given.q, RADIUS).writeStream.format("noop")
+        running = writer.option("checkpointLocation", f"{path}/query").trigger(availableNow=True).start()
+        running.awaitTermination()
+        found += streams.batch_metrics(running)
+    return local_frame(given.spark, found, "batch bigint, points bigint, matches bigint")
+
+
+@query
+def stream_window_hits(given: Inputs) -> DataFrame:
+    """Matches per hour."""
+    path = scratch_path(given.spark, "stream-windows")
+    streams.stream_window_hits(given.timed_stream, given.q, RADIUS, "1 hour", "1 day", path).awaitTermination()
+    return streams.window_result(given.spark, path).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query
+def stream_live_knn(given: Inputs) -> DataFrame:
+    """Nearest points of many queries that live for some days each."""
+    path = scratch_path(given.spark, "stream-live")
+    asked = as_timed_points(given.events).filter(F.pmod("uid", F.lit(ASKED_EVERY)) == 0)
+    asked = asked.select(
+        F.col("uid").alias("query_id"), "ts", (F.col("ts") + F.expr(f"INTERVAL {LIVE_DAYS} DAYS")).alias("until"), "x", "y",
+        F.lit(LIVE_RADIUS).alias("r"), F.lit(JOIN_NEIGHBOURS).alias("k"),
+    )
+    asked.write.parquet(f"{path}/queries")
+    queries = given.spark.readStream.schema(asked.schema).parquet(f"{path}/queries")
+    make_folder(given.spark, f"{path}/ticks")
+    ticks = given.spark.readStream.schema(given.timed_stream.schema).parquet(f"{path}/ticks")
+    for year in (2100, 2101):  # time goes on until all queries have expired
+        tick = given.spark.sql(f"SELECT -1L AS uid, TIMESTAMP'{year}-01-01' AS ts, 0D AS x, 0D AS y")
+        tick.write.mode("append").parquet(f"{path}/ticks")
+        points = given.timed_stream.unionByName(ticks)
+        live.stream_live_knn(points, queries, LIVE_RADIUS, "1 day", f"{path}/query").awaitTermination()
+    return live.live_result(given.spark, f"{path}/query")
+
+
 @query
 def stream_timing(given: Inputs) -> DataFrame:
     """Rows that a range search over the stream took in."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,6 +61,66 @@ def stream_match_count(found: DataFrame, query_id: str) -> DataFrame:
     return found.groupBy(F.lit(query_id).alias("query_id")).agg(F.count("*").alias("matches"))
 
 
+WINDOW_SCHEMA = "start timestamp, matches bigint"
+
+
+def stream_window_hits(points: DataFrame, q: Location, r: float, width: str, delay: str, path: str, exclude: str = EXCLUDE_COORDS, **trigger) -> StreamingQuery:
+    """Neighbours within r per window of event time ``ts``. Read the counts with ``window_result``.
+
+    Every batch adds to the windows it touches; Spark keeps a sum per open window. A window is closed when the watermark, the
+    latest time seen less ``delay``, has passed its end: rows for it that come later are dropped, and counted by
+    ``late_rows``. Rows without a time count nowhere.
+    """
+    state = BatchState(points.sparkSession, f"{path}/windows", WINDOW_SCHEMA)
+    near = without_query(refine(points.filter(box_bound(q, r) & F.col("ts").isNotNull()), q, r), q, exclude)
+    counts = near.withWatermark("ts", delay).groupBy(F.window("ts", width)).agg(F.count("*").alias("matches"))
+    counts = counts.select("window.start", "matches")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        # Counts of a window only grow, so the greatest is the last one, also when a batch is run again.
+        merged = state.before(batch_id).unionByName(batch).groupBy("start").agg(F.max("matches").alias("matches"))
+        state.save(merged, batch_id)
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def window_result(spark: SparkSession, path: str) -> DataFrame:
+    """``(start, matches)`` after the last finished batch."""
+    return BatchState(spark, f"{path}/windows", WINDOW_SCHEMA).latest()
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their window was closed, as far as the query's recent batches say."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def observed(points: DataFrame, q: Location, r: float, exclude: str = EXCLUDE_COORDS) -> DataFrame:
+    """``stream_range`` that counts, inside the query, the points it takes in and the neighbours it finds."""
+    taken = points.observe("points", F.count("*").alias("n"))
+    return stream_range(taken, q, r, exclude).observe("matches", F.count("*").alias("n"))
+
+
+def batch_metrics(query: StreamingQuery) -> list[tuple[int, int, int]]:
+    """``(batch, points, matches)`` of the recent batches of an observed query that had points."""
+    found = []
+    for progress in query.recentProgress:
+        counts = progress["observedMetrics"]
+        if counts and counts["points"]["n"]:
+            found.append((progress["batchId"], counts["points"]["n"], counts["matches"]["n"]))
+    return found
+
+
+def nth_match(metrics: list[tuple[int, int, int]], n: int) -> int | None:
+    """The batch that brought the n-th match."""
+    total = 0
+    for batch, _, matches in metrics:
+        total += matches
+        if total >= n:
+            return batch
+    return None
+
+
 @dataclass
 class StopReport:
     """When the n-th match arrived, or how many came in all if it did not."""
