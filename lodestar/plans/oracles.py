@@ -306,6 +306,20 @@ ORACLES: dict[str, str] = {
     "quadrant_density": _with(_QUADRANTS, _QUADRANT_ROWS),
     "closest_pivot": _with(_CLOSEST, "SELECT uid, pivot_id AS closest_pivot, dist AS dp_closest FROM closest"),
     "match_count": _with(_NEAR, f"SELECT count(*) AS matches {_HITS}"),
+    "group_hulls": """
+        WITH p AS (SELECT event_type AS g, CAST(user_id AS DOUBLE) AS x, value AS y FROM events),
+        o AS (SELECT DISTINCT g, x, y FROM (SELECT g, x, min(y) AS y FROM p GROUP BY g, x UNION ALL SELECT g, x, max(y) FROM p GROUP BY g, x))
+        SELECT DISTINCT a.g AS event_type, a.x, a.y
+        FROM o a JOIN o b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y)
+        WHERE NOT EXISTS (
+            SELECT 1 FROM o c
+            WHERE c.g = a.g AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+            OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
+                AND NOT (c.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND c.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)))))""",
+    "group_diameters": """
+        WITH p AS (SELECT DISTINCT user_id AS g, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS x, value AS y FROM events)
+        SELECT a.g AS user_id, max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS diameter
+        FROM p a JOIN p b ON a.g = b.g GROUP BY a.g""",
     # Index
     "sss_pivots": _with(_PIVOTS, "SELECT pivot_id, ord, uid, x, y FROM pivots"),
     "random_pivots": _with(

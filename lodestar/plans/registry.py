@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.constants import PREVIEW_ROWS
 from lodestar.functions import codec, geometry, keys
 from lodestar.functions.geometry import Location
-from lodestar.operators import hull, joins, lookup, ordering, pivots, quadrants, search
+from lodestar.operators import group_hull, hull, joins, lookup, ordering, pivots, quadrants, search
 from lodestar.operators.knn import knn
 from lodestar.plans import postings, upkeep
 from lodestar.plans.index import LandmarkIndex, build_index
@@ -562,6 +562,22 @@ def match_count(given: Inputs) -> DataFrame:
     return search.match_count(given.index.range_query(given.q, RADIUS, ordered=False))
 
 
+@query
+def group_hulls(given: Inputs) -> DataFrame:
+    """Vertices of the hull of each kind of event."""
+    points = given.events.select("event_type", F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))
+    edges = group_hull.group_hulls(points, ["event_type"])
+    return edges.select("event_type", F.col("ax").alias("x"), F.col("ay").alias("y"))
+
+
+@query
+def group_diameters(given: Inputs) -> DataFrame:
+    """Largest distance within each user's events, by minute of the day and value."""
+    minute = (F.hour("ts") * 60 + F.minute("ts")).cast("double")
+    points = given.events.select("user_id", minute.alias("x"), F.col("value").alias("y"))
+    return group_hull.group_diameters(group_hull.group_hulls(points, ["user_id"]), ["user_id"])
+
+
 # Index
 
 
