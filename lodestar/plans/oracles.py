@@ -15,7 +15,7 @@ from lodestar.constants import (
     RANDOM_PIVOT_DRAWS,
     RANDOM_PIVOT_POOL,
 )
-from lodestar.plans.registry import ASKED_EVERY, GREP_TERMS, JOIN_NEIGHBOURS, LIVE_DAYS, LIVE_RADIUS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERM_SETS, TERMS, WIDE_RADIUS
+from lodestar.plans.registry import ASKED_EVERY, GREP_TERMS, JOIN_NEIGHBOURS, LIVE_DAYS, LIVE_RADIUS, NEIGHBOURS, QUERY_UID, RADIUS, SEED, STOP_AFTER, STOP_FILES, TERM_SETS, TERMS, VECTOR_RADIUS, WIDE_RADIUS
 from lodestar.sources.generators import FRACTION_BITS, FRACTION_DIGITS
 
 # Building blocks. Each names those it needs, in order.
@@ -176,6 +176,9 @@ _NEAREST = f"SELECT uid, x, y, dist FROM near WHERE NOT is_query ORDER BY dist,
 _QUADRANT_ROWS = "SELECT name, round(area, 6) AS area, n, round(density, 6) AS density FROM quadrants"
 _START = f"sqrt({NEIGHBOURS} / (density * pi()))"
 
+_VECTORS = f"""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {QUERY_UID}),
+    m AS (SELECT vec_id AS uid, sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM embeddings, q) """
+
 _APART = "sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy))"
 
 ORACLES: dict[str, str] = {
@@ -381,6 +384,8 @@ ORACLES: dict[str, str] = {
         f"""SELECT query_id, uid, x, y, {_APART} AS dist, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_APART}, uid) AS INTEGER) AS rank
         FROM p, asked WHERE x <> qx OR y <> qy QUALIFY rank <= {JOIN_NEIGHBOURS}""",
     ),
+    "vector_range": _VECTORS + f"SELECT uid, round(d, 6) AS dist FROM m WHERE d <= {VECTOR_RADIUS}",
+    "vector_knn": _VECTORS + f"SELECT uid, round(d, 6) AS dist FROM m ORDER BY d, uid LIMIT {NEIGHBOURS}",
     # Order and sets
     "sort_xy": _with(
         [POINTS, "gaps AS (SELECT CASE WHEN uid % 11 <> 0 THEN x END AS x, CASE WHEN uid % 7 <> 0 THEN y END AS y FROM p)"],

@@ -17,7 +17,7 @@ from lodestar.functions import codec, geometry, keys
 from lodestar.functions.geometry import Location
 from lodestar.operators import group_hull, hull, joins, lookup, ordering, pivots, quadrants, search
 from lodestar.operators.knn import knn
-from lodestar.plans import postings, upkeep
+from lodestar.plans import metric, postings, upkeep
 from lodestar.plans.index import LandmarkIndex, build_index
 from lodestar.session import local_frame, make_folder, rename, scratch_path, written
 from lodestar.sources import cells as cell_table
@@ -32,6 +32,8 @@ WIDE_RADIUS = 250.0
 NEIGHBOURS = 100
 ASKED_EVERY = 100
 JOIN_NEIGHBOURS = 10
+VECTOR_RADIUS = 1.2
+VECTOR_SPACING = 1.3
 LIVE_RADIUS = 8.0
 LIVE_DAYS = 3
 SEED = 7
@@ -70,6 +72,10 @@ class Inputs:
     def index(self) -> LandmarkIndex:
         return build_index(self.points, scratch_path(self.spark, "index"))
 
+    @cached_property
+    def vector_index(self) -> metric.VectorIndex:
+        return metric.build_vector_index(_vectors(self), scratch_path(self.spark, "vectors"), VECTOR_SPACING)
+
     @cached_property
     def edges(self) -> DataFrame:
         return hull.convex_hull(self.points)
@@ -713,6 +719,27 @@ def knn_join(given: Inputs) -> DataFrame:
     return joins.knn_join(given.points, _asked(given).drop("r").union(far), JOIN_NEIGHBOURS)
 
 
+# Vectors
+
+
+def _vectors(given: Inputs) -> DataFrame:
+    return given.table("embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
+
+
+@query
+def vector_range(given: Inputs) -> DataFrame:
+    """Vectors within a distance of one of them, by an index over all of them."""
+    index, q = given.vector_index, _vectors(given).filter(F.col("uid") == QUERY_UID).first()["vector"]
+    return _rounded(index.range_query(q, VECTOR_RADIUS), "dist")
+
+
+@query
+def vector_knn(given: Inputs) -> DataFrame:
+    """The nearest vectors of one of them, by the same index."""
+    q = _vectors(given).filter(F.col("uid") == QUERY_UID).first()["vector"]
+    return _rounded(given.vector_index.knn(q, NEIGHBOURS), "dist")
+
+
 # Order and sets
 
 
