@@ -6,6 +6,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ ROWS_PER_FILE = 2_000_000
 # Bits per axis of the cell number that orders the stored points.
 CELL_BITS = 24
 
+# Level of the finest cells whose points an index counts: 4 ** 6 cells at most.
+PYRAMID_LEVEL = 6
+
 
 @dataclass(frozen=True)
 class Extent:
@@ -77,6 +81,42 @@ def measure(points: DataFrame, found: Extremes | None = None) -> Extent | None:
     )
 
 
+@dataclass(frozen=True)
+class Pyramid:
+    """Counts of points in the cells of a grid over the box, ``2 ** level`` a side. Coarser cells are sums of four."""
+
+    box: tuple[float, float, float, float]
+    level: int
+    cells: tuple[tuple[int, int, int], ...]
+
+    def radius(self, q: Location, k: int) -> float | None:
+        """A radius around q that holds k points, or None when there are fewer.
+
+        From the finest level on it looks at q's cell and the eight around it; when they hold k points, it is the
+        distance to their farthest corner.
+        """
+        counts = np.array(self.cells, np.int64).reshape(-1, 3)
+        ends = ((self.box[0], self.box[1]), (self.box[2], self.box[3]))
+        for level in range(self.level, -1, -1):
+            near, reach = np.ones(len(counts), bool), []
+            for axis, (at, (low, high)) in enumerate(zip(q, ends, strict=True)):
+                share = (1 << CELL_BITS - level) / ((1 << CELL_BITS) - 1) * (high - low)
+                own = min(max(math.floor((at - low) / share), 0), (1 << level) - 1) if share > 0 else 0
+                near &= np.abs((counts[:, axis] >> self.level - level) - own) <= 1
+                reach.append(max(abs(at - low - (own - 1) * share), abs(low + (own + 2) * share - at)))
+            if counts[near, 2].sum() >= k:
+                return math.hypot(*reach) * (1 + 1e-9)
+        return None
+
+
+def count_cells(points: DataFrame, box: list[float], level: int = PYRAMID_LEVEL) -> list[list[int]]:
+    """``[x cell, y cell, points]`` of the cells that are not empty: at most ``4 ** level`` rows come to the driver."""
+    last, size = (1 << CELL_BITS) - 1, CELL_BITS - level
+    axes = [F.shiftright(_axis(name, low, high, last), size) for name, low, high in (("x", *box[:2]), ("y", *box[2:]))]
+    rows = points.groupBy(axes[0].alias("cx"), axes[1].alias("cy")).agg(F.count("*").alias("n")).collect()
+    return sorted([row["cx"], row["cy"], row["n"]] for row in rows)
+
+
 @dataclass(frozen=True)
 class LandmarkIndex:
     """Stored points ``uid, x, y, dp_0.., dp_closest, closest_ord, closest_pivot, quadrant`` and their summary."""
@@ -87,6 +127,8 @@ class LandmarkIndex:
     quadrants: dict[str, dict]
     #: Whether every point is nearer than the spacing to a pivot; updates may add points that are not.
     covered: bool = True
+    #: Counts of points by cell, as of the build.
+    pyramid: Pyramid | None = None
 
     def range_query(self, q: Location, r: float, pivot_bounds: bool = False, **options) -> DataFrame:
         """Exact range search. The points stand in cell order, so the box around the disc skips what there is to
@@ -97,11 +139,13 @@ class LandmarkIndex:
         return search.certain_hits(self.points, self.pivots, q, r)
 
     def knn(self, q: Location, k: int, **options) -> DataFrame:
-        """k nearest neighbours, starting from the radius that the density around q suggests."""
+        """k nearest neighbours, starting from a radius that the counts around q say holds k points. (One more is
+        asked for, since the point at q itself does not count.)"""
+        counted = self.pyramid.radius(q, k + 1) if self.pyramid else None
         return nearest_neighbours.knn_expanding(
             lambda r: self.range_query(q, r, ordered=False, **options),
             k,
-            self.initial_range(q, k) * FIRST_STEP,
+            self.initial_range(q, k) * FIRST_STEP if counted is None else counted,
             nearest_neighbours.covering_radius(self.extent.corners, q),
         )
 
@@ -160,13 +204,15 @@ def build_index(
     counts = Observation()
     stored = stored_points(placed, pivots, extent.centre, build, partitions or math.ceil(extent.n / rows_per_file))
     stored.observe(counts, *quadrant_sums()).write.parquet(f"{path}/{folder}")
+    box = [extent.min_x, extent.max_x, extent.min_y, extent.max_y]
     content = {
         "build": build,
         "points": folder,
         "manifest": None,
         "order_by": order_by,
         "alpha": alpha,
-        "box": [extent.min_x, extent.max_x, extent.min_y, extent.max_y],
+        "box": box,
+        "pyramid": count_cells(spark.read.parquet(f"{path}/{folder}"), box),
         "extent": asdict(extent),
         "pivots": [list(p) for p in pivots],
         "quadrants": plain_quadrants(counts.get, extent),
@@ -228,7 +274,8 @@ def opened_index(spark: SparkSession, path: str, content: dict) -> LandmarkIndex
     if len(builds) > 1:
         raise ValueError(f"the parts of {path} come from different builds: {builds}")
     pivots = [Pivot(*row) for row in content["pivots"]]
-    return LandmarkIndex(points.drop(BUILD), pivots, Extent(**content["extent"]), content["quadrants"], content["covered"])
+    pyramid = Pyramid(tuple(content["box"]), PYRAMID_LEVEL, tuple(map(tuple, content["pyramid"])))
+    return LandmarkIndex(points.drop(BUILD), pivots, Extent(**content["extent"]), content["quadrants"], content["covered"], pyramid)
 
 
 def _quadrants_frame(spark: SparkSession, quadrants: dict[str, dict]) -> DataFrame:
@@ -243,14 +290,14 @@ def cell_of(extent: Extent) -> Column:
 
 def cell_in(min_x: float, max_x: float, min_y: float, max_y: float) -> Column:
     last = (1 << CELL_BITS) - 1
+    return _spread(_axis("x", min_x, max_x, last)).bitwiseOR(F.shiftleft(_spread(_axis("y", min_y, max_y, last)), 1))
 
-    def axis(name: str, low: float, high: float) -> Column:
-        if not (high > low and math.isfinite(high - low)):
-            return F.lit(0).cast("long")
-        place = F.floor((F.col(name) - low) / (high - low) * last).cast("long")
-        return F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), place))
 
-    return _spread(axis("x", min_x, max_x)).bitwiseOR(F.shiftleft(_spread(axis("y", min_y, max_y)), 1))
+def _axis(name: str, low: float, high: float, last: int) -> Column:
+    if not (high > low and math.isfinite(high - low)):
+        return F.lit(0).cast("long")
+    place = F.floor((F.col(name) - low) / (high - low) * last).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), place))
 
 
 def _spread(bits: Column) -> Column:

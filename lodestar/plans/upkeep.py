@@ -5,7 +5,7 @@ files that hold a changed point or that own the cell of a new one; all others st
 manifest of a change are new, and a new version of the index names them at the end: readers go on with the old version until
 then, and a change that fails leaves it. Of two changes that begin with the same version, the second to end is refused.
 
-Pivots, centre and the grid of cells stay those of the build. Searches are exact with any pivots and any box; what can
+Pivots, centre, the grid of cells and the counts by cell stay those of the build. Searches are exact with any pivots and any box; what can
 suffer is how much is skipped. ``covered`` of the index says whether every point is still nearer than the spacing to
 a pivot, as a build would have it; when it is not, or after very many changes, build again.
 """

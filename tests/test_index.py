@@ -178,3 +178,22 @@ def test_missing_stored_distance_stops(spark):
     assert pivots.lookup_pivot_distance(pairs.limit(1), stored).first()["dist"] == 2.5
     with pytest.raises(Exception, match="no stored distance"):
         pivots.lookup_pivot_distance(pairs, stored).collect()
+
+
+def test_the_pyramid_gives_one_round_on_skewed_data(spark, monkeypatch):
+    """Half of the points in a corner, at a density that no quadrant shows."""
+    places = [(i % 30 / 100, i // 30 / 100) for i in range(900)] + scattered(900, 77)
+    index = build_index(frame(spark, places), scratch_path(spark, "skewed"))
+    assert sum(n for _, _, n in index.pyramid.cells) == len(places)
+    searches = []
+    real = search.within
+    monkeypatch.setattr(search, "within", lambda *args: searches.append(args) or real(*args))
+    for q in (Location(0.1, 0.1), Location(-20.0, 40.0), Location(900.0, 3.0)):
+        for k in (1, 40, 1500):
+            searches.clear()
+            rows = index.knn(q, k).collect()
+            assert [(row["dist"], row["uid"]) for row in rows] == brute_range(places, q, math.inf)[:k]
+            assert len(searches) == 1, (q, k)
+    quadrant_only = index.initial_range(Location(0.1, 0.1), 40)
+    assert index.pyramid.radius(Location(0.1, 0.1), 40) < quadrant_only
+    assert index.pyramid.radius(Location(0.0, 0.0), 1801) is None
