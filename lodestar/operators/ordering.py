@@ -70,8 +70,14 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
 
 
 def merges_directly(df: DataFrame, n: int) -> bool:
-    """Whether one task may merge the first n rows of every task."""
-    return n * max(1, df.rdd.getNumPartitions()) <= MERGE_ROWS
+    """Whether one task may merge the first n rows of every task. The rows are the same either way.
+
+    The number of tasks is taken from what Spark expects the plan to produce, so nothing is run to find it out.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(str(plan.stats().sizeInBytes())) // split + 1)
+    return n * tasks <= MERGE_ROWS
 
 
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:

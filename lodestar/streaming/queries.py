@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.functions.codec import decode_point
+from lodestar.functions.codec import decode_point, readable_point
 from lodestar.functions.geometry import Location, distance_to, plain_distance, usable
 from lodestar.operators.knn import nearest_rows
 from lodestar.operators.pivots import Pivot, nearest
@@ -20,13 +20,20 @@ from lodestar.streaming.state import BatchState
 NEIGHBOUR_SCHEMA = "uid {uid}, x double, y double, dist double"
 
 
-def stream_decode(messages: DataFrame) -> DataFrame:
-    """Points ``(uid, x, y, distances)`` out of JSON messages."""
+def stream_decode(messages: DataFrame, skip_unreadable: bool = False) -> DataFrame:
+    """Points ``(uid, x, y, distances)`` out of JSON messages. A broken message stops the query, unless it is to be
+    skipped; ``unreadable`` gives those that are, to be stored elsewhere."""
+    messages = messages.filter(readable_point("value")) if skip_unreadable else messages
     return messages.select(decode_point("value").alias("p")).select(
         F.col("p.UID").alias("uid"), "p.x", "p.y", F.col("p.distancesToPivot").alias("distances")
     )
 
 
+def unreadable(messages: DataFrame) -> DataFrame:
+    """Messages that are no point with both coordinates."""
+    return messages.filter(~F.coalesce(readable_point("value"), F.lit(False)))
+
+
 def point_pivot_distance(pivot_id: str | Column, distances: str = "distances") -> Column:
     """The stored distance to one pivot. A point that carries none stops the job instead of counting as 0."""
     key = F.lit(pivot_id) if isinstance(pivot_id, str) else pivot_id

@@ -108,3 +108,10 @@ def test_metrics_of_batches(spark, tmp_path):
     assert [(p, m) for _, p, m in found] == [(2, 1), (1, 0), (2, 2)]
     batches = [b for b, _, _ in found]
     assert [streams.nth_match(found, n) for n in (1, 2, 3, 4)] == [batches[0], batches[2], batches[2], None]
+
+
+def test_broken_messages_can_be_skipped(spark):
+    rows = [('{"x":1.0,"y":2.0,"UID":"a"}',), ("{broken",), ('{"x":1.0}',), (None,)]
+    messages = spark.createDataFrame(rows, "value string")
+    assert [(r["uid"], r["x"], r["y"]) for r in streams.stream_decode(messages, skip_unreadable=True).collect()] == [("a", 1.0, 2.0)]
+    assert [r["value"] for r in streams.unreadable(messages).collect()] == [rows[1][0], rows[2][0], None]
