@@ -43,6 +43,9 @@ SHARD = 32_768
 #: First width of the beams; vectors of a unit compared by brute force, and the share of links that must be found.
 BEAM, AUDITED, AUDIT_RECALL = 24, 256, 0.99
 
+#: Tasks that share the units, if there are so many.
+MOST_TASKS = 20_000
+
 #: Angles are taken to be this inexact.
 INEXACT = 1e-6
 
@@ -217,7 +220,7 @@ def linked(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embe
     graphs = dealt.groupBy("size", "shard").applyInArrow(lambda key, table: _graph_row(key, table, dtype, limits), GRAPHS_DDL)
     graphs = written(graphs, "graphs")
 
-    units = shards.agg(F.sum(F.col("shards").cast("long") * F.col("shards"))).first()[0] or 1
+    units = min(MOST_TASKS, shards.agg(F.sum(F.col("shards").cast("long") * F.col("shards"))).first()[0] or 1)
     blocks = graphs.select("size", F.col("shard").alias("block"), *[F.col(c).alias(f"block_{c}") for c in ("at", "id", "vectors")])
     asked = blocks.join(shards, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     asked = asked.join(graphs, ["size", "shard"]).repartition(units, "size", "block", "shard")
