@@ -1,42 +1,50 @@
-"""Main text of pages, by differencing each page with its nearest neighbour.
+"""Main text of pages, by differencing each page with the pages next to it.
+
+A page is parsed into blocks of text. Within each host, pages stand in order of their path, and a page's neighbours are
+the ``NEAR`` pages before it and after it. Its blocks are aligned with each neighbour's by longest common subsequence;
+a block's support is how many neighbours share it. Shared blocks are deleted: menus, notices and footers repeat from page
+to page, articles do not.
+
+Menus also differ from page to page, and articles quote each other, so the place of a block in the markup (the elements
+around it) weighs in. Where a good part of what stands at a place, on the page and its neighbours, is repeated, all of
+the place goes; where hardly anything is, only blocks go that most neighbours share. If no text would be left, shared
+blocks alone decide, and a page that shares all of them is a copy and keeps them.
 
-A page is parsed into blocks of text. Within each host, pages stand in order of their path, and a page is paired with
-the neighbour whose path agrees with its own for longest. The blocks of both are aligned by longest common
-subsequence, and shared ones are deleted: menus, notices and footers repeat from page to page, articles do not.
 What the markup itself says comes on top. Blocks of navigation, adverts, forms, comments and the like go even if no
-neighbour shares them, and where a page has an article or main element, nothing outside it belongs to the text. An
-article element is text as it stands: pages quote and copy each other. Of what lies in a main element beside articles, a
-block goes if the main texts of both neighbours have it; the first and last page of a host have one neighbour, and lose
-only what it shares at the beginning and end. Where that would take half of the characters or more, the pages are
-copies, and all of it stays.
+neighbour shares them, and where a page has an article or main element, nothing outside it belongs to the text. Inside,
+a block goes if most neighbours' main texts have it; for one in an article element, which pages quote and copy as it
+stands, that takes three quarters of eight neighbours or more. A page with a single neighbour loses only what it shares
+at the beginning and end. Where that would take half of the characters or more, the pages are copies, and all of it stays.
 
-Pages of a host may be a third of all: they are range-partitioned by host and path, and the two pages at each cut are
-lent to the other side, so every page sees its true neighbours and no host meets in one task.
+Pages of a host may be a third of all: pages are numbered in order of host and path and dealt into units of ``UNIT``
+pages, and those at each cut are lent to the other side, so every page sees its true neighbours, no host meets in one
+task, and a task holds one window of pages at a time.
 
 Defined results: null and empty html has no text; a null url has an empty host and path, like any url without ``://``,
 and such pages are neighbours of each other; pages with equal urls are neighbours of each other; rows with equal url
-and html are one page, and each gets its text; where a page without an article shares all its blocks with the
-neighbour, it is a copy, and they stay; an empty table gives no rows; other columns pass through in ``row``.
+and html are one page, and each gets its text; an empty table gives no rows; other columns pass through in ``row``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Sequence
+from collections import Counter, deque
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 from html import unescape
-from os.path import commonprefix
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.common import with_row
 from lodestar.llm.urls import host_and_path
-from lodestar.session import written
+from lodestar.operators.ordering import ranked
 
 # Elements by what they mean for the text.
 BLOCKS = frozenset(
@@ -72,6 +80,15 @@ NAME = re.compile(r"[a-z0-9]+")
 #: A page by its content: equal rows are one page.
 PAGE = ["page_a", "page_b"]
 
+#: Neighbours on either side of a page, and pages that one task takes at once.
+NEAR, UNIT = 16, 1024
+
+#: Shares of what stands at a place of the markup that is repeated: all of the place goes, or hardly anything is.
+REPEATED_PLACE, OWN_PLACE = 0.3, 0.2
+
+#: Neighbours that it takes, and the share of them, for a block of an article element to go.
+ARTICLE_NEIGHBOURS, ARTICLE_SHARE = 8, 0.75
+
 #: Bits of the alignment that are kept for walking back; longer pages are halved first.
 TABLE_BITS = 1 << 27
 
@@ -114,12 +131,13 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
 
 def blocks_of(html: str) -> tuple[list[str], list[int]]:
     """The blocks of a page in order, and for each 0 (unwanted by its markup), 1 (outside an article) or 2 (inside)."""
-    texts, kinds = _marked(html)
+    texts, kinds, _ = _marked(html)
     return texts, [min(kind, 2) for kind in kinds]
 
 
-def _marked(html: str) -> tuple[list[str], list[int]]:
-    """As ``blocks_of``, with 2 for blocks that lie in a main element only and 3 for those in an article element.
+def _marked(html: str) -> tuple[list[str], list[int], list[int]]:
+    """As ``blocks_of``, with 2 for blocks that lie in a main element only and 3 for those in an article element, and
+    for each block the checksum of the names of the block elements around it, its place.
 
     A form that holds most of the text is a plain wrapper. A main element, and an article if no other one has text,
     begins afresh inside forms and elements that are unwanted by name.
@@ -128,13 +146,15 @@ def _marked(html: str) -> tuple[list[str], list[int]]:
     # Per block: unwanted for good, by name, outermost form or -1; in a landmark (2) or article (3);
     # the same two within the landmark; in a main element.
     facts: list[tuple[bool, bool, int, int, bool, bool]] = []
+    places: list[int] = []
     held: list[str] = []
-    # Open elements as (tag, how unwanted, landmark, article, what was unwanted outside of it).
-    stack: list[tuple[str, int, bool, bool, tuple[int, int, bool]]] = []
+    # Open elements as (tag, how unwanted, landmark, article, what was unwanted outside of it, place around it).
+    stack: list[tuple[str, int, bool, bool, tuple[int, int, bool], int]] = []
     opened: Counter[str] = Counter()
     count = [0, 0, 0, 0]
     landmark = articles = forms = 0
     form = -1
+    place = 0
     # Forms and names around the outermost landmark, and whether a main element is open.
     around = (0, 0, False)
 
@@ -142,13 +162,14 @@ def _marked(html: str) -> tuple[list[str], list[int]]:
         if held:
             if text := " ".join(unescape("".join(held)).split()):
                 texts.append(text)
+                places.append(place)
                 inner = count[NAMED] > around[1] or count[FORM] > around[0]
                 facts.append((count[NEVER] > 0, count[NAMED] > 0, form if count[FORM] else -1, 3 if articles else 2 if landmark else 0, inner, around[2]))
             held.clear()
 
     def close() -> None:
-        nonlocal landmark, articles, around, form
-        tag, how, was_landmark, was_article, before = stack.pop()
+        nonlocal landmark, articles, around, form, place
+        tag, how, was_landmark, was_article, before, place = stack.pop()
         opened[tag] -= 1
         count[how] -= 1
         landmark -= was_landmark
@@ -184,7 +205,9 @@ def _marked(html: str) -> tuple[list[str], list[int]]:
             is_article = tag == "article" or bool(re.search(r"""role\s*=\s*["']?article\b""", found[3], re.I))
             is_landmark = is_main or is_article
             how = _unwanted(tag, found[3], landmark > 0)
-            stack.append((tag, how, is_landmark, is_article, around))
+            stack.append((tag, how, is_landmark, is_article, around, place))
+            if tag in BLOCKS:
+                place = crc32(tag.encode(), place)
             if is_landmark and (is_main and not around[2] or not landmark):
                 around = (count[FORM], count[NAMED], is_main)
             opened[tag] += 1
@@ -211,7 +234,7 @@ def _marked(html: str) -> tuple[list[str], list[int]]:
         afresh.append(in_landmark if fresh else 0)
     if max(kinds, default=0) < 2:
         kinds = [fresh or kind for kind, fresh in zip(kinds, afresh, strict=True)]
-    return texts, kinds
+    return texts, kinds, places
 
 
 def _rows(a: Sequence[int], b: Sequence[int]) -> list[int]:
@@ -265,51 +288,148 @@ def shared(a: Sequence[int], b: Sequence[int], table_bits: int = TABLE_BITS) ->
 def _both(own: Sequence[int], other: Sequence[int]) -> set[int]:
     """Places in own of what it shares with the other, in order."""
     known, mine = set(other), set(own)
-    places = [i for i, x in enumerate(own) if x in known]
-    return {places[i] for i in shared([own[i] for i in places], [x for x in other if x in mine])}
-
-
-def _repeated(own: Sequence[int], sizes: Sequence[int], others: Sequence[Sequence[int]]) -> set[int]:
-    """Places in a main text of what its site repeats inside main texts."""
-    found = [_both(own, other) for other in others]
-    if len(found) > 1:
-        gone = set.intersection(*found)
-    else:
-        front = next((i for i in range(len(own)) if i not in found[0]), len(own))
-        back = next((i for i in range(len(own), front, -1) if i - 1 not in found[0]), front)
-        gone = {i for i in found[0] if i < front or i >= back}
-    return gone if 2 * sum(sizes[i] for i in gone) < sum(sizes) else set()
-
-
-def _kept(kinds: Sequence[int], own: Sequence[int], sizes: Sequence[int], path: str, neighbours: Sequence[tuple[str, Sequence[int], Sequence[int]]]) -> list[bool]:
-    """Which blocks are the text, given the neighbours' paths, kinds and blocks."""
-    inside = [i for i, kind in enumerate(kinds) if kind > 1]
-    if inside:
-        others = [[x for x, kind in zip(keys, k, strict=True) if kind > 1] for _, k, keys in neighbours if max(k, default=0) > 1]
+    at = [i for i, x in enumerate(own) if x in known]
+    a, b = [own[i] for i in at], [x for x in other if x in mine]
+    # What both begin and end with is shared in any case.
+    short = min(len(a), len(b))
+    front = next((i for i in range(short) if a[i] != b[i]), short)
+    back = next((i for i in range(short - front) if a[-1 - i] != b[-1 - i]), short - front)
+    middle = shared(a[front : len(a) - back], b[front : len(b) - back])
+    return {*at[:front], *(at[front + i] for i in middle), *at[len(at) - back :]}
+
+
+@dataclass
+class _Page:
+    """A page as it is compared: kind, text hash, characters and place of every block."""
+
+    position: int
+    host: str
+    kinds: list[int]
+    keys: list[int]
+    sizes: list[int]
+    places: list[int]
+
+    @cached_property
+    def inside(self) -> list[int]:
+        """The blocks of its main text, if the markup names one."""
+        return [i for i, kind in enumerate(self.kinds) if kind > 1]
+
+    @cached_property
+    def inner_keys(self) -> list[int]:
+        return [self.keys[i] for i in self.inside]
+
+    @cached_property
+    def standing(self) -> Counter[tuple[int, int]]:
+        """How often each text stands at each place."""
+        return Counter(zip(self.keys, self.places, strict=True))
+
+
+class _Around:
+    """A page and its neighbours: on how many of them each text stands, and how much of each place is repeated."""
+
+    def __init__(self):
+        self.with_key: Counter[int] = Counter()
+        self.with_inner: Counter[int] = Counter()
+        self.at: dict[int, Counter[int]] = {}
+        self.all: Counter[int] = Counter()
+        self.repeated: Counter[int] = Counter()
+
+    def _count(self, page: _Page, sign: int) -> None:
+        self.with_inner.update({x: sign for x in set(page.inner_keys)})
+        own: dict[int, list[tuple[int, int]]] = {}
+        for (key, place), n in page.standing.items():
+            own.setdefault(key, []).append((place, n))
+        for key, parts in own.items():
+            at = self.at.setdefault(key, Counter())
+            if self.with_key[key] > 1:
+                self.repeated.subtract(at)
+            for place, n in parts:
+                at[place] += sign * n
+                self.all[place] += sign * n
+            self.with_key[key] += sign
+            if self.with_key[key] > 1:
+                self.repeated.update(at)
+            elif not self.with_key[key]:
+                del self.with_key[key], self.at[key]
+
+    def add(self, page: _Page) -> None:
+        self._count(page, 1)
+
+    def remove(self, page: _Page) -> None:
+        self._count(page, -1)
+        for counter in (self.with_inner, self.all, self.repeated):
+            for key in [k for k in {*page.inner_keys, *page.places} if not counter[k]]:
+                del counter[key]
+
+
+def _support(own: Sequence[int], others: Sequence[Sequence[int]]) -> Counter[int]:
+    """For places in own, how many of the others share them."""
+    found: Counter[int] = Counter()
+    for other, times in Counter(map(tuple, others)).items():
+        found.update({i: times for i in _both(own, other)})
+    return found
+
+
+def _ends(own: Sequence[int], other: Sequence[int]) -> set[int]:
+    """Places at the beginning and end of own of what it shares with the other."""
+    both = _both(own, other)
+    front = next((i for i in range(len(own)) if i not in both), len(own))
+    back = next((i for i in range(len(own), front, -1) if i - 1 not in both), front)
+    return {i for i in both if i < front or i >= back}
+
+
+def _kept_inside(page: _Page, others: list[_Page], around: _Around) -> list[bool]:
+    """Which blocks are the text of a page whose markup names its main text."""
+    others = [n.inner_keys for n in others if n.inside]
+    own, n = page.inner_keys, len(others)
+
+    def may_go(i: int, support: int) -> bool:
+        if page.kinds[page.inside[i]] == 2:
+            return 2 * support > n
+        return n >= ARTICLE_NEIGHBOURS and support >= ARTICLE_SHARE * n
+
+    gone: set[int] = set()
+    # A text stands on as many neighbours as share it, or more.
+    if n and any(may_go(i, around.with_inner[x] - 1) for i, x in enumerate(own)):
+        support = _support(own, others)
+        gone = {i for i in (support if n > 1 else _ends(own, others[0])) if may_go(i, support[i])}
+    if 2 * sum(page.sizes[page.inside[i]] for i in gone) >= sum(page.sizes[i] for i in page.inside):
         gone = set()
-        if others and 2 in kinds:
-            gone = {inside[i] for i in _repeated([own[i] for i in inside], [sizes[i] for i in inside], others) if kinds[inside[i]] == 2}
-        return [kind > 1 and i not in gone for i, kind in enumerate(kinds)]
-    both = set()
-    if neighbours:
-        both = _both(own, max(neighbours, key=lambda n: len(commonprefix((n[0], path))))[2])
-    alone = [kind == 1 and i not in both for i, kind in enumerate(kinds)]
-    return alone if any(alone) else [kind == 1 for kind in kinds]
+    left = set(page.inside) - {page.inside[i] for i in gone}
+    return [i in left for i in range(len(page.kinds))]
+
+
+def _kept(page: _Page, others: list[_Page], around: _Around) -> list[bool]:
+    """Which blocks are the text, given the neighbours."""
+    if page.inside:
+        return _kept_inside(page, others, around)
+    support = _support(page.keys, [n.keys for n in others])
+    share = {place: around.repeated[place] / around.all[place] for place in set(page.places)}
+    wanted = [kind == 1 for kind in page.kinds]
+    gone = {i for i, n in support.items() if 2 * n > len(others) or share[page.places[i]] >= OWN_PLACE}
+    repeated = {i for i, place in enumerate(page.places) if share[place] >= REPEATED_PLACE}
+    for unwanted in (gone | repeated, gone):
+        alone = [mark and i not in unwanted for i, mark in enumerate(wanted)]
+        if any(alone):
+            return alone
+    return wanted
 
 
 PARSED = T.StructType([
-    T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+    T.StructField("kinds", T.ArrayType(T.ByteType())), T.StructField("keys", T.ArrayType(T.LongType())),
+    T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.LongType())),
 ])
+ARROW_PARSED = pa.struct([("kinds", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int64()))])
 
 
 @F.arrow_udf(PARSED)
 def _parse(pages: pa.Array) -> pa.Array:
-    """Kinds of the blocks, hashes of their texts, and characters."""
+    """Kinds of the blocks, hashes of their texts, characters, and places."""
     out = []
     for html in pages.to_pylist():
-        texts, kinds = _marked(html or "")
-        out.append({"kinds": kinds, "keys": [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], "sizes": list(map(len, texts))})
-    return pa.array(out, pa.struct([("kinds", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]))
+        texts, kinds, places = _marked(html or "")
+        out.append({"kinds": kinds, "keys": [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], "sizes": list(map(len, texts)), "places": places})
+    return pa.array(out, ARROW_PARSED)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -329,37 +449,62 @@ def _chosen(packed: pa.Array, kept: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-@F.arrow_udf(T.ArrayType(T.BooleanType()))
-def _differ(kinds: pa.Array, keys: pa.Array, sizes: pa.Array, path: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
-    out = []
-    for k, own, size, p, *near in zip(*[c.to_pylist() for c in (kinds, keys, sizes, path, before, after)], strict=True):
-        out.append(_kept(k, own, size, p, [(n["path"], n["kinds"], n["keys"]) for n in near if n]))
-    return pa.array(out, pa.list_(pa.bool_()))
-
-
-def _with_neighbours(pages: DataFrame) -> DataFrame:
-    """``before`` and ``after``: the pages of the same host that come next in the order of the path."""
-    order = ["host", "path", *PAGE]
-    placed = written(pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
-    place, whole = F.struct(*order), F.struct(*order, "keys", "kinds", "sizes")
-    ends = placed.groupBy("part").agg(F.min_by(whole, place).alias("first"), F.max_by(whole, place).alias("last"))
-    # One row per partition of the range: the only rows that meet.
-    line = Window.orderBy("part")
-    ends = ends.select("first", "last", F.lag("part").over(line).alias("previous"), F.lead("part").over(line).alias("next"))
-    lent = ends.select(F.explode(F.array(
-        F.struct(F.col("previous").alias("part"), F.col("first").alias("page")), F.struct(F.col("next").alias("part"), F.col("last").alias("page")),
-    )).alias("lent")).select("lent.page.*", "lent.part").filter("part IS NOT NULL")
-    all_rows = placed.withColumn("lent", F.lit(False)).unionByName(lent.withColumn("lent", F.lit(True)))
-    by_place = Window.partitionBy("part").orderBy(*order)
-
-    def neighbour(shift):
-        page = F.struct("host", "path", "kinds", "keys")
-        return F.when(shift(F.col("host")).over(by_place) == F.col("host"), shift(page).over(by_place))
-
-    return all_rows.withColumns({"before": neighbour(F.lag), "after": neighbour(F.lead)}).filter(~F.col("lent"))
-
-
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
+MARKS = pa.schema([*[(name, pa.int64()) for name in PAGE], ("kept", pa.list_(pa.bool_()))])
+
+
+def _differ(batches: Iterator[pa.RecordBatch], near: int, unit: int) -> Iterator[pa.RecordBatch]:
+    """Marks of the pages of units of pages, which come in order, each with the pages lent to it at both ends."""
+    held: deque[tuple[_Page, tuple[int, ...], bool]] = deque()
+    around, ahead, last = _Around(), 0, None
+    out: list[tuple] = []
+
+    def judge() -> None:
+        """Judge the first page that waits, with all of its neighbours held."""
+        nonlocal ahead
+        page, name, lent = held[ahead]
+        while held[0][0].position < page.position - near:
+            around.remove(held.popleft()[0])
+            ahead -= 1
+        if not lent:
+            others = [other for other, _, _ in held if other is not page]
+            out.append((*name, _kept(page, others, around)))
+        ahead += 1
+
+    def finish() -> None:
+        nonlocal around, ahead
+        while ahead < len(held):
+            judge()
+        held.clear()
+        around, ahead = _Around(), 0
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            page = _Page(*(row[c] for c in ("position", "host", "kinds", "keys", "sizes", "places")))
+            if last != (row["unit"], page.host):
+                finish()
+                last = (row["unit"], page.host)
+            while ahead < len(held) and held[ahead][0].position < page.position - near:
+                judge()
+            held.append((page, tuple(row[c] for c in PAGE), row["unit"] != page.position // unit))
+            around.add(page)
+        yield pa.record_batch(list(map(list, zip(*out, strict=True))) if out else [[]] * len(MARKS), schema=MARKS)
+        out.clear()
+    finish()
+    yield pa.record_batch(list(map(list, zip(*out, strict=True))) if out else [[]] * len(MARKS), schema=MARKS)
+
+
+def _marks(pages: DataFrame, near: int, unit: int) -> DataFrame:
+    """Which blocks of each page are its text."""
+    placed = ranked(pages, ["host", "path", *PAGE], "position")
+    # Its own unit, and those beyond a cut that is near.
+    first, last = (F.floor((F.col("position") + shift) / unit) for shift in (-near, near))
+    dealt = placed.withColumn("unit", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).drop("path")
+    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "position")
+    schema = T.StructType([*[T.StructField(name, T.LongType()) for name in PAGE], T.StructField("kept", T.ArrayType(T.BooleanType()))])
+    return dealt.mapInArrow(lambda batches: _differ(batches, near, unit), schema)
+
+
+def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None, near: int = NEAR, unit: int = UNIT) -> DataFrame:
     """``row`` and ``text``, the blocks of the main text joined by two line feeds.
 
     Pages are parsed twice, once for the hashes that are compared and once for the texts, so that no copy of
@@ -370,7 +515,6 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list
     page = {name: F.xxhash64(F.lit(k), *content) for k, name in enumerate(PAGE)}
     parsed = pages.select(host.alias("host"), path.alias("path"), *[c.alias(n) for n, c in page.items()], _parse(F.col(html)).alias("parsed"))
     distinct = parsed.select("host", "path", *PAGE, "parsed.*").dropDuplicates(PAGE)
-    near = _with_neighbours(distinct)
-    marks = near.select(*PAGE, _differ("kinds", "keys", "sizes", "path", "before", "after").alias("kept"))
+    marks = _marks(distinct, near, unit)
     texts = with_row(pages, keep, packed=_packed(F.col(html)), **page)
     return texts.join(marks, PAGE).select("row", _chosen("packed", "kept").alias("text"))

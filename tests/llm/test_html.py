@@ -1,11 +1,14 @@
 import random
 import re
+from collections import Counter
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.llm.html import blocks_of, main_text, shared
+from lodestar.llm.html import _Around, _kept, _marked, _Page, blocks_of, main_text, shared
 from lodestar.llm.queries import op3_page_differencing
+from lodestar.llm.urls import host_and_path
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -110,3 +113,79 @@ def test_lines_repeated_inside_main(spark):
 ])
 def test_wrappers_do_not_hide_the_article(html, kinds):
     assert blocks_of(html)[1] == kinds
+
+
+def test_article_that_wraps_the_layout(spark):
+    """What nearly all of many neighbours' articles repeat goes; what some quote stays, and so do copies."""
+    told = lambda i: f"Story {i} tells at length what befell number {i}"
+    quote = "A saying that every third page quotes"
+    rows = [(i, f"http://h.org/{i}", page(f"<article><p>Home</p><p>{told(i)}</p>{f'<p>{quote}</p>' if i % 3 == 0 else ''}<p>Imprint</p></article>")) for i in range(100, 140)]
+    rows += [(i, f"http://copy.org/{i}", page(f"<article><p>{told(9)}</p><p>End</p></article>")) for i in range(20)]
+    got = {r["row"]["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: told(i) + (f"\n\n{quote}" if i % 3 == 0 else "") for i in range(100, 140)} | {i: f"{told(9)}\n\nEnd" for i in range(20)}
+
+
+def test_places_without_landmarks(spark):
+    """Menu entries that differ from page to page go with their place; a quotation among articles' lines stays."""
+    rows = []
+    for i in range(100, 150):
+        menu = "".join(f"<li>entry {(i * 7 + k * 5) % 40}</li>" for k in range(4)) + f"<li>only {i}</li>"
+        story = "".join(f"<p>line {k} of story {i}</p>" for k in range(8)) + ("<p>quoted</p>" if i % 9 == 0 else "")
+        rows.append((i, f"http://h.org/{i}", f"<div><ul>{menu}</ul></div><div>{story}</div><div>imprint</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = {i: "\n\n".join([f"line {k} of story {i}" for k in range(8)] + ["quoted"] * (i % 9 == 0)) for i in range(100, 150)}
+    for unit in (1, 7, 1024):
+        assert {r["row"]["page_id"]: r["text"] for r in main_text(pages, unit=unit).collect()} == wanted
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sliding_counts(seed):
+    """Counts that follow a window of pages are those of the pages in it."""
+    rng = random.Random(seed)
+    pages = []
+    for position in range(30):
+        n = rng.randrange(8)
+        pages.append(_Page(position, "h", *[[rng.randrange(k) for _ in range(n)] for k in (4, 9, 5, 3)]))
+    around = _Around()
+    for i, p in enumerate(pages):
+        around.add(p)
+        if i >= 5:
+            around.remove(pages[i - 5])
+        held = pages[max(0, i - 4) : i + 1]
+        with_key = Counter(x for q in held for x in set(q.keys))
+        standing = [(key, place) for q in held for key, place in zip(q.keys, q.places, strict=True)]
+        assert +around.with_key == with_key and +around.all == Counter(place for _, place in standing)
+        assert +around.repeated == Counter(place for key, place in standing if with_key[key] > 1)
+        assert +around.with_inner == Counter(x for q in held for x in set(q.inner_keys))
+
+
+def test_units_do_not_show(spark):
+    """Without landmarks the result is the same however pages are dealt, and so are the neighbours: brute force."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)(article|nav|footer)>", "<$1div>"))
+    found = [{r["row"]["page_id"]: r["text"] for r in main_text(bare, near=3, unit=unit).collect()} for unit in (2, 50, 1024)]
+    assert found[0] == found[1] == found[2]
+    hosts = {}
+    for r in bare.select("page_id", *[c.alias(n) for c, n in zip(host_and_path(F.col("url")), ("host", "path"), strict=True)], "html").collect():
+        hosts.setdefault(r["host"], []).append(r)
+    for rows in hosts.values():
+        rows.sort(key=lambda r: r["path"])
+        if len({r["path"] for r in rows}) < len(rows):
+            continue
+        parsed = [_marked(r["html"]) for r in rows]
+        made = [_Page(i, "", kinds, texts, list(map(len, texts)), places) for i, (texts, kinds, places) in enumerate(parsed)]
+        for i, r in enumerate(rows):
+            near, around = made[max(0, i - 3) : i + 4], _Around()
+            for p in near:
+                around.add(p)
+            kept = _kept(made[i], [p for p in near if p is not made[i]], around)
+            assert found[0][r["page_id"]] == "\n\n".join(t for t, mark in zip(made[i].keys, kept, strict=True) if mark)
+
+
+def test_without_landmarks(spark):
+    """The test pages as if their markup named no article: most come out right by differencing alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    wanted = {r["page_id"]: r["text"] for r in op3_page_differencing(spark, "/root/testdata/sf0.1").collect()}
+    bare = F.regexp_replace(F.regexp_replace("html", ' (class|id)="[^"]*"', ""), "<(/?)(article|nav|footer)>", "<$1div>")
+    got = {r["row"]["page_id"]: r["text"] for r in main_text(pages.withColumn("html", bare)).collect()}
+    assert sum(got[i] == text for i, text in wanted.items()) > 0.6 * len(wanted)
