@@ -10,6 +10,9 @@ SPACE_CLASS = r"[ \t-\r]+"
 
 ROW = "row"
 
+#: Ranges of a sort beyond which they grow instead: their bounds are found by the driver.
+MOST_RANGES = 100_000
+
 
 def with_row(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
     """The input row as one struct ``row`` (all of its columns, or those to keep), and the given columns beside it.
@@ -33,3 +36,9 @@ def unpacked(df: DataFrame) -> DataFrame:
 def words_of(text: Column) -> Column:
     """All words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
+
+
+def ranges_of(stored: DataFrame, size: int) -> int:
+    """How many ranges of about ``size`` bytes a table makes that was written and read back."""
+    plan = stored._jdf.queryExecution().optimizedPlan()
+    return min(MOST_RANGES, int(str(plan.stats().sizeInBytes())) // size + 1)

@@ -2,7 +2,8 @@
 
 A document's vector counts its hashed token ids. Fixed random directions project it to a few dimensions, and the
 place along a Hilbert curve through them is its key. Rows are range-partitioned and sorted by ``(key, id)``, so
-neighbours on the curve are packed next to each other, and a key that many copies share still spreads. Each partition
+neighbours on the curve are packed next to each other, and a key that many copies share still spreads. The number of
+ranges follows from the bytes that were written. Each partition
 fills sequences one after the other and cuts documents where a sequence is full. Only the last sequence of a partition
 can stay short: it is split into sequences whose lengths are powers of two, which need no padding.
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.common import ranges_of
 from lodestar.llm.tokens import text_ids
 from lodestar.session import written
 
@@ -37,6 +39,9 @@ BUCKETS, DIMENSIONS, DEPTH = 256, 4, 12
 #: Bytes of text turned into ids at once, but for a longer text.
 TEXT_BYTES = 1 << 24
 
+#: Bytes of stored ids in one range of the curve.
+RANGE_BYTES = 1 << 24
+
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -159,6 +164,6 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     # Written before it is sorted: range partitioning reads its input twice.
     tokens = written(rows.mapInArrow(lambda batches: _tokenized(batches, tokenizer), schema), "tokens")
     order = ["key", "doc_id"]
-    sorted_rows = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    sorted_rows = tokens.repartitionByRange(ranges_of(tokens, RANGE_BYTES), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     dtype = text_ids(tokenizer).dtype
     return sorted_rows.mapInArrow(lambda batches: _filled(batches, dtype), T.StructType([T.StructField(f.name, T.LongType()) for f in PIECES]))

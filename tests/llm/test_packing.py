@@ -102,6 +102,18 @@ def test_small_and_odd_texts(spark, tokenizer):
     assert sum(p["length"] for p in twice) == 6
 
 
+@pytest.mark.parametrize("size", [1 << 12, 1 << 14])
+def test_ranges_follow_the_bytes(spark, tokenizer, monkeypatch, size):
+    """More text makes more ranges, not larger ones, whatever the session's number of shuffle partitions."""
+    monkeypatch.setattr("lodestar.llm.packing.RANGE_BYTES", size)
+    rng = np.random.default_rng(1)
+    texts = [(i, " ".join(map(str, rng.integers(0, 10**6, 200)))) for i in range(100)]
+    pieces = packed(spark.createDataFrame(texts, "doc_id long, text string"), WORD_BPE).collect()
+    check(pieces, texts, tokenizer)
+    ranges = len({p["sequence_id"] >> 40 for p in pieces})
+    assert sum(p["length"] for p in pieces) * 2 / size / 2 < ranges < sum(p["length"] for p in pieces) * 2 / size * 2 + 2
+
+
 def test_query(spark, tokenizer):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     check(op5_hilbert_packing(spark, FOLDER).collect(), [(d["doc_id"], d["text"]) for d in docs], tokenizer)
