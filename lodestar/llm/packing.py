@@ -3,7 +3,8 @@
 A document's vector counts its hashed token ids. Fixed random directions project it to a few dimensions, and the
 place along a Hilbert curve through them is its key. Rows are range-partitioned and sorted by ``(key, id)``, so
 neighbours on the curve are packed next to each other, and a key that many copies share still spreads. The number of
-ranges follows from the bytes that were written. Each partition
+ranges follows from the bytes that were written, and long documents, which lie close together on the curve, come in
+chunks of one sequence, so that ranges of rows are ranges of bytes, too. Each partition
 fills sequences one after the other and cuts documents where a sequence is full. Only the last sequence of a partition
 can stay short: it is split into sequences whose lengths are powers of two, which need no padding.
 
@@ -48,6 +49,12 @@ PIECES = pa.schema(
 )
 
 
+#: A document's ids in chunks that all have its place on the curve, and the checksum and number of all of its ids.
+CHUNKS = pa.schema(
+    [("doc_id", pa.int64()), ("key", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
+)
+
+
 def hilbert_keys(points: np.ndarray, depth: int) -> np.ndarray:
     """Place of each grid point (rows of unsigned coordinates below 2**depth) along the Hilbert curve.
 
@@ -100,8 +107,13 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
         for at, end in pairwise([0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]):
             part = batch.slice(at, end - at)
             ids = [np.concatenate((own, closing)) for own in reader.of(part.column(1))]
-            data = pa.array([own.tobytes() for own in ids], pa.binary())
-            yield pa.record_batch([part.column(0), pa.array(curve_keys(ids), pa.int64()), data], ["doc_id", "key", "ids"])
+            keys = curve_keys(ids).tolist()
+            rows = []
+            for doc, key, own in zip(part.column(0).to_pylist(), keys, ids, strict=True):
+                mark = zlib.crc32(own.tobytes())
+                rows += [(doc, key, mark, start, len(own), own[start : start + LENGTH].tobytes()) for start in range(0, len(own), LENGTH)]
+            if rows:
+                yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=CHUNKS)
 
 
 class _Filler:
@@ -109,6 +121,7 @@ class _Filler:
 
     def __init__(self, first_sequence: int):
         self.sequence, self.rows, self.open = first_sequence, [], []
+        self.ahead: tuple | None = None
         self.used = 0
 
     def _close(self, pieces: list[tuple], length: int) -> list[tuple]:
@@ -125,11 +138,19 @@ class _Filler:
         self.sequence += 1
         return left
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        at = 0
+    def add(self, doc: int | None, mark: int, start: int, total: int, ids: np.ndarray) -> None:
+        """Add a chunk; what goes on where the last piece ends is one piece with it."""
+        at, goes_on = 0, self.open and (doc, mark, start) == self.ahead
+        self.ahead = (doc, mark, start + len(ids))
         while at < len(ids):
             take = min(len(ids) - at, LENGTH - self.used)
-            self.open.append((doc, at, ids[at : at + take], len(ids)))
+            own = ids[at : at + take]
+            if goes_on:
+                _, first, before, _ = self.open.pop()
+                self.open.append((doc, first, np.concatenate((before, own)), total))
+            else:
+                self.open.append((doc, start + at, own, total))
+            goes_on = False
             self.used += take
             at += take
             if self.used == LENGTH:
@@ -149,8 +170,8 @@ class _Filler:
 def _filled(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.RecordBatch]:
     filler = _Filler(TaskContext.get().partitionId() << 40)
     for batch in batches:
-        for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            filler.add(doc, np.frombuffer(ids.as_buffer(), dtype))
+        for *chunk, ids in zip(*[c.to_pylist() for c in batch.columns[:-1]], batch.columns[-1], strict=True):
+            filler.add(*chunk, np.frombuffer(ids.as_buffer(), dtype))
         yield filler.taken()
     filler.finish()
     yield filler.taken()
@@ -160,10 +181,10 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` of all documents. ``tokenizer``
     is the path of a tokenizer file that the executors can read."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, key long, ids binary"
+    schema = "doc_id long, key long, mark long, start long, doc_tokens long, ids binary"
     # Written before it is sorted: range partitioning reads its input twice.
     tokens = written(rows.mapInArrow(lambda batches: _tokenized(batches, tokenizer), schema), "tokens")
-    order = ["key", "doc_id"]
-    sorted_rows = tokens.repartitionByRange(ranges_of(tokens, RANGE_BYTES), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    order = ["key", "doc_id", "mark", "start"]
+    sorted_rows = tokens.repartitionByRange(ranges_of(tokens, RANGE_BYTES), *order).sortWithinPartitions(*order).select("doc_id", "mark", "start", "doc_tokens", "ids")
     dtype = text_ids(tokenizer).dtype
     return sorted_rows.mapInArrow(lambda batches: _filled(batches, dtype), T.StructType([T.StructField(f.name, T.LongType()) for f in PIECES]))

@@ -102,6 +102,29 @@ def test_small_and_odd_texts(spark, tokenizer):
     assert sum(p["length"] for p in twice) == 6
 
 
+def test_long_documents_spread(spark, tokenizer, monkeypatch):
+    """A document of many sequences spans ranges, goes on within a sequence as one piece, and so do equal ids."""
+    monkeypatch.setattr("lodestar.llm.packing.RANGE_BYTES", 1 << 15)
+    rng = np.random.default_rng(2)
+    long = " ".join(map(str, rng.integers(0, 10**6, 20_000)))
+    docs = [(1, long), (2, "short"), (3, long + " end"), (4, None)]
+    pieces = packed(spark.createDataFrame(docs, "doc_id long, text string"), WORD_BPE).collect()
+    check(pieces, docs, tokenizer)
+    assert len({p["sequence_id"] >> 40 for p in pieces if p["doc_id"] == 1}) > 1
+    within = {}
+    for p in pieces:
+        within.setdefault((p["sequence_id"], p["doc_id"]), []).append(p)
+    assert all(len(own) == 1 for own in within.values())
+    twice = spark.createDataFrame([(1, long), (1, long), (1, long[::-1])], "doc_id long, text string")
+    got = packed(twice, WORD_BPE).collect()
+    total = 2 * len(tokenizer.encode(long, add_special_tokens=False).ids) + len(tokenizer.encode(long[::-1], add_special_tokens=False).ids) + 3
+    assert sum(p["length"] for p in got) == total
+    wholes = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in (long, long[::-1])]
+    for p in got:
+        spans = [own[p["start"] : p["start"] + p["length"]] for own in wholes if len(own) == p["doc_tokens"]]
+        assert p["ids_crc32"] in {zlib.crc32(np.array(own, "<u4").tobytes()) for own in spans}
+
+
 @pytest.mark.parametrize("size", [1 << 12, 1 << 14])
 def test_ranges_follow_the_bytes(spark, tokenizer, monkeypatch, size):
     """More text makes more ranges, not larger ones, whatever the session's number of shuffle partitions."""
