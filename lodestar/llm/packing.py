@@ -4,7 +4,7 @@ A document's vector counts its hashed token ids. Fixed random directions project
 place along a Hilbert curve through them is its key. Rows are range-partitioned and sorted by ``(key, id)``, so
 neighbours on the curve are packed next to each other, and a key that many copies share still spreads. The number of
 ranges follows from the bytes that were written, and long documents, which lie close together on the curve, come in
-chunks of one sequence, so that ranges of rows are ranges of bytes, too. Each partition
+chunks of ``CHUNK`` ids, so that ranges of rows are ranges of bytes, too. Each partition
 fills sequences one after the other and cuts documents where a sequence is full. Only the last sequence of a partition
 can stay short: it is split into sequences whose lengths are powers of two, which need no padding.
 
@@ -31,7 +31,7 @@ from lodestar.llm.common import ranges_of
 from lodestar.llm.tokens import text_ids
 from lodestar.session import written
 
-LENGTH = 4096
+LENGTH, CHUNK = 4096, 1024
 CLOSING_ID = 2
 
 #: Hashed counts, dimensions of the curve, bits of each. They choose the order only.
@@ -111,7 +111,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
             rows = []
             for doc, key, own in zip(part.column(0).to_pylist(), keys, ids, strict=True):
                 mark = zlib.crc32(own.tobytes())
-                rows += [(doc, key, mark, start, len(own), own[start : start + LENGTH].tobytes()) for start in range(0, len(own), LENGTH)]
+                rows += [(doc, key, mark, start, len(own), own[start : start + CHUNK].tobytes()) for start in range(0, len(own), CHUNK)]
             if rows:
                 yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=CHUNKS)
 
