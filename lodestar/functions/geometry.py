@@ -53,6 +53,19 @@ def usable(x: str = "x", y: str = "y") -> Column:
     return F.col(x).between(-LARGEST, LARGEST) & F.col(y).between(-LARGEST, LARGEST)
 
 
+def spread_bits(bits: Column) -> Column:
+    """Put a zero bit before every bit."""
+    for shift, mask in (
+        (16, 0x0000FFFF0000FFFF),
+        (8, 0x00FF00FF00FF00FF),
+        (4, 0x0F0F0F0F0F0F0F0F),
+        (2, 0x3333333333333333),
+        (1, 0x5555555555555555),
+    ):
+        bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
+    return bits
+
+
 def cross(ax, ay, bx, by, px, py) -> Column:
     """Positive when p lies left of the line a to b, negative when right of it."""
     ax, ay, bx, by, px, py = map(_number, (ax, ay, bx, by, px, py))

@@ -5,6 +5,10 @@ wide as its window, so it meets a few cells only: points carry one cell per leve
 window touches, and Spark joins the two by cell. Cells with many points or many queries are split on both sides:
 each part of the points meets each part of the queries once, in a task of its own. What travels of a point is its
 identifier and place.
+
+Nearest neighbours are found from the top of a tree over the points: leaves are runs of equal length in Morton order, each
+node knows its box and how many points it holds. The boxes around a query bound how far its k-th neighbour can be, on each
+level more closely, and only nodes within that bound are opened. So a query far outside of the data meets a few leaves too.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.geometry import distance, usable
+from lodestar.functions.geometry import distance, spread_bits, usable
+from lodestar.operators.ordering import ranked
 from lodestar.operators.search import EXCLUDE_COORDS, EXCLUDE_NONE, EXCLUDE_UID, SLACK
 from lodestar.session import written
 
@@ -29,8 +34,12 @@ PART_ROWS = 50_000
 #: Cells per axis that a window may touch on the level it is answered on, before rounding.
 WINDOW_CELLS = 2.0
 
-#: First radius of a kNN join over the one that the count around a query suggests.
-FIRST_STEP = 1.25
+#: Points of a leaf, at least, and bits of the number of nodes in a node.
+LEAF_POINTS = 16
+FAN_BITS = 3
+
+#: Pairs of a query and a point that one task of a kNN join compares.
+TASK_PAIRS = 2_000_000
 
 
 def _cells(level: Column) -> Column:
@@ -63,6 +72,11 @@ class Grid:
         place = F.floor((value - F.lit(low)) / F.lit(self.side) * cells).cast("long")
         return F.greatest(F.lit(0).cast("long"), F.least(cells - 1, place))
 
+    def morton(self) -> Column:
+        """Morton number of a point's cell on the finest level."""
+        x, y = (spread_bits(self.cell(F.col(axis), low, F.lit(FINEST))) for axis, low in (("x", self.x), ("y", self.y)))
+        return x.bitwiseOR(F.shiftleft(y, 1))
+
     def level(self, window: Column) -> Column:
         """The finest level on which a window of this width touches few cells."""
         fits = F.floor(F.log2(F.lit(WINDOW_CELLS * self.side) / F.greatest(window, F.lit(1e-300))))
@@ -88,7 +102,7 @@ def _windows(queries: DataFrame, grid: Grid) -> DataFrame:
 
 
 CELL = ["level", "cx", "cy"]
-QUERY = ["query_id", "qx", "qy"]
+BOX = ["low_x", "low_y", "high_x", "high_y"]
 
 
 def _placed(points: DataFrame, grid: Grid, levels: list[int]) -> DataFrame:
@@ -163,85 +177,108 @@ def pyramid(points: DataFrame, grid: Grid, finest: int) -> DataFrame:
     return levels
 
 
-def finest_level(n: int, k: int) -> int:
-    """The level whose cells hold about k of n evenly spread points."""
-    return max(0, min(12, round(math.log2(max(1.0, n / max(k, 1))) / 2) + 1))
-
-
-def first_radii(queries: DataFrame, cells: DataFrame, grid: Grid, finest: int, k: int) -> DataFrame:
-    """Queries with ``near``, the radius that the count around them suggests for k neighbours, and ``sure``, one that
-    holds k points for certain.
-
-    On each level a query looks at its own cell and the eight around it. On the finest level where these hold k points,
-    their farthest corner is sure to be far enough. A query outside of the box looks at the cells next to it.
-    """
-    looked = queries.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
-    level = F.col("level")
-    for axis, low in (("x", grid.x), ("y", grid.y)):
-        looked = looked.withColumn(f"o{axis}", grid.cell(F.col(f"q{axis}"), low, level))
-        last = _cells(level) - 1
-        around = F.sequence(F.greatest(F.col(f"o{axis}") - 1, F.lit(0)), F.least(F.col(f"o{axis}") + 1, last))
-        looked = looked.withColumn(f"c{axis}", F.explode(around))
-    seen = looked.join(cells, CELL).groupBy("query_id", "qx", "qy", "level", "ox", "oy").agg(F.sum("n").alias("n"))
-    width = F.lit(grid.side) / _cells(level)
-    reach = []
-    for axis, low in (("x", grid.x), ("y", grid.y)):
-        lowest = F.lit(low) + F.greatest(F.col(f"o{axis}") - 1, F.lit(0)) * width
-        highest = F.lit(low) + (F.col(f"o{axis}") + 2) * width
-        reach.append(F.greatest(F.abs(F.col(f"q{axis}") - lowest), F.abs(highest - F.col(f"q{axis}"))))
-    sure = F.sqrt(reach[0] * reach[0] + reach[1] * reach[1]) * (1 + 1e-9)
-    outside = F.sqrt(sum(F.pow(F.greatest(F.lit(low) - F.col(c), F.col(c) - F.lit(low + grid.side), F.lit(0.0)), F.lit(2.0)) for c, low in (("qx", grid.x), ("qy", grid.y))))
-    even = outside + width * 3 * F.sqrt(F.lit(float(k)) / (F.col("n") * math.pi)) * FIRST_STEP
-    enough = seen.filter(F.col("n") >= k).select("query_id", "qx", "qy", level, F.least(sure, even).alias("near"), sure.alias("sure"))
-    order = Window.partitionBy(*QUERY).orderBy(F.desc("level"))
-    finest_enough = enough.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "level")
-    # Where even the whole box holds fewer than k points, the radius covers it.
-    far = F.sqrt(sum(F.pow(F.greatest(F.abs(F.col(c) - F.lit(low)), F.abs(F.lit(low + grid.side) - F.col(c))), F.lit(2.0)) for c, low in (("qx", grid.x), ("qy", grid.y)))) * (1 + 1e-9)
-    found = queries.join(finest_enough, QUERY, "left")
-    return found.select("query_id", "qx", "qy", F.coalesce("near", far).alias("near"), F.coalesce("sure", far).alias("sure"), far.alias("all"))
-
-
-def thinned(points: DataFrame, grid: Grid, cells: DataFrame, finest: int, k: int, part_rows: int = PART_ROWS) -> DataFrame:
-    """Points without those that cannot be among k nearest: of one place only the k least identifiers can. Looked at in
-    crowded cells only."""
-    crowded = written(cells.filter((F.col("level") == finest) & (F.col("n") > max(part_rows, 2 * k))).select("cx", "cy"), "crowded")
-    if crowded.isEmpty():
-        return points
-    placed = _placed(points, grid, [finest]).drop("level")
-    marked = placed.join(crowded.withColumn("_crowded", F.lit(True)), ["cx", "cy"], "left")
+def thinned(points: DataFrame, k: int, exclude: str) -> DataFrame:
+    """Points without those that cannot be among k nearest: of one place only the k least identifiers can, and as many more
+    where one identifier may be left out."""
+    if exclude == EXCLUDE_UID:
+        same = Window.partitionBy("x", "y", "uid").orderBy("uid")
+        points = points.filter("uid IS NOT NULL").withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k)
+        k *= 2
     first = Window.partitionBy("x", "y").orderBy("uid")
-    thin = marked.filter("_crowded").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k)
-    return written(marked.filter("_crowded IS NULL").select("uid", "x", "y").unionByName(thin.select("uid", "x", "y")), "thinned")
+    return points.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).select("uid", "x", "y")
+
+
+def tree(points: DataFrame, grid: Grid, leaf: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Points with the number of their leaf as ``node``, and the levels of nodes ``(node, low_x, low_y, high_x, high_y, n)`` from
+    the leaves up to one with few nodes. The nodes of a node are those whose number without the last bits is its own."""
+    placed = ranked(points.withColumn("_z", grid.morton()), ["_z", "x", "y", "uid"], "_at")
+    placed = written(placed.select("uid", "x", "y", F.floor(F.col("_at") / leaf).alias("node")), "leaves")
+    ends = [F.min("x").alias("low_x"), F.min("y").alias("low_y"), F.max("x").alias("high_x"), F.max("y").alias("high_y")]
+    levels = [written(placed.groupBy("node").agg(*ends, F.count("*").alias("n")), "nodes")]
+    nodes = levels[0].count()
+    while nodes > 1 << FAN_BITS:
+        nodes = -(-nodes >> FAN_BITS)
+        ends = [(F.min if name.startswith("low") else F.max)(name).alias(name) for name in BOX]
+        up = levels[-1].groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(*ends, F.sum("n").alias("n"))
+        levels.append(written(up, "nodes"))
+    return placed, levels
+
+
+def _within_reach(opened: DataFrame, need: int) -> DataFrame:
+    """Queries and nodes ``(q, qx, qy, node, bound)``, without the nodes that cannot hold one of the ``need`` nearest points.
+
+    No point of a box is nearer than ``near`` or farther than ``far``, in the last bit too: each step of the distance is
+    monotone after rounding. Where all the boxes hold too few, nothing bounds them.
+    """
+    gaps = [(F.col(f"low_{a}") - F.col(f"q{a}"), F.col(f"q{a}") - F.col(f"high_{a}")) for a in "xy"]
+    near_x, near_y = (F.greatest(low, high, F.lit(0.0)) for low, high in gaps)
+    far_x, far_y = (F.greatest(F.abs(low), F.abs(high)) for low, high in gaps)
+    near, far = (F.sqrt(x * x + y * y) for x, y in ((near_x, near_y), (far_x, far_y)))
+    nodes = opened.select("q", "qx", "qy", "node", "n", near.alias("near"), far.alias("far"))
+    nearest_first = Window.partitionBy("q").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nodes = nodes.withColumn("_held", F.sum("n").over(nearest_first))
+    bound = F.min(F.when(F.col("_held") >= need, F.col("far"))).over(Window.partitionBy("q"))
+    nodes = nodes.withColumn("bound", F.coalesce(bound, F.lit(float("inf"))))
+    return written(nodes.filter(F.col("near") <= F.col("bound")).select("q", "qx", "qy", "node", "bound"), "reach")
+
+
+def _met(reach: DataFrame, held: DataFrame, part_rows: int, leaf: int | None = None) -> DataFrame:
+    """Queries joined by node with what the nodes hold. A node that very many queries reach is lent to each part of them.
+    Where leaves of that many points are joined, no task meets more than its share of pairs."""
+    asked = reach.groupBy("node").agg(F.count("*").alias("asked")).filter(F.col("asked") > part_rows)
+    crowded = written(asked.select("node", F.ceil(F.col("asked") / part_rows).alias("parts")), "crowded")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    left = reach.join(crowded, "node", "left").withColumn("part", F.pmod(F.xxhash64("q"), parts)).drop("parts")
+    if leaf:
+        left = left.repartition(-(-reach.count() * leaf // TASK_PAIRS) or 1, "node", "part")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    return left.join(held.join(crowded, "node", "left").withColumn("part", each).drop("parts"), ["node", "part"])
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int, exclude: str = EXCLUDE_COORDS, part_rows: int = PART_ROWS) -> DataFrame:
     """The k nearest points of each query point: ``(query_id, uid, x, y, dist, rank)``, ranks from 1, ties by uid.
 
-    Counts per cell give every query its first radius. A round is a range join; queries that found fewer than k go into the
-    next one, first with a radius that holds k points for certain, then with one that covers everything (points that
-    are left out can use up the k). Queries with unusable coordinates find nothing; repeated queries are answered once.
+    Every query goes down the tree of the points, level by level, and is compared with the points of the leaves that it
+    reaches. One place holds k points at most after thinning, so twice as many are sure to leave k where a query's own place
+    is left out. Where an identifier is left out that many points share, queries that found fewer than k go down again
+    with a wider bound, until it covers everything. Queries with unusable coordinates find nothing; repeated queries are
+    answered once.
     """
+    if exclude not in (EXCLUDE_COORDS, EXCLUDE_UID, EXCLUDE_NONE):
+        raise ValueError(f"exclude must be coords, uid or none, not {exclude!r}")
+    wanted, k = k, max(k, 1)
     points = points.filter(usable()).select("uid", "x", "y")
-    asked = queries.filter(usable()).select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
     grid = Grid.around(points) or Grid(0.0, 0.0, 1.0)
-    finest = finest_level(points.count(), k)
-    cells = written(pyramid(points, grid, finest), "pyramid")
-    asked = written(first_radii(asked, cells, grid, finest, max(k, 1)), "radii")
-    # Points that are left out are not counted among the k of their place.
-    points = thinned(points, grid, cells, finest, max(k, 0) + 1, part_rows)
-    order = Window.partitionBy(*QUERY).orderBy("dist", "uid")
-    rounds = []
-    for radius in ("near", "sure", "all"):
-        found = _joined(points, asked.select(*QUERY, F.col(radius).alias("r")), exclude, grid, part_rows)
+    leaf = max(LEAF_POINTS, k)
+    placed, levels = tree(thinned(points, k, exclude), grid, leaf)
+    asked = queries.filter(usable()).select("query_id", *[F.col(a).cast("double").alias(f"q{a}") for a in "xy"]).distinct()
+    asked = written(asked.withColumn("q", F.monotonically_increasing_id()), "asked")
+    top = levels[-1].collect()
+    roots = F.explode(F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in node.asDict().items()]) for node in top])) if top else None
+    order = Window.partitionBy("q").orderBy("dist", "uid")
+    need, total, left, rounds = k if exclude == EXCLUDE_NONE else 2 * k, sum(node["n"] for node in top), asked, []
+    while True:
+        opened = left.select("q", "qx", "qy", roots.alias("_node")).select("q", "qx", "qy", "_node.*") if top else left.limit(0).join(levels[-1])
+        reach = _within_reach(opened, need)
+        for nodes in reversed(levels[:-1]):
+            inner = nodes.withColumnRenamed("node", "_node").withColumn("node", F.shiftright("_node", FAN_BITS))
+            opened = _met(reach, inner, part_rows).drop("node", "bound").withColumnRenamed("_node", "node")
+            reach = _within_reach(opened, need)
+        found = _met(reach, placed, part_rows, leaf).withColumn("dist", distance("qx", "qy", "x", "y")).filter(F.col("dist") <= F.col("bound"))
+        if exclude == EXCLUDE_COORDS:
+            found = found.filter((F.col("x") != F.col("qx")) | (F.col("y") != F.col("qy")))
+        if exclude == EXCLUDE_UID:
+            found = found.join(left.select("q", "query_id"), "q").filter(F.col("uid") != F.col("query_id"))
         # Every task hands on k rows a query at most.
-        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k, 0))
-        found = written(found, "round")
-        if radius == "all":
+        found = found.select("q", "uid", "x", "y", "dist").withColumn("rank", F.row_number().over(order))
+        found = written(found.filter(F.col("rank") <= wanted), "round")
+        if exclude != EXCLUDE_UID or need >= total:
             rounds.append(found)
             break
-        full = written(found.filter(F.col("rank") == k).select(*QUERY), "answered")
-        rounds.append(found.join(full, QUERY, "left_semi"))
-        asked = written(asked.join(full, QUERY, "left_anti"), "unfinished")
-        if asked.isEmpty():
+        full = written(found.filter(F.col("rank") == k).select("q"), "answered")
+        rounds.append(found.join(full, "q", "left_semi"))
+        left, need = written(left.join(full, "q", "left_anti"), "unfinished"), need * 8
+        if left.isEmpty():
             break
-    return reduce(DataFrame.unionByName, rounds).select("query_id", "uid", "x", "y", "dist", "rank")
+    found = reduce(DataFrame.unionByName, rounds)
+    return found.join(asked, "q").select("query_id", "uid", "x", "y", "dist", "rank")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.constants import ALPHA, PIVOT_PREFIX, QUADRANTS
-from lodestar.functions.geometry import Location, derive_range, plain_derive_range, plain_quadrant, quadrant_of, usable
+from lodestar.functions.geometry import Location, derive_range, plain_derive_range, plain_quadrant, quadrant_of, spread_bits, usable
 from lodestar.operators import knn as nearest_neighbours
 from lodestar.operators import search
 from lodestar.operators.hull import Extremes, convex_hull, extremes, hull_diameter, hull_measures
@@ -290,7 +290,7 @@ def cell_of(extent: Extent) -> Column:
 
 def cell_in(min_x: float, max_x: float, min_y: float, max_y: float) -> Column:
     last = (1 << CELL_BITS) - 1
-    return _spread(_axis("x", min_x, max_x, last)).bitwiseOR(F.shiftleft(_spread(_axis("y", min_y, max_y, last)), 1))
+    return spread_bits(_axis("x", min_x, max_x, last)).bitwiseOR(F.shiftleft(spread_bits(_axis("y", min_y, max_y, last)), 1))
 
 
 def _axis(name: str, low: float, high: float, last: int) -> Column:
@@ -298,16 +298,3 @@ def _axis(name: str, low: float, high: float, last: int) -> Column:
         return F.lit(0).cast("long")
     place = F.floor((F.col(name) - low) / (high - low) * last).cast("long")
     return F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), place))
-
-
-def _spread(bits: Column) -> Column:
-    """Put a zero bit before every bit."""
-    for shift, mask in (
-        (16, 0x0000FFFF0000FFFF),
-        (8, 0x00FF00FF00FF00FF),
-        (4, 0x0F0F0F0F0F0F0F0F),
-        (2, 0x3333333333333333),
-        (1, 0x5555555555555555),
-    ):
-        bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
-    return bits

@@ -117,3 +117,38 @@ def test_pyramid(spark):
         if r["level"]:
             up = [u for u in levels if (u["level"], u["cx"], u["cy"]) == (r["level"] - 1, r["cx"] >> 1, r["cy"] >> 1)]
             assert up[0]["n"] >= r["n"]
+
+
+def test_far_queries_meet_few_points(spark, monkeypatch):
+    """Queries far outside of the data, all nearest to one corner: a few leaves each, and a leaf is lent to parts of them."""
+    places = [(float(x), float(y)) for x, y in scattered(4000, 6)]
+    queries = [(i, 5e3 + 40.0 * i, 3e3 + 7.0 * (i % 13), 0.0) for i in range(150)] + [(i, -9e3, 1.0 * i, 0.0) for i in range(150, 200)]
+    met, join = [], joins._met
+
+    def counted(*given):
+        met.append(join(*given))
+        return met[-1]
+
+    monkeypatch.setattr(joins, "_met", counted)
+    found = joins.knn_join(frame(spark, places, 3), asked(spark, queries).drop("r"), 10, part_rows=20).collect()
+    assert sorted((r["query_id"], r["dist"], r["uid"], r["rank"]) for r in found) == nearest(places, queries, 10)
+    assert met[-1].count() < len(queries) * len(places) / 8
+    parts = met[-1].groupBy("node", "part").agg(F.countDistinct("q").alias("n")).agg(F.max("n"), F.count_if(F.col("part") > 0)).first()
+    assert parts[0] < 60 and parts[1] > 0
+
+
+@pytest.mark.parametrize("exclude", ["coords", "uid", "none"])
+def test_knn_join_of_copies(spark, exclude):
+    """More copies of a place than neighbours are asked for, and identifiers that many points share."""
+    places = [(1.0, 1.0)] * 90 + [(float(x), float(y)) for x, y in scattered(300, 8)]
+    rows = [(uid % 7 if uid % 3 else uid, x, y) for uid, (x, y) in enumerate(places)] + [(None, 1.0, 1.0), (None, 2.0, 2.0)]
+    queries = [(0, 1.0, 1.0), (1, 1.5, 1.5), (2, 900.0, -3.0), (3, 1.0, 1.0), (None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "uid long, x double, y double")
+    found = joins.knn_join(points, spark.createDataFrame(queries, "query_id long, x double, y double"), 12, exclude).collect()
+    want = []
+    for q, qx, qy in queries:
+        left_out = {"coords": lambda u, x, y: (x, y) == (qx, qy), "uid": lambda u, x, y: u is None or q is None or u == q, "none": lambda u, x, y: False}[exclude]  # noqa: B023
+        near = sorted((math.sqrt((x - qx) ** 2 + (y - qy) ** 2), -1 if u is None else u) for u, x, y in rows if not left_out(u, x, y))
+        want += [(q, d, u, n) for n, (d, u) in enumerate(near[:12], 1)]
+    key = lambda r: (-1 if r[0] is None else r[0], r[3])
+    assert sorted(((r["query_id"], r["dist"], -1 if r["uid"] is None else r["uid"], r["rank"]) for r in found), key=key) == sorted(want, key=key)
