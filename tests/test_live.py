@@ -3,6 +3,9 @@
 import datetime as dt
 import math
 import random
+from types import SimpleNamespace
+
+import pandas as pd
 
 from lodestar.functions.geometry import Location
 from lodestar.streaming import live
@@ -115,3 +118,35 @@ def test_broken_messages_can_be_skipped(spark):
     messages = spark.createDataFrame(rows, "value string")
     assert [(r["uid"], r["x"], r["y"]) for r in streams.stream_decode(messages, skip_unreadable=True).collect()] == [("a", 1.0, 2.0)]
     assert [r["value"] for r in streams.unreadable(messages).collect()] == [rows[1][0], rows[2][0], None]
+
+
+class Held:
+    """State in memory, and how often a timer was set."""
+
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getValueState(self, name, *_):  # noqa: N802
+        held = self.maps
+        return SimpleNamespace(update=lambda value: held.update({name: value}), clear=lambda: held.pop(name, None), exists=lambda: name in held, get=lambda: held.get(name))
+
+    def registerTimer(self, at_ms):  # noqa: N802
+        self.timers.append(at_ms)
+
+
+def test_a_block_of_cells_has_one_timer():
+    """Many queries with ends of their own in one state: a timer for the first, which hands out all that have ended."""
+    held, worker = Held(), live.Nearest()
+    worker.init(held)
+    columns = ["is_query", "uid", "ts", "micros", "x", "y", "r", "k", "until", "cx", "cy", "salt"]
+    asked = [(True, i, None, 0, 1.0, 1.0, 9.0, 3, 1_000_000 * (i + 1), c, 0, 0) for i in range(40) for c in (0, 1)]
+    seen = [(False, 100 + i, None, 5, 1.0 + i, 1.0, 0.0, 0, 0, i // 8, 0, 0) for i in range(12)]
+    key, at_ms = (0, 0, 0), lambda ms: (SimpleNamespace(getCurrentWatermarkInMs=lambda: ms), SimpleNamespace(getExpiryTimeInMs=lambda: held.timers[-1]))
+    list(worker.handleInputRows(key, iter([pd.DataFrame(seen[:5] + asked, columns=columns), pd.DataFrame(seen[5:], columns=columns)]), None))
+    assert held.timers == [1000]
+    first = pd.concat(worker.handleExpiredTimer(key, *at_ms(30_500)))
+    assert sorted(set(first["query_id"])) == [*range(30)] and held.timers == [1000, 31_000]
+    near = first[first["query_id"] == 7].sort_values(["dist", "uid"])
+    assert near["uid"].tolist() == [101, 102, 103, 108, 109] and near["dist"].tolist() == [1.0, 2.0, 3.0, 8.0, 9.0]
+    rest = pd.concat(worker.handleExpiredTimer(key, *at_ms(10**9)))
+    assert sorted(set(rest["query_id"])) == [*range(30, 40)] and len(held.timers) == 2 and not held.maps
